@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from paperloom.session import table
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.source_mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.warc import round_trip
+
+    read = round_trip(table(spark, sf_dir, "pages"))
+    return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.ring_sharding import ring_shard
 
@@ -20,4 +33,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_salvage": OP4}
+
+
+OP4 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), g AS (
+  SELECT d, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY d
+)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN g.holder IS NULL OR g.holder = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN g.holder <> p.page_id THEN g.holder END AS refers_to
+FROM p LEFT JOIN g ON p.n >= 1000 AND p.d = g.d
+"""
