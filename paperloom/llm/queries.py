@@ -22,6 +22,15 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.compression_quality import fit, held_out, score_quality
+
+    docs, out = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = fit(docs, table(spark, sf_dir, "labels"), may_learn=~out)
+    scored = score_quality(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.ring_sharding import ring_shard
 
