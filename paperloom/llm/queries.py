@@ -37,6 +37,12 @@ def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.positional_index import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
