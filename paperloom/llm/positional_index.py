@@ -10,14 +10,15 @@ inside the run is an exact match.
 
 All is DataFrame functions. Pass one counts the corpus frequency of the test terms (a map-
 side combined count). Pass two makes postings of the chosen rarest terms only, and reads
-the other terms' postings of the document from the token array of the same row, in
-the same code stage, so no posting list of a common term is ever shuffled or gathered.
+the other terms' postings of the document from the token array of the same row: first, in
+the same code stage, those at the anchor's sides, then, for what is left, as many words as
+the item has. So no posting list of a common term is ever shuffled or gathered.
 The anchors are broadcast only below a checked number of test words; beyond it the same
 joins are shuffled.
 
-Words: A-Z in lower case, runs of characters other than ASCII non-alphanumerics. The
-Unicode lower() used first folds more than A-Z, so candidates are confirmed on words
-folded in A-Z only. Case never moves a word's bounds.
+Words: A-Z in lower case, runs of characters other than ASCII non-alphanumerics. Terms are
+compared by the fast Unicode lower(), which folds more than A-Z; the words around an
+anchor are then compared folded in A-Z only. Case never moves a word's bounds.
 
 Defined cases: null and empty texts have no words; items without words match nothing;
 items shorter than the window are one window; repeated rows are judged alike; equal ids
@@ -37,6 +38,7 @@ BROADCAST_WORDS = 200_000
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,20 +64,21 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text", small: bool = True) -> DataFrame:
     """(term, n): corpus frequency of each wanted term, over all documents."""
-    words = docs.select(F.explode(_split(F.col(text))).alias("term"))
+    words = docs.select(F.explode(_split(F.col(text))).alias("word")).select(F.lower("word").alias("term"))
     wanted = F.broadcast(terms) if small else terms
     return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def _split(text: Column) -> Column:
-    """Lower-cased pieces between separators; the first or last may be empty, which no term is."""
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+    """Words in any case, as they stand between separators; the first or last may be empty, which no term is."""
+    return F.split(F.coalesce(text, F.lit("")), ANY_SEPARATORS)
 
 
 def anchors(words: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(term, item_id, offset, w, need): for each window of an item its rarest term, each once per item and offset.
+    """(term, item_id, offset, w, need, before, after): for each window of an item its rarest term, once per item and offset.
 
-    Ties go to the smaller term, then the smaller offset. need is the run length that makes a hit.
+    Ties go to the smaller term, then the smaller offset. need is the run length that makes a
+    hit; before and after are the terms at the anchor's sides.
     """
     placed = words.select("item_id", "w", F.posexplode("w").alias("offset", "exact")).withColumn("term", F.lower("exact"))
     ranked = placed.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -87,40 +90,43 @@ def anchors(words: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     need = F.least(F.size("w"), F.lit(window))
     out = item.select("item_id", "w", need.alias("need"), F.explode(F.array_distinct(rarest)).alias("a"))
     # A term that the corpus lacks rules its windows out.
-    return out.where("a.n > 0").select(F.col("a.term").alias("term"), "item_id", F.col("a.offset").alias("offset"), "w", "need")
+    return out.where("a.n > 0").select(
+        F.col("a.term").alias("term"), "item_id", F.col("a.offset").alias("offset"), "w", "need",
+        F.lower(F.get("w", F.col("a.offset") - 1)).alias("before"), F.lower(F.get("w", F.col("a.offset") + 1)).alias("after"),
+    )
 
 
 def postings(docs: DataFrame, wanted: DataFrame, keys: list[str], text: str = "text", small: bool = True) -> DataFrame:
-    """Postings of the wanted terms joined to their anchors: keys, d (the document's pieces), pos, and wanted's columns."""
+    """Postings of the wanted terms joined to wanted's columns: keys, d (the document's pieces), pos."""
     pieces = docs.select(*keys, _split(F.col(text)).alias("d"))
-    made = pieces.select(*keys, "d", F.posexplode("d").alias("pos", "term"))
+    made = pieces.select(*keys, "d", F.posexplode("d").alias("pos", "word")).withColumn("term", F.lower("word"))
     return made.join(F.broadcast(wanted) if small else wanted, "term")
 
 
-def _reach(d: Column, w: Column, pos: Column, offset: Column, step: int) -> Column:
-    """How many words beside the anchor agree, going left (-1) or right (1)."""
-    room = F.least(pos, offset) if step < 0 else F.least(F.size(d) - 1 - pos, F.size(w) - 1 - offset)
-    if step < 0:
-        a = F.reverse(F.slice(d, pos - room + 1, room))
-        b = F.reverse(F.slice(w, offset - room + 1, room))
-    else:
-        a, b = F.slice(d, pos + 2, room), F.slice(w, offset + 2, room)
-    differs = F.array_position(F.zip_with(a, b, lambda x, y: x != y), True)
-    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
-
-
 def runs(found: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, item_id, w, need, start, end, at): runs of item words in documents, of the needed length, positions in pieces."""
-    lowered = F.transform("w", lambda x: F.lower(x))
-    both = found.withColumn("_w", lowered)
-    left = _reach(F.col("d"), F.col("_w"), F.col("pos"), F.col("offset"), -1)
-    right = _reach(F.col("d"), F.col("_w"), F.col("pos"), F.col("offset"), 1)
-    return (
-        both.withColumn("_l", left)
-        .withColumn("_r", right)
-        .where(F.col("_l") + F.col("_r") + 1 >= F.col("need"))
-        .select(*keys, "item_id", "w", "need", (F.col("pos") - F.col("_l")).alias("start"), (F.col("pos") + F.col("_r") + 1).alias("end"), (F.col("offset") - F.col("_l")).alias("at"))
-    )
+    """(keys, item_id, start, end): the longest run of item words at each posting, if it is long enough.
+
+    Places are counted in words of the document.
+    """
+    at_side = (F.lower(F.get("d", F.col("pos") - 1)) == F.col("before")) | (F.lower(F.get("d", F.col("pos") + 1)) == F.col("after"))
+    skip = F.greatest(F.col("offset") - F.col("pos"), F.lit(0))
+    near = found.where(at_side | (F.col("need") == 1)).select(
+        *keys, "item_id", "w", "need", "pos", skip.alias("skip"), (F.col("offset") - skip).alias("a"),
+        F.slice("d", F.col("pos") - F.col("offset") + skip + 1, F.size("w") - skip).alias("s"),
+        F.when(F.get("d", F.lit(0)) == "", 1).otherwise(0).alias("first"),
+    )
+    item = F.slice("w", F.col("skip") + 1, F.size("s"))
+    differs = F.zip_with(F.transform("s", fold), item, lambda x, y: x != y)
+    there = near.withColumn("x", differs)
+    left = F.array_position(F.reverse(F.slice("x", F.lit(1), F.col("a") + 1)), True)
+    right = F.array_position(F.slice("x", F.col("a") + 1, F.size("x") - F.col("a")), True)
+    reach = there.select(
+        *keys, "item_id", "need", (F.col("pos") - F.col("first")).alias("p"),
+        F.when(left > 0, left - 1).otherwise(F.col("a") + 1).cast("int").alias("l"),
+        F.when(right > 0, right - 1).otherwise(F.size("x") - F.col("a")).cast("int").alias("r"),
+    )
+    # The anchor itself counts in both.
+    return reach.where("l > 0 and l + r - 1 >= need").select(*keys, "item_id", F.expr("p - l + 1").alias("start"), F.expr("p + r").alias("end"))
 
 
 def is_small(words: DataFrame, bound: int = BROADCAST_WORDS) -> bool:
@@ -139,29 +145,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     counts = term_counts(docs, terms, text, small)
     wanted = keep(anchors(words, counts, window))
     tagged = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"), F.col(text).alias("_text"))
-    rough = runs(postings(tagged, wanted, [key, "_t", "_text"], "_text", small), [key, "_t", "_text"])
-    # Confirmed on words folded in A-Z only: agreement is cut where they differ, and what stays long enough counts.
-    exact = tokens(fold(F.col("_text")))
-    first = F.when(F.element_at(F.split(F.lower(F.col("_text")), SEPARATORS, 2), 1) == "", 1).otherwise(0)
-    same = F.zip_with(
-        F.slice(exact, F.col("start") - F.col("_first") + 1, F.col("end") - F.col("start")),
-        F.slice("w", F.col("at") + 1, F.col("end") - F.col("start")),
-        lambda x, y: x == y,
-    )
-    marked = rough.withColumn("_first", first).withColumn("_same", same)
-    ends = F.filter(F.transform("_same", lambda s, i: F.when(~s, i)), lambda i: i.isNotNull())
-    cuts = F.concat(F.array(F.lit(-1)), ends, F.array(F.size("_same")))
-    parts = F.filter(
-        F.transform(F.slice(cuts, 2, F.size(cuts) - 1), lambda e, i: F.struct((F.element_at(cuts, i + 1) + 1).alias("a"), e.alias("b"))),
-        lambda p: p["b"] - p["a"] >= F.col("need"),
-    )
-    base = F.col("start") - F.col("_first")
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.size("_same").alias("b")))
-    return (
-        marked.select(key, "_t", "item_id", base.alias("_b"), F.explode(F.when(F.forall("_same", lambda s: s), whole).otherwise(parts)).alias("p"))
-        .select(key, "_t", "item_id", (F.col("_b") + F.col("p.a")).alias("start"), (F.col("_b") + F.col("p.b")).alias("end"))
-        .distinct()
-    )
+    return runs(postings(tagged, wanted, [key, "_t"], "_text", small), [key, "_t"]).distinct()
 
 
 def union_length(intervals: str) -> Column:
@@ -211,5 +195,6 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, key: str = "doc
     tagged = docs.select(F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"), F.col(text).alias("_text"))
     found = postings(tagged, wanted, [key, "_t"], "_text", small)
     near = F.slice("d", F.greatest(F.col("pos") - slop, F.lit(0)) + 1, F.lit(2 * slop + 1))
-    missing = F.array_except(F.transform("w", lambda x: F.lower(x)), near)
+    found = found.select(key, "_t", "item_id", "pos", "w", near.alias("near"))
+    missing = F.array_except(F.transform("w", lambda x: F.lower(x)), F.transform("near", lambda x: F.lower(x)))
     return found.where(F.size(missing) == 0).select(key, "_t", "item_id", "pos").distinct()
