@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.session import table
 
@@ -22,6 +23,18 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.hyperminhash import duplicate_components
+
+    found = duplicate_components(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
+    )
+
+
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.compression_quality import fit, held_out, score_quality
 

@@ -142,7 +142,8 @@ def grams(codes: np.ndarray, k: int) -> np.ndarray:
 def sequence_code(codes: np.ndarray) -> int:
     """A code of one whole short sequence (under 64 codes), another for each length."""
     n = len(codes)
-    return int(mix(np.array([(codes * _GRAM[:n]).sum(dtype=U) + U(n) * U(0xA0761D6478BD642F)], U))[0])
+    total = (codes * _GRAM[:n]).sum(dtype=U, keepdims=True)
+    return int(mix(total + np.array([n], U) * U(0xA0761D6478BD642F))[0])
 
 
 def shingles(codes: np.ndarray, k: int = 5) -> np.ndarray:
