@@ -37,7 +37,6 @@ WINDOW = 10
 BROADCAST_WORDS = 200_000
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,11 +51,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def count_tokens(text: Column) -> Column:
-    """How many words a text has, in any case."""
-    return F.coalesce(F.regexp_count(text, F.lit(ANY_WORD)), F.lit(0)).cast("bigint")
-
-
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, w) of the items that have words."""
     return items.select(F.col(key).alias("item_id"), tokens(fold(F.col(text))).alias("w")).where(F.size("w") > 0).distinct()
@@ -64,7 +58,7 @@ def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str = "text", small: bool = True) -> DataFrame:
     """(term, n): corpus frequency of each wanted term, over all documents."""
-    words = docs.select(F.explode(_split(F.col(text))).alias("word")).select(F.lower("word").alias("term"))
+    words = docs.select(F.explode_outer(_split(F.col(text))).alias("word")).select(F.lower("word").alias("term"))
     wanted = F.broadcast(terms) if small else terms
     return words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
@@ -99,7 +93,7 @@ def anchors(words: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
 def postings(docs: DataFrame, wanted: DataFrame, keys: list[str], text: str = "text", small: bool = True) -> DataFrame:
     """Postings of the wanted terms joined to wanted's columns: keys, d (the document's pieces), pos."""
     pieces = docs.select(*keys, _split(F.col(text)).alias("d"))
-    made = pieces.select(*keys, "d", F.posexplode("d").alias("pos", "word")).withColumn("term", F.lower("word"))
+    made = pieces.select(*keys, "d", F.posexplode_outer("d").alias("pos", "word")).withColumn("term", F.lower("word"))
     return made.join(F.broadcast(wanted) if small else wanted, "term")
 
 
@@ -110,11 +104,14 @@ def runs(found: DataFrame, keys: list[str]) -> DataFrame:
     """
     at_side = (F.lower(F.get("d", F.col("pos") - 1)) == F.col("before")) | (F.lower(F.get("d", F.col("pos") + 1)) == F.col("after"))
     skip = F.greatest(F.col("offset") - F.col("pos"), F.lit(0))
-    near = found.where(at_side | (F.col("need") == 1)).select(
-        *keys, "item_id", "w", "need", "pos", skip.alias("skip"), (F.col("offset") - skip).alias("a"),
+    cut = F.struct(
+        skip.alias("skip"), (F.col("offset") - skip).alias("a"),
         F.slice("d", F.col("pos") - F.col("offset") + skip + 1, F.size("w") - skip).alias("s"),
         F.when(F.get("d", F.lit(0)) == "", 1).otherwise(0).alias("first"),
     )
+    # One-row explode: conditions on what follows, which has no generated code, must not be drawn into the join before it.
+    near = found.where(at_side | (F.col("need") == 1)).select(*keys, "item_id", "w", "need", "pos", F.explode_outer(F.array(cut)).alias("c"))
+    near = near.select(*keys, "item_id", "w", "need", "pos", "c.*")
     item = F.slice("w", F.col("skip") + 1, F.size("s"))
     differs = F.zip_with(F.transform("s", fold), item, lambda x, y: x != y)
     there = near.withColumn("x", differs)
@@ -170,7 +167,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     per_doc = hits.groupBy(F.col(key).alias("_k"), F.col("_t").alias("_h")).agg(
         F.collect_set(F.struct("start", "end")).alias("_iv"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items")
     )
-    base = docs.select(*cols, F.col(key).alias("_key"), count_tokens(F.col(text)).alias("n_words"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    base = docs.select(*cols, F.col(key).alias("_key"), _split(F.col(text)).alias("_d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    empty = F.when(F.get("_d", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("_d") > 1) & (F.get("_d", F.size("_d") - 1) == ""), 1).otherwise(0)
+    base = base.select(*cols, "_key", "_t", (F.size("_d") - empty).cast("bigint").alias("n_words"))
     joined = base.join(per_doc, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
     none = F.array().cast("array<string>")
     return joined.select(
