@@ -16,6 +16,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.warc import round_trip
 
