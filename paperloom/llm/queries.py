@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from paperloom.session import table
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.hnsw import build_index, clean, search
+
+    rows = clean(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search(build_index(rows), rows.where("pmod(id, 20) = 0"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.source_mixing import mix_report
 
