@@ -15,7 +15,8 @@ more, so keys overlap there.
 
 In a bucket, pairs are compared on the 512 registers; the estimate corrects for chance
 collisions of registers. What lies 5.5 standard deviations or less below the threshold is
-a candidate; fewer registers count for small sets, whose minima are few.
+a candidate, and is given by the first band that the pair shares; fewer registers count
+for small sets, whose minima are few.
 Two rounds keep the output of a group linear: first each document with its bucket's least
 document and with its nearest earlier one; then, of documents that verified links have
 not yet joined, all cross pairs. Every link is confirmed on the full sets. Buckets over
@@ -133,6 +134,11 @@ def prefix_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return mix(np.sort(mix(s))[:take] ^ U(0x5851F42D4C957F2D))
 
 
+def _has_bands(n, percent: int):
+    """Whether a set of n can be over the threshold with one that is not small."""
+    return n * 100 > SMALL * percent - 100
+
+
 def signature(codes: np.ndarray, percent: int) -> tuple[int, bytes | None, np.ndarray, bytes | None]:
     """(set size, set digest, keys, one-byte registers) of a text's word codes."""
     s = shingles(codes, SHINGLE)
@@ -142,7 +148,7 @@ def signature(codes: np.ndarray, percent: int) -> tuple[int, bytes | None, np.nd
     digest = np.array([mix(s).sum(dtype=U), mix(s ^ U(0x94D049BB133111EB)).sum(dtype=U) + U(n)], U).tobytes()
     reg = compress(registers(s))
     keys = []
-    if n * 100 > SMALL * percent - 100:
+    if _has_bands(n, percent):
         keys.append(band_keys(reg))
     if n <= SMALL:
         keys.append(prefix_keys(s, percent))
@@ -177,9 +183,12 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return rows.mapInArrow(_sketcher(round(threshold * 100)), "id bigint, n bigint, digest binary, keys array<bigint>, reg binary")
 
 
-def _pairs_of(ids, sizes, labels, regs, threshold: float, nearest: bool):
-    """Candidate pairs (later index, earlier index) of one bucket's members, which are sorted by id."""
-    m, percent = len(ids), round(threshold * 100)
+def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest: bool):
+    """Candidate pairs (later index, earlier index) of one bucket's members, which are sorted by id.
+
+    Of the bands that a pair shares, only the first gives the pair, unless the nearest are asked for.
+    """
+    m, percent = len(sizes), round(threshold * 100)
     found, score = [], []
     for i in range(0, m, 256):
         rows = slice(i, min(i + 256, m))
@@ -193,6 +202,11 @@ def _pairs_of(ids, sizes, labels, regs, threshold: float, nearest: bool):
             same = (regs[rows, None, :] == regs[None, cols, :]).sum(2, dtype=np.int32)
             ok &= same >= least_equal(threshold, lo)
             a, b = np.nonzero(ok)
+            if not nearest:
+                shared = (bands[a + i] == bands[b + j]) & (bands[a + i] != 0)
+                first = bands[a + i, shared.argmax(1)]
+                mine = ~shared.any(1) | (first == bucket)
+                a, b = a[mine], b[mine]
             found.append(np.stack([a + i, b + j], 1))
             score.append(same[a, b])
     if not found:
@@ -211,6 +225,7 @@ def _bucket_mapper(threshold: float, nearest: bool):
             key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             side, ids, sizes, labels = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
             regs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(ids), TABLES * BUCKETS)
+            bands = _bands(batch.column(7), sizes, threshold)
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             bounds = [*np.flatnonzero(new).tolist(), len(key)]
             out = []
@@ -218,7 +233,7 @@ def _bucket_mapper(threshold: float, nearest: bool):
                 if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
                     continue
                 o = lo + np.argsort(ids[lo:hi], kind="stable")
-                a, b = _pairs_of(ids[o], sizes[o], labels[o], regs[o], threshold, nearest)
+                a, b = _pairs_of(key[lo], sizes[o], labels[o], regs[o], bands[o], threshold, nearest)
                 if part[lo] >= 0 and len(a):  # two blocks: pairs within one belong to that block's own task
                     across = side[o][a] != side[o][b]
                     a, b = a[across], b[across]
@@ -231,6 +246,15 @@ def _bucket_mapper(threshold: float, nearest: bool):
     return mapper
 
 
+def _bands(keys: pa.Array, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The band keys of each row, 0 for sets that have none."""
+    out = np.zeros((len(sizes), BANDS), np.int64)
+    has = np.flatnonzero(_has_bands(sizes, round(threshold * 100)))
+    at = keys.offsets.to_numpy()[:-1][has].astype(np.int64)
+    out[has] = keys.values.to_numpy()[at[:, None] + np.arange(BANDS)]
+    return out
+
+
 def _whole_groups(batches):
     """Re-cut a sorted stream of batches so that no group of the first two columns is split."""
 
@@ -279,7 +303,7 @@ def bucket_pairs(members: DataFrame, sig: DataFrame, threshold: float, nearest:
     dealt = members.withColumn("_blocks", blocks).withColumn("_mine", mine).select(
         "bucket", "id", "label", F.explode(F.when(F.col("_blocks") == 1, one).otherwise(others)).alias("p")
     )
-    rows = dealt.join(sig.select("id", "n", "reg"), "id").select("bucket", F.col("p.part").cast("int").alias("part"), F.col("p.side").cast("int").alias("side"), "id", "n", "label", "reg")
+    rows = dealt.join(sig.select("id", "n", "reg", "keys"), "id").select("bucket", F.col("p.part").cast("int").alias("part"), F.col("p.side").cast("int").alias("side"), "id", "n", "label", "reg", "keys")
     sorted_ = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return sorted_.mapInArrow(_bucket_mapper(threshold, nearest), "a bigint, b bigint").distinct()
 
