@@ -63,6 +63,13 @@ def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.compression_quality import held_out
+    from paperloom.llm.ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2), carry=["doc_id"])
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.positional_index import decontaminate
 
