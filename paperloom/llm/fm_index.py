@@ -124,7 +124,7 @@ class FMIndex:
         zero = np.flatnonzero(text == 0)
         sym = text + len(zero)
         sym[zero] = np.arange(len(zero))  # each its own symbol, in order of place
-        now, sa = sym, np.argsort(sym, kind="stable")
+        now, sa = sym, np.argsort(sym)
         while True:
             ranks.append((width, now))
             if width >= depth:
@@ -133,7 +133,7 @@ class FMIndex:
             key = now.astype(np.int64) * (n + len(zero) + 2)
             if step < n:
                 key[: n - step] += now[step:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # ties are equal in all that patterns see, so their order is free
             sorted_key = key[order]
             fresh = np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
             now = np.empty(n, np.int64)
@@ -158,34 +158,45 @@ class FMIndex:
         left = self.lcp[lo].astype(np.int64)
         right = np.where(hi < n, self.lcp[np.minimum(hi, n - 1)], 0).astype(np.int64)
         depth = np.maximum(left, right)
-        # Grow to both sides while the LCP stays at depth or more, by doubling and halving steps.
+        # Grow to both sides while the LCP stays at depth or more: steps double, then halve.
         new_lo, new_hi = lo.copy(), hi.copy()
-        top = int(n).bit_length()
-        for k in range(top, -1, -1):
-            w = np.int64(1) << k
-            cand = new_lo - w
-            ok = cand >= 0
-            if ok.any():
-                # Suffixes cand .. new_lo share depth words if lcp[cand + 1 .. new_lo] >= depth.
-                i = np.flatnonzero(ok)
-                good = self.lcp_min.of(cand[i] + 1, new_lo[i] + 1) >= depth[i]
-                new_lo[i[good]] = cand[i[good]]
-            cand = new_hi + w
-            ok = cand <= n
-            if ok.any():
-                i = np.flatnonzero(ok)
-                good = self.lcp_min.of(new_hi[i], cand[i]) >= depth[i]
-                new_hi[i[good]] = cand[i[good]]
+        for end, grow in ((new_lo, self._room_left), (new_hi, self._room_right)):
+            todo, k = np.arange(len(lo)), 0
+            while len(todo):
+                todo = todo[grow(end, depth, todo, k)]
+                k += 1
+            todo = np.arange(len(lo))
+            for j in range(k - 2, -1, -1):
+                grow(end, depth, todo, j)
         return new_lo, new_hi, depth
 
+    def _room_left(self, end, depth, todo, k):
+        """Move ends down by 2**k where suffixes end - 2**k to end share depth words; which did."""
+        to = end[todo] - (np.int64(1) << k)
+        ok = to >= 0
+        i = np.flatnonzero(ok)
+        ok[i] = self.lcp_min.of(to[i] + 1, end[todo[i]] + 1) >= depth[todo[i]]
+        end[todo[ok]] = to[ok]
+        return ok
+
+    def _room_right(self, end, depth, todo, k):
+        to = end[todo] + (np.int64(1) << k)
+        ok = to <= self.n
+        i = np.flatnonzero(ok)
+        ok[i] = self.lcp_min.of(end[todo[i]], to[i]) >= depth[todo[i]]
+        end[todo[ok]] = to[ok]
+        return ok
+
     def _extend(self, symbol, lo, hi):
         a, b = self.bwt.rank(symbol, lo, hi)
         base = self.first[symbol]
         return base + a, base + b
 
-    def matching_statistics(self, which: np.ndarray | None = None) -> np.ndarray:
+    def matching_statistics(self, which: np.ndarray | None = None, full_only: bool = False) -> np.ndarray:
         """For each position of the texts (separators included): the longest match, up to depth, that starts
-        there and occurs in a document with a smaller id. which: the texts to stream (default: all)."""
+        there and occurs in a document with a smaller id. which: the texts to stream (default: all).
+        full_only: only matches of the full depth are wanted; a lane ends when none can follow, and
+        what it has not reached stays 0."""
         which = np.arange(len(self.lengths)) if which is None else which
         stats = np.zeros(self.n, np.int8)
         which = which[np.argsort(-self.lengths[which], kind="stable")]
@@ -216,11 +227,17 @@ class FMIndex:
                 none = todo[depth[todo] == 0]
                 lo[none], hi[none] = 0, self.n
                 todo = todo[depth[todo] > 0]
+                if full_only and len(todo):
+                    # What is left of the match ends before the first window's end: no later window can be whole.
+                    below = np.maximum(self.lcp[lo[todo]], np.where(hi[todo] < self.n, self.lcp[np.minimum(hi[todo], self.n - 1)], 0))
+                    dead = at[todo] - begin[todo] + below + 1 < self.depth
+                    depth[todo[dead]] = -1
+                    todo = todo[~dead]
                 if len(todo):
                     lo[todo], hi[todo], depth[todo] = self._shorten(lo[todo], hi[todo], depth[todo])
-            stats[at] = depth
+            stats[at] = np.maximum(depth, 0)
             at = at - 1
-            live = at >= begin
+            live = (at >= begin) & (at - begin + depth + 1 >= self.depth if full_only else True) & (depth >= 0)
             if not live.all():
                 at, begin, mine, lo, hi, depth = (x[live] for x in (at, begin, mine, lo, hi, depth))
         return stats

@@ -153,7 +153,7 @@ def _resolver(window: int, shard_words: int):
         words = [np.frombuffer(x.as_buffer(), U) for x in table.column("codes")]
         lengths = np.array([len(w) for w in words])
         index = FMIndex(np.concatenate(words), lengths, ids, window)
-        stats = index.matching_statistics()
+        stats = index.matching_statistics(full_only=True)
         out = []
         for i in range(len(ids)):
             hit = stats[index.starts[i] : index.starts[i] + windows[i]] >= window
