@@ -36,6 +36,12 @@ def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.hyperminhash import duplicate_components
 
