@@ -1,26 +1,66 @@
-"""The corpus pipeline: stages over documents, each an operator of paperloom.llm."""
+"""The corpus pipeline: stages over documents, each an operator of paperloom.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs. All but the last return the columns of
+documents. Nulls, repeated rows, empty tables and extra columns are met as the operators'
+docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.llm.compression_quality import fit, score_quality
+from paperloom.llm.hyperminhash import near_duplicates
+from paperloom.llm.positional_index import decontaminate
 from paperloom.llm.ring_sharding import ring_shard
+from paperloom.llm.source_mixing import mix_sources
+from paperloom.llm.store import scratch
+from paperloom.session import table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the least doc_id."""
+    return near_duplicates(docs).select(*docs.columns)
 
 
-def _shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix draws it."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the mix with their shards and slots."""
     return ring_shard(docs)
 
 
-STAGES = [("sharding", _shard)]
+STAGES = [
+    ("quality classifier", quality),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
+#: SQL expresses none of the first two stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paperloom.llm.store import scratch
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    """STAGES applied to documents, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             path = scratch(spark, f"stage-{i}")
