@@ -39,13 +39,14 @@ def settled(events: DataFrame, stable_seconds: float, timeout_seconds: float) ->
         rows, state = [], None
         for r in pdf.sort_values(["ts", "event_id"]).itertuples():
             state, fired = step(state, r.ts.timestamp(), r.event_type, r.signature, stable_seconds, timeout_seconds)
-            rows += [(r.path, pd.Timestamp(t, unit="s"), why) for t, why in fired]
+            rows += [(r.path, t, why) for t, why in fired]
         if state:
             t = min(state[1] + stable_seconds, state[2] + timeout_seconds)
-            rows.append((pdf.path.iloc[0], pd.Timestamp(t, unit="s"), "stable" if t == state[1] + stable_seconds else "timeout"))
-        return pd.DataFrame(rows, columns=["path", "fired_at", "reason"])
+            rows.append((pdf.path.iloc[0], t, "stable" if t == state[1] + stable_seconds else "timeout"))
+        return pd.DataFrame(rows, columns=["path", "at", "reason"]).astype({"at": float})
 
-    return events.select("path", "event_id", "ts", "event_type", "signature").groupBy("path").applyInPandas(fold, "path string, fired_at timestamp_ntz, reason string")
+    found = events.select("path", "event_id", "ts", "event_type", "signature").groupBy("path").applyInPandas(fold, "path string, at double, reason string")
+    return found.select("path", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")).alias("fired_at"), "reason")
 
 
 def step(state, now: float, kind: str, signature, stable: float, timeout: float):
