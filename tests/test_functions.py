@@ -127,3 +127,12 @@ def test_budget_and_chunks(spark):
     assert got == {"a": None, "b": "image", "c": "over-budget", "d": "over-budget"}
     rows = spark.createDataFrame([("g", i, t) for i, t in enumerate([4, 4, 4, 20, 1])], "g string, i int, tokens bigint")
     assert [r["chunk"] for r in pack.chunks(rows, 8, "g", ["i"]).orderBy("i").collect()] == [1, 1, 2, 3, 4]
+
+
+def test_fields():
+    from paperloom.operators.fields import fields_of
+
+    got = fields_of("Acme Ltd\nTotal units  3.00\nTotal  -$1,234.56\nTax ID: 12-3456789\nTax  $84.56\nDate:\n2026-03-04\nNet 30\n")
+    assert (got["total"]["value"], got["tax"]["value"], got["date"]["value"], got["due"]["value"], got["vendor"]["value"]) == ("-1234.56", "84.56", "2026-03-04", "2026-04-03", "Acme Ltd")
+    assert "due" not in fields_of("Date: 2026-03-04\nNet  500.00\n") and fields_of("")["profile"]["value"] == "invoice"
+    assert fields_of("$1.50 and 1.50 € and 2.00 €")["currency"]["value"] == "EUR"
