@@ -19,6 +19,10 @@ from paperloom.llm.store import scratch
 from paperloom.session import table
 
 
+#: Jaccard index of five-word shingles from which the near-dedup stage links (op6's own contract is 0.85).
+NEAR = 0.8
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    return near_duplicates(docs).select(*docs.columns)
+    return near_duplicates(docs, threshold=NEAR).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

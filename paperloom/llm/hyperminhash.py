@@ -6,10 +6,11 @@ and keeps each bucket's minimum as leading-zero count and mantissa bits: 6 + 10
 banding, folded to one byte for estimation. Empty buckets borrow from another bucket that
 is chosen by hash alone, so equal registers keep the probability of the Jaccard index.
 
-Candidates: each of 20 bands joins the registers of 4 tables. A pair at the threshold of
-0.85 shares no band with probability under 10**-6. Sets of up to 64 shingles, for which
+Candidates: each band joins the registers of 4 tables. There are 20 bands, and more where a
+lower threshold needs them (27 at 0.8): a pair at the threshold shares no band with
+probability under 10**-6. Sets of up to 64 shingles, for which
 registers say little, are found exactly instead: two such sets over the threshold share
-one of the 15% least hashes of either set (prefix filter), which serve as keys beside the
+one of the least hashes of either set (15% at 0.85; prefix filter), which serve as keys beside the
 bands. A pair over the threshold has both sets on the same side or the smaller at 55 or
 more, so keys overlap there.
 
@@ -44,7 +45,7 @@ from paperloom.llm.wordcodes import U, mix, ragged, shingles, word_codes
 
 SHINGLE, THRESHOLD = 5, 0.85
 TABLES, BUCKETS = 8, 64
-BANDS, ROWS = 20, 4
+BANDS, ROWS, MISSED = 20, 4, 1e-6
 SMALL = 64
 #: Standard deviations under the threshold at which an estimate still makes a candidate.
 MARGIN = 5.5
@@ -119,12 +120,17 @@ def least_equal(threshold: float, sizes):
     return TABLES * BUCKETS * (p - MARGIN * np.sqrt(p * (1 - p) / samples))
 
 
-def band_keys(reg: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of ROWS registers from as many tables."""
-    key = np.zeros(BANDS, U)
+def n_bands(percent: int) -> int:
+    """So many bands that a pair at the threshold shares none with probability under MISSED; BANDS at least."""
+    return min(BUCKETS, max(BANDS, int(np.ceil(np.log(MISSED) / np.log1p(-((percent / 100) ** ROWS))))) if percent < 100 else BANDS)
+
+
+def band_keys(reg: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Keys of so many bands, each of ROWS registers from as many tables."""
+    key = np.zeros(bands, U)
     for r in range(ROWS):
-        key = mix(key * U(31) + reg[r, :BANDS].astype(U) + U(r + 1))
-    return mix(key + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
+        key = mix(key * U(31) + reg[r, :bands].astype(U) + U(r + 1))
+    return mix(key + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 def prefix_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -149,7 +155,7 @@ def signature(codes: np.ndarray, percent: int) -> tuple[int, bytes | None, np.nd
     reg = compress(registers(s))
     keys = []
     if _has_bands(n, percent):
-        keys.append(band_keys(reg))
+        keys.append(band_keys(reg, n_bands(percent)))
     if n <= SMALL:
         keys.append(prefix_keys(s, percent))
     return n, digest, np.concatenate(keys).view(np.int64), fold(reg).tobytes()
@@ -248,10 +254,12 @@ def _bucket_mapper(threshold: float, nearest: bool):
 
 def _bands(keys: pa.Array, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """The band keys of each row, 0 for sets that have none."""
-    out = np.zeros((len(sizes), BANDS), np.int64)
-    has = np.flatnonzero(_has_bands(sizes, round(threshold * 100)))
+    percent = round(threshold * 100)
+    bands = n_bands(percent)
+    out = np.zeros((len(sizes), bands), np.int64)
+    has = np.flatnonzero(_has_bands(sizes, percent))
     at = keys.offsets.to_numpy()[:-1][has].astype(np.int64)
-    out[has] = keys.values.to_numpy()[at[:, None] + np.arange(BANDS)]
+    out[has] = keys.values.to_numpy()[at[:, None] + np.arange(bands)]
     return out
 
 

@@ -25,6 +25,32 @@ def test_pipeline(spark):
     assert c.run(spark, DATA).count() == counts[-1]
 
 
+def test_near_dedup_links_from_four_fifths(spark):
+    """Against brute force at 0.8, with pairs between 0.80 and 0.85."""
+    import random
+
+    import corpus_pipeline as c
+
+    rng, rows = random.Random(5), []
+    for i in range(150):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 58, 90, 200, 600]))]
+        rows.append((2 * i, " ".join(w)))
+        cut = int(len(w) * rng.uniform(0.06, 0.14))
+        rows.append((2 * i + 1, " ".join(w[cut:] + [f"n{rng.randrange(5000)}" for _ in range(rng.randrange(cut + 1))])))
+    rows.append((1000, None))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").split())}
+    linked, between = set(), 0
+    for i in range(150):
+        s, t = sets[2 * i], sets[2 * i + 1]
+        share = len(s & t) / len(s | t)
+        between += 0.8 <= share < 0.85
+        if 100 * len(s & t) >= 80 * len(s | t):
+            linked.add(2 * i + 1)
+    assert between >= 10 and len(linked) < 140
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in c.near_dedup(spark, docs, DATA).collect()} == {i for i, _ in rows} - linked
+
+
 def test_clean_operators_need_no_llm():
     import subprocess
     import sys
