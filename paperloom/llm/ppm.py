@@ -11,10 +11,11 @@ depend on the trie only, so they are worked out once, and scoring is a few table
 per byte, vectorised over whole batches.
 
 The counts cover all training documents: each task counts its grams, and sums are joined
-in one aggregation; lower orders are sums of the highest. The trie of the scoring tasks is
-bounded by GRAMS entries per order: if there are more, the rarest, below a count found
-from the histogram of counts, are left out of the trie (the escapes stand in for them). So
-it can be broadcast at any corpus size.
+in one aggregation; lower orders are sums of the highest. The whole trie stays distributed:
+per order a table of grams and one of contexts with their escapes and exclusions. Only the
+finished logs of at most GRAMS frequent grams of the highest order are broadcast; a text's
+other grams, counted per row, meet theirs in a join, where those that no training document
+has go down the orders by joins as well. So each score reads the whole trie at any size.
 
 Beside it stands the unigram base score on words. Word counts cover all training tokens
 and stay distributed: only the HOT_WORDS most frequent are broadcast, and tokens of all
@@ -143,17 +144,15 @@ def _counter(order: int):
     return count
 
 
-def _bounded(counts: DataFrame, most: int, floor: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, counts) of the (key, n) rows with the largest counts, at most `most`, none under floor; the least count that is taken."""
+def _least(counts: DataFrame, most: int) -> int:
+    """The count from which on at most `most` of the (key, n) rows are left."""
     histogram = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("c")).count().collect()  # at most 2**20 rows; few in fact
-    total, least = 0, floor
+    total = 0
     for c, m in sorted(histogram, reverse=True):
         total += m
         if total > most:
-            least = max(least, c + 1)  # what is as rare as these, or rarer, is left out
-            break
-    got = counts.where(F.col("n") >= least).select("key", "n").toArrow()
-    return got.column("key").to_numpy().view(U), got.column("n").to_numpy(), least
+            return c + 1
+    return 1
 
 
 class Table:
@@ -204,7 +203,10 @@ class Table:
 
 @dataclass
 class Trie:
-    """The trie. Per order k: gram keys (k context bytes and the symbol), their log counts, context keys and their four logs."""
+    """The trie in one place, the plain form of trie_tables and gram_logs.
+
+    Per order k: gram keys (k context bytes and the symbol), their log counts, context keys and their four logs.
+    """
 
     order: int
     grams: list[np.ndarray]
@@ -247,20 +249,6 @@ class Trie:
                 self.top = (np.log10(n - DISCOUNT) - np.repeat(stay0, kinds.astype(np.int64))).astype(np.float32)
         return self
 
-    def pack(self) -> dict:
-        """Plain arrays of the prepared trie, for the broadcast."""
-        return {
-            "order": self.order, "top": self.top, "log_n": [x.astype(np.float32) for x in self.log_n], "contexts": [x.astype(np.float32) for x in self.contexts],
-            "gram_table": [t.parts for t in self.gram_table], "context_table": [t.parts for t in self.context_table],
-        }
-
-    @staticmethod
-    def unpack(data: dict) -> Trie:
-        t = Trie(data["order"], [], [])
-        t.top, t.log_n, t.contexts = data["top"], data["log_n"], data["contexts"]
-        t.gram_table, t.context_table = ([Table.made(p) for p in data[k]] for k in ("gram_table", "context_table"))
-        return t
-
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte, given by its gram key of the highest order."""
         row = self.gram_table[self.order].rows(keys)
@@ -295,65 +283,122 @@ class Trie:
         return out
 
 
-def _scorer(trie, hot, order: int):
-    """(row columns..., text, held) in; the columns with token counts, base sums over frequent words, scores, other words out."""
+def _low(key, size: int):
+    """The last size bytes of a gram key."""
+    return F.col(key).bitwiseAND(F.lit((1 << (8 * size)) - 1))
+
+
+def trie_tables(top: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per order k the grams (key, n) and the contexts (ctx, total, kinds, rest_total, rest_kinds); top has those of the highest order.
+
+    rest is what the context one byte shorter has besides this context's kinds. Grams of up
+    to two bytes and contexts of up to two are few whatever the corpus, and are broadcast.
+    """
+    grams = [top]
+    for k in range(order - 1, -1, -1):
+        grams.insert(0, keep(grams[0].select(_low("key", k + 1).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))))
+    contexts: list[DataFrame] = []
+    for k in range(order + 1):
+        own = grams[k].withColumn("ctx", F.shiftrightunsigned("key", 8))
+        if k == 0:
+            found = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            contexts.append(keep(found.withColumns({"rest_total": F.lit(0).cast("bigint"), "rest_kinds": F.lit(0).cast("bigint")})))
+            continue
+        short = grams[k - 1].select(F.col("key").alias("_short"), F.col("n").alias("_n"))
+        met = own.withColumn("_short", _low("key", k)).join(F.broadcast(short) if k < 3 else short, "_short")
+        found = met.groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("_n").alias("_n"))
+        parent = contexts[k - 1].select(F.col("ctx").alias("_parent"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds"))
+        found = found.withColumn("_parent", _low("ctx", k - 1)).join(F.broadcast(parent) if k < 4 else parent, "_parent")
+        contexts.append(keep(found.select("ctx", "total", "kinds", (F.col("_total") - F.col("_n")).alias("rest_total"), (F.col("_kinds") - F.col("kinds")).alias("rest_kinds"))))
+    return grams, contexts
+
+
+def gram_logs(keys: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(key, log) of distinct gram keys of the highest order: log10 of the probability of their last byte."""
+    order = len(grams) - 1
+    state = ["key", "log", "done", "rest_total", "rest_kinds"]
+    none = F.lit(None).cast("bigint")
+    open_ = keys.select("key", F.lit(0.0).alias("log"), F.lit(False).alias("done"), none.alias("rest_total"), none.alias("rest_kinds"))
+    settled = None
+    for k in range(order, -1, -1):
+        g = grams[k].select(F.col("key").alias("_g"), F.col("n").alias("_n"))
+        c = contexts[k].select(F.col("ctx").alias("_c"), F.col("total").alias("_total"), F.col("kinds").alias("_kinds"), F.col("rest_total").alias("_rt"), F.col("rest_kinds").alias("_rk"))
+        met = open_.withColumn("_g", _low("key", k + 1)).join(F.broadcast(g) if k < 2 else g, "_g", "left").withColumn("_c", F.shiftrightunsigned("_g", 8))
+        met = met.join(F.broadcast(c) if k < 3 else c, "_c", "left")
+        # A longer context that was escaped from takes its kinds out of this one.
+        started = F.col("rest_total").isNotNull()
+        stay = F.log10(F.when(started, F.col("rest_total")).otherwise(F.col("_total")))
+        left = F.when(started, F.col("rest_kinds")).otherwise(F.col("_kinds"))
+        escape = F.when(left > 0, F.log10(F.lit(DISCOUNT) * left) - stay).otherwise(0.0)
+        here = F.when(F.col("_n").isNotNull(), F.log10(F.col("_n") - F.lit(DISCOUNT)) - stay).when(F.col("_total").isNotNull(), escape).otherwise(0.0)
+        if k == 0:  # what no training document has shares the bytes that are left
+            here += F.when(F.col("_n").isNull(), -F.log10(F.greatest(F.lit(256) - F.coalesce("_kinds", F.lit(0)), F.lit(1)))).otherwise(0.0)
+        new = met.select("key", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") + here).alias("log"), (F.col("done") | F.col("_n").isNotNull()).alias("done"), F.col("_rt").alias("rest_total"), F.col("_rk").alias("rest_kinds"))
+        if k == order:
+            new = keep(new)
+            settled, open_ = new.where("done"), new.where("NOT done")
+        else:
+            open_ = new.select(*state)
+    if order == 0:
+        return new.select("key", "log")
+    return settled.select("key", "log").unionByName(open_.select("key", "log"))
+
+
+def _distinct(owner: np.ndarray, keys: np.ndarray, rows: int):
+    """(keys, times, how many keys each row has) of the distinct keys of each row."""
+    by = np.lexsort((keys, owner))
+    owner, keys = owner[by], keys[by]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])]) if len(keys) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    lens = np.bincount(owner[first], minlength=rows)
+    return ragged(keys[first].view(np.int64), lens, pa.int64()), ragged(np.diff(np.append(first, len(keys))).astype(np.int32), lens, pa.int32())
+
+
+def _scorer(grams, hot, order: int):
+    """(row columns..., text, held) in; the columns with token counts, sums over frequent words and grams, other words and grams out."""
 
     def score(batches):
-        model = Trie.unpack(trie.value)
-        words = hot.value
-        table, logs = Table.made(words["table"]), words["logs"]
+        model, words = grams.value, hot.value
+        gram_table, gram_logs_, table, logs = Table.made(model["table"]), model["logs"], Table.made(words["table"]), words["logs"]
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             at = batch.num_columns - 1
             column, rows = batch.column(at), batch.num_rows
-            total = np.zeros(rows)
+            total, owners, others = np.zeros(rows), [np.zeros(0, np.int64)], [np.zeros(0, U)]
             for part in _pieces(column, np.arange(rows)):
                 data, starts, ends = stream([t for _, t in part], order)
-                keys = gram_keys(data, order)
-                logp = model.log10(keys[_coded(starts, ends, len(data))])
-                first = np.concatenate([[0], np.cumsum(ends - starts)[:-1]])
-                total[[r for r, _ in part]] = np.add.reduceat(logp, first)
+                keys = gram_keys(data, order)[_coded(starts, ends, len(data))]
+                row = gram_table.rows(keys)
+                known = row >= 0
+                owner = np.repeat([r for r, _ in part], ends - starts)
+                total += np.bincount(owner[known], gram_logs_[row[known]], rows)
+                owners.append(owner[~known])
+                others.append(keys[~known])
+            tail = _distinct(np.concatenate(owners), np.concatenate(others), rows)
             codes, offs = word_codes(column, lower=True)
             row = table.rows(codes)
             known = row >= 0
             owner = np.repeat(np.arange(rows), np.diff(offs))
             base = np.bincount(owner[known], logs[row[known]], rows) + words["end"]
             n_known = np.bincount(owner[known], minlength=rows) + words["end_known"]
-            rare_owner, rare = owner[~known], codes[~known]
-            by = np.lexsort((rare, rare_owner))
-            rare_owner, rare = rare_owner[by], rare[by]
-            new = np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])]) if len(rare) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rare)))
-            lens = np.bincount(rare_owner[first], minlength=rows)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in range(at)),
                     pa.array(np.diff(offs) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(total),
-                    ragged(rare[first].view(np.int64), lens, pa.int64()), ragged(times.astype(np.int32), lens, pa.int32()),
+                    *_distinct(owner[~known], codes[~known], rows), *tail,
                 ],
-                [*(batch.schema.names[:at]), "n_tokens", "_known", "_base", "score", "_rare", "_times"],
+                [*(batch.schema.names[:at]), "n_tokens", "_known", "_base", "_score", "_rare", "_times", "_grams", "_gram_times"],
             )
 
     return score
 
 
-def train(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER) -> tuple[DataFrame, Trie, int]:
-    """(checkpointed word counts (key, n), trie, number of training documents)."""
+def train(docs: DataFrame, learn: Column, text: str = "text", order: int = ORDER) -> tuple[DataFrame, DataFrame, int]:
+    """(checkpointed word counts (key, n), those of the highest order's grams, number of training documents)."""
     seen = docs.select(F.col(text).alias("t"), F.coalesce(learn, F.lit(False)).alias("l"))
     counted = seen.mapInArrow(_counter(order), "kind tinyint, key bigint, n bigint")
     counted = keep(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    grams, counts, floor = [], [], 1
-    for k in range(order + 1):
-        mask = (1 << (8 * (k + 1))) - 1
-        at = counted.where("kind = 0").select(F.col("key").bitwiseAND(F.lit(mask)).alias("key"), "n")
-        if k < order:
-            at = at.groupBy("key").agg(F.sum("n").alias("n"))
-        # A longer context keeps no rarer grams than a shorter one, so each kind is also known to the shorter.
-        keys, n, floor = _bounded(at, GRAMS, floor)
-        grams.append(keys)
-        counts.append(n)
-    return counted.where("kind = 1").select("key", "n"), Trie(order, grams, counts), int(total)
+    return counted.where("kind = 1").select("key", "n"), counted.where("kind = 0").select("key", "n"), int(total)
 
 
 def score_documents(docs: DataFrame, held_out: Column, text: str = "text", carry: list[str] | None = None, order: int = ORDER) -> DataFrame:
@@ -361,23 +406,31 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", carry
     spark = docs.sparkSession
     made = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in (docs.columns if carry is None else carry) if c not in made]
-    words, trie, documents = train(docs, ~held_out, text, order)
+    words, top, documents = train(docs, ~held_out, text, order)
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = int(size[0]) + documents, int(size[1]) + (1 if documents else 0)
     unit = np.log10(float(tokens + kinds + 1))
-    keys, n, _ = _bounded(words, HOT_WORDS)
+    got = words.where(F.col("n") >= _least(words, HOT_WORDS)).toArrow()  # at most HOT_WORDS rows
+    keys, n = got.column("key").to_numpy().view(U), got.column("n").to_numpy()
     hot = {"table": Table(keys).parts, "logs": np.log10(n + 1.0) - unit, "end": float(np.log10(documents + 1.0) - unit), "end_known": int(documents > 0)}
-    shared = spark.sparkContext.broadcast(trie.prepare().pack()), spark.sparkContext.broadcast(hot)  # bounded by GRAMS and HOT_WORDS
+    grams, contexts = trie_tables(top, order)
+    often = top.where(F.col("n") >= _least(top, GRAMS)).withColumn("ctx", F.shiftrightunsigned("key", 8))
+    got = often.join(contexts[order], "ctx").select("key", (F.log10(F.col("n") - F.lit(DISCOUNT)) - F.log10("total")).alias("log")).toArrow()  # at most GRAMS rows
+    known = {"table": Table(got.column("key").to_numpy().view(U)).parts, "logs": got.column("log").to_numpy()}
+    shared = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(hot)  # bounded by GRAMS and HOT_WORDS
     inputs = docs.select(*names, held_out.alias("held_out"), F.monotonically_increasing_id().alias("_uid"), F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.drop("_text").schema)
-    schema += ", n_tokens bigint, _known bigint, _base double, score double, _rare array<bigint>, _times array<int>"
+    schema += ", n_tokens bigint, _known bigint, _base double, _score double, _rare array<bigint>, _times array<int>, _grams array<bigint>, _gram_times array<int>"
     scored = keep(inputs.mapInArrow(_scorer(*shared, order), schema))
     rare = scored.select("_uid", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select("_uid", F.col("r._rare").alias("key"), F.col("r._times").alias("m"))
     # Frequent words are not among these, so no key of the join is hot.
     met = rare.join(words, "key", "left")
     each = F.col("m") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(float(unit)))
     sums = met.groupBy("_uid").agg(F.sum(each).alias("_more"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("_found"))
-    joined = scored.drop("_rare", "_times").join(sums, "_uid", "left")
+    tail = scored.select("_uid", F.explode(F.arrays_zip("_grams", "_gram_times")).alias("r")).select("_uid", F.col("r._grams").alias("key"), F.col("r._gram_times").alias("m"))
+    gram_log = gram_logs(tail.select("key").distinct(), grams, contexts)
+    gram_sums = tail.join(gram_log, "key").groupBy("_uid").agg(F.sum(F.col("m") * F.col("log")).alias("_tail"))
+    joined = scored.drop("_rare", "_times", "_grams", "_gram_times").join(sums, "_uid", "left").join(gram_sums, "_uid", "left")
     return joined.select(
         *names,
         "held_out",
@@ -385,5 +438,5 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", carry
         (F.col("_known") + F.coalesce("_found", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("_score") + F.coalesce("_tail", F.lit(0.0))).alias("score"),
     )

@@ -343,6 +343,25 @@ def test_language_model(spark, docs, empty):
         assert (10 ** trie.log10(np.array([base | s for s in range(256)], np.uint64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("most", [0, 100, 1_500_000])
+def test_language_model_scores_with_the_whole_trie(spark, docs, monkeypatch, most):
+    from paperloom.llm import ppm
+    from paperloom.llm.compression_quality import held_out
+
+    monkeypatch.setattr(ppm, "GRAMS", most)
+    rows = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+
+    def keys(texts):
+        data, starts, ends = ppm.stream(texts, 5)
+        return ppm.gram_keys(data, 5)[[i for a, b in zip(starts, ends) for i in range(a, b)]]
+
+    learnt = keys([t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    counts = [np.unique(learnt & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True) for k in range(6)]
+    trie = ppm.Trie(5, [x for x, _ in counts], [x for _, x in counts]).prepare()
+    for r in ppm.score_documents(docs, held_out("doc_id", 7, 2)).collect():
+        assert r["score"] == pytest.approx(trie.log10(keys([rows[r["doc_id"]]])).sum(), rel=1e-5)
+
+
 def test_license_scan(spark, empty):
     from paperloom.llm.license_scan import judge, scan_licenses
 
