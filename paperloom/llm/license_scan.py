@@ -11,10 +11,11 @@ paragraph agrees with one of the family's templates: enough of the template's wo
 trigrams must be present (containment), else the paragraph stays unknown.
 
 Training runs on the driver over the templates below, which are constant. The main path is
-DataFrame functions only: paragraphs are lines of the text (a blank line also ends one);
-candidate paragraphs are exploded to n-grams, joined with the broadcast weights (at most
-FEATURES rows), summed per paragraph by a map-side combined aggregation, and reported per
-document.
+DataFrame functions only: paragraphs are the blocks of lines between blank lines, so wrapped
+notices are judged whole, and each line of a block, so a one-line notice inside a block
+counts too. The n-grams around the anchors of candidate paragraphs are joined with the
+broadcast weights (at most FEATURES rows), summed per paragraph by a map-side combined
+aggregation, and reported per document.
 
 Defined cases: null and empty texts have no paragraphs and no licence; repeated rows are
 judged alike; equal ids with different texts are judged apart; an empty table gives an
@@ -97,6 +98,9 @@ ANCHORS = (
     "warranties clause noncommercial nc"
 ).split()
 
+#: Blank lines between blocks, after line ends are made even.
+BLANK = r"\n(?:[ \t]*\n)+"
+
 _WORD = re.compile(r"[a-z0-9.]*[a-z0-9]")
 WORD = r"[a-z0-9.]*[a-z0-9]"
 
@@ -189,15 +193,30 @@ def _word_array(text):
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _grams(ws: str, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+def _trigrams(ws: str):
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))
+
+
+def _anchored(ws: str):
+    """The distinct 1- to 3-grams that hold an anchor."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))), lambda i: F.get(ws, i - 1).isin(*ANCHORS))
+    around = [(back, n) for n in (1, 2, 3) for back in range(n)]
+
+    def grams(i):
+        each = [F.when((i > back) & (i - back + n - 1 <= F.size(ws)), F.array_join(F.slice(ws, i - back, n), " ")) for back, n in around]
+        return F.array_compact(F.array(*each))
+
+    return F.array_distinct(F.flatten(F.transform(places, grams)))
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, t, para, p): the paragraphs that hold an anchor word, t a hash of the text."""
+    """(id, t, para, p): the paragraphs that hold an anchor word, t a hash of the text: lines, then blocks of several lines."""
     body = F.coalesce(F.col(text), F.lit(""))
     gate = "(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + ")(?![a-z0-9])"
-    rows = docs.where(body.rlike(gate)).select(F.col(key).alias("id"), F.xxhash64(body).alias("t"), F.posexplode(F.split(body, r"\R")).alias("para", "p"))
+    even = docs.where(body.rlike(gate)).select(F.col(key).alias("id"), F.xxhash64(body).alias("t"), F.regexp_replace(body, r"\R", "\n").alias("b"))
+    blocks = F.transform(F.split("b", BLANK), lambda x: F.regexp_replace(x, "^\n|\n$", ""))
+    blocks = F.filter(blocks, lambda x: F.contains(x, F.lit("\n")))
+    rows = even.select("id", "t", F.posexplode(F.concat(F.split("b", "\n"), blocks)).alias("para", "p"))
     return rows.where(F.col("p").rlike(gate))
 
 
@@ -206,22 +225,24 @@ def classify(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     families, weights, intercept = train()
     table = literal_table(spark, weights, "gram string, w array<double>")  # at most FEATURES rows
-    anchored = found.select("id", "t", "para", _word_array(F.col("p")).alias("ws")).distinct()
-    anchored = keep(anchored)
-    all_grams = F.array_distinct(F.concat(F.array_distinct("ws"), _grams("ws", 2), _grams("ws", 3)))
-    each = anchored.select("id", "t", "para", F.explode_outer(all_grams).alias("gram"))
+    shape = [(f, [trigrams(words(t)) for t in ts]) for f, ts in TEMPLATES.items()]
+    of_templates = sorted({g for _, ts in shape for t in ts for g in t})
+    # Of a paragraph only the n-grams that weigh and the trigrams that a template has are carried on.
+    mine = F.array_distinct(F.filter(_trigrams("ws"), lambda g: g.isin(*of_templates)))
+    anchored = found.select("id", "t", "para", _word_array(F.col("p")).alias("ws")).select("id", "t", "para", _anchored("ws").alias("a"), mine.alias("g"))
+    anchored = keep(anchored.dropDuplicates(["id", "t", "para"]))
+    each = anchored.select("id", "t", "para", F.explode_outer("a").alias("gram"))
     met = each.join(F.broadcast(table), "gram")
     sums = met.groupBy("id", "t", "para").agg(*[F.sum(F.round(F.get("w", F.lit(i)), 6).cast("decimal(20,6)")).cast("double").alias(f"s{i}") for i in range(len(families))])
     logits = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(intercept)]
-    scored = anchored.join(sums, ["id", "t", "para"], "left").select("id", "t", "para", "ws", F.array(*logits).alias("z"))
+    scored = anchored.join(sums, ["id", "t", "para"], "left").select("id", "t", "para", "g", F.array(*logits).alias("z"))
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max("z")))
-    best = scored.select("id", "t", "para", "ws", (F.array_position("z", top) - 1).cast("int").alias("c"), (F.lit(1.0) / total).alias("probability"))
+    best = scored.select("id", "t", "para", "g", (F.array_position("z", top) - 1).cast("int").alias("c"), (F.lit(1.0) / total).alias("probability"))
     names = F.array(*[F.lit(f) for f in families])
     best = best.withColumn("family", F.get(names, F.col("c")))
-    shape = [(f, [trigrams(words(t)) for t in ts]) for f, ts in TEMPLATES.items()]
     templates = literal_table(spark, shape, "family string, templates array<array<string>>")
-    with_t = best.join(F.broadcast(templates), "family", "left").withColumn("g", F.array_distinct(_grams("ws", 3)))
+    with_t = best.join(F.broadcast(templates), "family", "left")
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("g"))) / F.size(t)))
     judged = with_t.select("id", "t", "para", "family", "probability", F.coalesce(share, F.lit(0.0)).alias("containment"))
     sure = (F.col("probability") >= PROBABILITY) & (F.col("containment") >= CONTAINMENT) & (F.col("family") != UNKNOWN)
@@ -258,7 +279,9 @@ def judge(text: str | None) -> tuple[str | None, list[str], int]:
     table = dict(weights)
     gate = re.compile(r"(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])", re.I)
     found, n = [], 0
-    for at, p in enumerate(re.split(r"\r\n|[\n\x0b\x0c\r\x85  ]", text or "")):
+    even = re.sub(r"\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", "\n", text or "")
+    blocks = (re.sub(r"\A\n|\n\Z", "", b) for b in re.split(BLANK, even))
+    for at, p in enumerate([*even.split("\n"), *(b for b in blocks if "\n" in b)]):
         if not gate.search(p):
             continue
         n += 1

@@ -375,3 +375,40 @@ def test_license_scan(spark, empty):
     assert [got[i]["license"] for i in (0, 1, 2, 4, 5, 6)] == ["mit", "apache-2.0", None, "cc-by-nc-4.0", "cc-by-4.0", None]
     assert got[3]["licenses"] == ["gpl-3.0", "mit"] and got[9]["license"] is None
     assert scan_licenses(empty).count() == 0
+
+
+def test_license_scan_wrapped(spark):
+    from paperloom.llm.license_scan import judge, scan_licenses
+
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+    bsd = """Copyright (c) 2020, A. Person. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+    gpl = """Some tool.
+  \t
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+    block = "A tale of two rivers\nReleased under the MIT License.\nand of the sea"
+    texts = [mit, bsd, gpl, mit.replace("\n", "\r\n"), gpl.replace("\n", "\n# "), block, "He lost\nhis license\nin the river."]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i]["license"] for i in range(7)] == ["mit", "bsd-3-clause", "gpl-3.0", "mit", "gpl-3.0", "mit", None]
+    for i, t in enumerate(texts):
+        assert (got[i]["license"], list(got[i]["licenses"]), got[i]["n_candidates"]) == judge(t)
