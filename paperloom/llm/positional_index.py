@@ -185,9 +185,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, _t, item_id, pos): postings of an item's rarest term within slop words of which all its other terms stand.
 
-    Order and repetition are free; terms are compared in lower case. For items of up to slop words.
+    Order and repetition are free; terms are compared in lower case. Of a longer item each window of
+    slop words is searched for as an item of its own.
     """
-    words = keep(item_words(items, item_key, item_text).where(F.size("w") <= slop))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - slop, F.lit(0)))
+    pieces = item_words(items, item_key, item_text).select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, slop))).alias("w"))
+    words = keep(pieces.distinct())
     small = is_small(words)
     terms = words.select(F.explode("w").alias("t")).select(F.lower("t").alias("term")).distinct()
     wanted = keep(anchors(words, term_counts(docs, terms, text, small), 1 << 20))
