@@ -443,13 +443,18 @@ def _(spark, d):
 # --- mail, html, json ---------------------------------------------------------------------
 
 
+def _message(turn):
+    """What names a message."""
+    return F.struct("conv_id", turn.cast("bigint").alias("turn"))
+
+
 @query("thread_groups", """
 SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS from_user, CAST(max(turn) + 1 AS BIGINT) AS depth FROM conversations GROUP BY conv_id""")
 def _(spark, d):
     from paperloom.operators.graph import components
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role", (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"))
-    replies = c.where("turn > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", _message(F.col("turn")).alias("id"))
+    replies = c.where("turn > 0").select(F.col("id").alias("a"), _message(F.col("turn") - 1).alias("b"))
     found = components(replies)
     joined = c.join(found, c["id"] == found["node"], "left").withColumn("root", F.coalesce("component", "id"))
     return joined.groupBy("root").agg(
@@ -461,8 +466,8 @@ def _(spark, d):
 def _(spark, d):
     from paperloom.operators.graph import depths
 
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 100_000 + F.col("turn")).alias("id"))
-    c = c.withColumn("parent", F.when(F.col("turn") > 0, F.col("id") - 1).otherwise(F.lit(-1)))
+    c = table(spark, d, "conversations").select("conv_id", "turn", _message(F.col("turn")).alias("id"))
+    c = c.withColumn("parent", F.when(F.col("turn") > 0, _message(F.col("turn") - 1)))
     return depths(c, "id", "parent").select("conv_id", "turn", "depth")
 
 
