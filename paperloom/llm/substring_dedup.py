@@ -11,8 +11,10 @@ Matching statistics of WINDOW or more report the windows to remove.
 
 Equal documents are one class from the start: all but the least id lose all words, if they
 have WINDOW or more. A minimizer of more than HOT runs is salted over several shards; what
-its shards leave unmatched is matched among them in a further round, by the windows' own
-codes, as long as any shard is split. So no shard grows with one frequent passage.
+its shards leave unmatched is matched among them in further rounds, by the windows' own
+codes, as long as any shard is split. There one start stands for all starts of a window in
+documents of one id, and its verdict holds for all. So no shard grows with one frequent
+passage, and of each split window a round leaves one id a shard, which ends the rounds.
 
 Words are compared by 64-bit codes. Nothing but counts reaches the driver.
 
@@ -201,12 +203,12 @@ def _windows_mapper(window: int):
     return mapper
 
 
-def _repeated(runs: DataFrame, hot: int) -> DataFrame:
-    """The runs whose key two documents or more have, with salt and split."""
+def _repeated(runs: DataFrame, hot: int, turn: int = 0) -> DataFrame:
+    """The runs whose key two documents or more have, with salt (another each turn) and split."""
     keys = runs.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     parts = F.ceil(F.col("m") / hot).cast("int")
     marked = runs.join(keys.select("key", parts.alias("_parts")), "key")
-    return marked.withColumn("salt", F.pmod(F.xxhash64("id", "h"), F.col("_parts")).cast("int")).withColumn("split", F.col("_parts") > 1).drop("_parts")
+    return marked.withColumn("salt", F.pmod(F.xxhash64("id", "h", F.lit(turn)), F.col("_parts")).cast("int")).withColumn("split", F.col("_parts") > 1).drop("_parts")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -231,23 +233,36 @@ def removed_ranges(docs: DataFrame, profile: DataFrame, window: int = WINDOW, ho
     texts = _texts_of(docs, keep(per_doc.select("id").distinct()))
     rows = per_doc.join(texts, "id").select("id", "h", "text", "runs")
     segments = rows.mapInArrow(_segmenter(window), SEGMENT)
-    found = None
-    while True:
+
+    def resolve(segments):
         placed = segments.select("key", "salt", "id", "h", "start", "windows", "split", "codes").repartition("key", "salt").sortWithinPartitions("key", "salt")
-        resolved = keep(placed.mapInArrow(_resolver(window, shard_words), RESOLVED))
-        cuts = resolved.where("codes IS NULL").select("id", "h", "a", "b")
-        found = cuts if found is None else found.unionByName(cuts)
-        left = resolved.where("codes IS NOT NULL")
+        done = keep(placed.mapInArrow(_resolver(window, shard_words), RESOLVED))
+        return done.where("codes IS NULL").select("id", "h", "a", "b"), done.where("codes IS NOT NULL")
+
+    found, left = resolve(segments)
+    if left.isEmpty():
+        return found
+    # Between the shards of a split minimizer: whole windows, by their own codes.
+    every = keep(left.select("id", "h", "a", "codes").mapInArrow(_windows_mapper(window), "key bigint, id bigint, h bigint, start int"))
+    one = every.groupBy("key", "id").agg(F.min(F.struct("h", "start")).alias("f")).select("key", "id", "f.h", "f.start")
+    # Their words, from the segment that holds them.
+    again = _repeated(one.withColumn("windows", F.lit(1)), hot, 1)
+    joined = again.join(left.select("id", "h", "a", "b", F.col("codes").alias("seg")), ["id", "h"]).where("start >= a AND start < b")
+    piece = F.substring(F.col("seg"), (F.col("start") - F.col("a")) * 8 + 1, F.lit(8 * window))
+    segments = keep(joined.select("key", "salt", "id", "h", "start", "windows", "split", piece.alias("codes")).dropDuplicates(["key", "id"]))
+    placed, gone, turn = segments.select("key", "id", "h", "start"), None, 1
+    while True:
+        cuts, left = resolve(segments)
+        cuts = cuts.select("id", "h", F.col("a").alias("start"))
+        gone = cuts if gone is None else gone.unionByName(cuts)
         if left.isEmpty():
-            return found
-        # Between the shards of a split minimizer: whole windows, by their own codes.
-        windows = left.select("id", "h", "a", "codes").mapInArrow(_windows_mapper(window), "key bigint, id bigint, h bigint, start int")
-        again = _repeated(windows.withColumn("windows", F.lit(1)), hot)
-        # Their words, from the segment that holds them.
-        held = left.select("id", "h", "a", "b", F.col("codes").alias("seg"))
-        joined = again.join(held, ["id", "h"]).where("start >= a AND start < b")
-        piece = F.substring(F.col("seg"), (F.col("start") - F.col("a")) * 8 + 1, F.lit(8 * window))
-        segments = joined.select("key", "salt", "id", "h", "start", "windows", "split", piece.alias("codes")).distinct()
+            break
+        turn += 1
+        # An unmatched segment is one window here.
+        rest = left.select("id", "h", F.col("a").alias("start"), "codes").join(placed, ["id", "h", "start"]).withColumn("windows", F.lit(1))
+        segments = _repeated(rest, hot, turn)
+    verdict = placed.join(gone, ["id", "h", "start"]).select("key", "id").distinct()
+    return found.unionByName(every.join(verdict, ["key", "id"]).select("id", "h", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
 
 
 def _cutter():

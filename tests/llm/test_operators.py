@@ -118,6 +118,19 @@ def test_substring_dedup(docs, empty, hot, words):
     assert remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_ends_with_windows_repeated_in_a_document(spark):
+    """Two documents hold one window more often than a shard has room for."""
+    import multiprocessing.pool
+
+    from paperloom.llm.substring_dedup import remove_repeats
+
+    rows = [(i, " ".join([f"a{i}"] + ["same"] * (59 + i % 7) + [f"z{i}"])) for i in range(12)] + [(20, None), (21, "same " * 55)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pool = multiprocessing.pool.ThreadPool(1)
+    got = pool.apply_async(lambda: {tuple(r) for r in remove_repeats(docs, hot=4, shard_words=200).collect()}).get(100)
+    assert got == cut(rows)
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 50])
 def test_matching_statistics(depth):
     from paperloom.llm.fm_index import FMIndex
