@@ -21,7 +21,7 @@ def find(docs: DataFrame, kinds: list[str] | None = None, extra: list[str] = (),
 
 
 def places(docs: DataFrame, kind: str, path: str = "path", text: str = "content", most: int = 20) -> DataFrame:
-    """(path, value, count, lines, pages): where a match starts; at most `most` distinct lines and pages each.
+    """(path, value, count, n_lines, lines, pages): where a match starts; at most `most` distinct lines and pages each, n_lines counts all lines.
 
     The text is cut at every match by a control character that texts do not hold; running
     lengths of the pieces before give lines (newlines) and pages (form feeds).
@@ -38,7 +38,7 @@ def places(docs: DataFrame, kind: str, path: str = "path", text: str = "content"
         (F.regexp_count(before, F.lit("\n")) + 1).cast("bigint").alias("line"), (F.regexp_count(before, F.lit("\f")) + 1).cast("bigint").alias("page"),
     ).where("value IS NOT NULL")
     short = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
-    return found.groupBy(path, "value").agg(F.count("*").alias("count"), short("line").alias("lines"), short("page").alias("pages"))
+    return found.groupBy(path, "value").agg(F.count("*").alias("count"), F.count_distinct("line").alias("n_lines"), short("line").alias("lines"), short("page").alias("pages"))
 
 
 def link(refs: DataFrame, path: str = "path") -> DataFrame:

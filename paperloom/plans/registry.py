@@ -220,7 +220,7 @@ SELECT path, value, CAST(count(*) AS BIGINT) AS count, CAST(min(n) AS BIGINT) AS
 FROM (SELECT path, n, unnest(regexp_extract_all(line, '{EMAIL}')) AS value FROM l) GROUP BY path, value""")
 def _(spark, d):
     found = refs.places(V.docs(spark, d), "email")
-    return found.select("path", "value", "count", F.get("lines", F.lit(0)).alias("first_line"), F.size("lines").cast("bigint").alias("n_lines"))
+    return found.select("path", "value", "count", F.get("lines", F.lit(0)).alias("first_line"), "n_lines")
 
 
 _LINKED = "(" + " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_ref_sql(rx, b, c)})" for k, rx, b, c in (("email", EMAIL, False, "true"), ("ipv4", IPV4, True, "true"), ("cc", CC, True, LUHN))) + ")"
