@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paperloom-"))
-    return df.checkpoint(eager=True)
+from paperloom.session import keep as cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable from each node that has an edge.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least node reachable from each node that has an edge to another.
 
-    Every node points to the least node it knows; in each round it takes the least of what
-    its neighbours point to, and then of what that one points to, so chains halve.
+    Alternates large-star and small-star steps: each node links its larger neighbours, then
+    its smaller ones, to the least node it knows. Every step is one grouped minimum and one
+    join on a table of at most as many rows as there are edges; hubs are met by the partial
+    aggregation and by adaptive splitting of the join. Only a row count and a checksum reach
+    the driver, and rounds go on until neither changes.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = cut(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
-        met = label.join(near, label["node"] == near["x"]).select("node", F.least("component", "m").alias("to"), F.col("component").alias("old"))
-        far = met.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        new = cut(met.join(far, "to", "left").select("node", F.least("to", F.coalesce("next", "to")).alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
-        label = new.select("node", "component")
-        if not changed:
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    e = cut(e)
+    before = None
+    while True:
+        # Large star: every neighbour larger than u is linked to the least of u and its neighbours.
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: every smaller neighbour, and u itself, is linked to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        e = cut(small.where("u <> v").distinct())
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-    return label
+        before = state
+    stars = e.groupBy("u").agg(F.min("v").alias("component"))
+    roots = e.select(F.col("v").alias("u")).distinct().join(stars, "u", "left_anti")
+    return stars.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("component")))
 
 
 def depths(rows: DataFrame, node: str, parent: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -28,3 +30,35 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of TABLES under sf_dir, read by Spark alone (any Hadoop path works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or the checkpoint folder set before.
+
+    Where neither is set, a local master gets a temporary folder; a cluster raises, as its
+    executors do not share a machine's own folders.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    jsc = spark.sparkContext._jsc.sc()
+    if not path and jsc.getCheckpointDir().isDefined():
+        return jsc.getCheckpointDir().get()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any Hadoop file system, if it is there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
