@@ -18,18 +18,20 @@ In a bucket, pairs are compared on the 512 registers; the estimate corrects for
 collisions of registers. What lies 5.5 standard deviations or less below the threshold is
 a candidate, and is given by the first band that the pair shares; fewer registers count
 for small sets, whose minima are few.
-Two rounds keep the output of a group linear: first each document with its bucket's least
-document and with its nearest earlier one; then, of documents that verified links have
-not yet joined, all cross pairs. Every link is confirmed on the full sets. Buckets over
-BLOCK members are compared in blocks that are dealt to tasks on their own.
+Rounds keep the work on a group of copies linear: first each document with its block's
+least document and with its nearest earlier one, blocks of BLOCK members on their own; in
+buckets of several blocks then one member of each component with those of the others, as
+long as that finds links; at last all pairs of members that verified links have not yet
+joined, where blocks of one component do not meet. Every link is confirmed on the full sets.
 
-Equal sets are one class from the start: only the least document of each is sketched into
-buckets, and copies join its component.
+Equal sets are one class from the start: only the least row of each is sketched into
+buckets, and copies join its component. A class is named by its least id; where different
+sets share that, by a hash of id and set.
 
 Defined cases: null and empty texts, and texts without words, have empty sets, link with
 nothing and are components of their own; rows with a null id take no part and get a null
 component; rows with equal ids and different texts are judged by their texts; an empty
-table gives an empty result; extra columns pass through near_duplicates.
+table gives an empty result; extra columns pass through near_duplicates, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.components import components
 from paperloom.llm.store import keep
-from paperloom.llm.wordcodes import U, mix, ragged, shingles, word_codes
+from paperloom.llm.wordcodes import U, mix, ragged, shingle_sets, word_codes
+from paperloom.operators.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.85
 TABLES, BUCKETS = 8, 64
@@ -57,6 +59,7 @@ BROADCAST_IDS = 500_000
 
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=U) * U(0x632BE59BD9B4E019)) | U(1)
 _REST = 64 - 6
+_LOW, _EMPTY = U((1 << _REST) - 1), U((1 << 64) - 1)
 
 
 def _borrow_order() -> np.ndarray:
@@ -71,22 +74,28 @@ def _borrow_order() -> np.ndarray:
 _BORROW = _borrow_order()
 
 
-def registers(s: np.ndarray) -> np.ndarray:
-    """TABLES x BUCKETS minima of a set's hashes below the bucket bits, empty buckets filled."""
-    out = np.zeros((TABLES, BUCKETS), U)
+def registers(flat: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """sets x TABLES x BUCKETS minima of the sets' hashes below the bucket bits, empty buckets filled.
+
+    flat: the codes of all sets, none of them empty; owner: which set each belongs to.
+    """
+    out = np.empty((sets, TABLES, BUCKETS), U)
     for t in range(TABLES):
-        h = np.sort(mix(s * _SEEDS[t]))
-        b = (h >> U(_REST)).astype(np.int64)
-        first = np.flatnonzero(np.diff(b, prepend=-1))
-        has = np.zeros(BUCKETS, bool)
-        has[b[first]] = True
-        low = np.zeros(BUCKETS, U)
-        low[b[first]] = h[first] & U((1 << _REST) - 1)
-        if not has.all():
-            empty = np.flatnonzero(~has)
-            donor = _BORROW[empty]
-            low[empty] = low[donor[np.arange(len(empty)), has[donor].argmax(1)]]
-        out[t] = low
+        h = mix(flat * _SEEDS[t])
+        low = np.full(sets * BUCKETS, _EMPTY)
+        np.minimum.at(low, owner * BUCKETS + (h >> U(_REST)).astype(np.int64), h & _LOW)
+        low = low.reshape(sets, BUCKETS)
+        has = low != _EMPTY
+        filled = low.copy()
+        d, b = np.nonzero(~has)
+        for step in range(1, BUCKETS):
+            if not len(d):
+                break
+            donor = _BORROW[b, step]
+            got = has[d, donor]
+            filled[d[got], b[got]] = low[d[got], donor[got]]
+            d, b = d[~got], b[~got]
+        out[:, t] = filled
     return out
 
 
@@ -104,8 +113,21 @@ def fold(reg: np.ndarray) -> np.ndarray:
     return (mix(reg.astype(U)) & U(255)).astype(np.uint8)
 
 
-#: How often one-byte registers of different minima agree by chance.
-CHANCE = 1 / 256 + 1 / 1500
+def collisions(ratio: float = 1.0, load: float = 64.0) -> float:
+    """How often 16-bit registers of different minima agree by chance, for buckets of load and of ratio * load hashes.
+
+    The sum over all register values of the product of both laws; a minimum of k hashes is
+    exponential with rate k. It hardly depends on load, as leading zeros only shift.
+    """
+    zeros = np.arange(0, 40)[:, None]
+    lower = 2.0 ** -(zeros + 1.0) * (1 + np.arange(1 << MANTISSA)[None, :] / (1 << MANTISSA))
+    upper = lower + 2.0 ** -(zeros + 1.0 + MANTISSA)
+    law = [np.exp(-k * lower) - np.exp(-k * upper) for k in (load, ratio * load)]
+    return float((law[0] * law[1]).sum())
+
+
+#: How often one-byte registers of different minima agree by chance: by the fold, or before it.
+CHANCE = 1 / 256 + (1 - 1 / 256) * collisions()
 
 
 def estimate(equal_share):
@@ -113,11 +135,11 @@ def estimate(equal_share):
     return (equal_share - CHANCE) / (1 - CHANCE)
 
 
-def least_equal(threshold: float, sizes):
-    """How many equal registers make a candidate, by the smaller set's size (a small set has few minima to sample)."""
+def least_estimate(threshold: float, sizes):
+    """The estimate that makes a candidate, by the smaller set's size (a small set has few minima to sample)."""
     p = threshold + (1 - threshold) * CHANCE
     samples = TABLES * np.minimum(np.maximum(sizes, 1), BUCKETS)
-    return TABLES * BUCKETS * (p - MARGIN * np.sqrt(p * (1 - p) / samples))
+    return estimate(p - MARGIN * np.sqrt(p * (1 - p) / samples))
 
 
 def n_bands(percent: int) -> int:
@@ -126,10 +148,10 @@ def n_bands(percent: int) -> int:
 
 
 def band_keys(reg: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """Keys of so many bands, each of ROWS registers from as many tables."""
-    key = np.zeros(bands, U)
+    """Keys (sets x bands), each of ROWS registers from as many tables."""
+    key = np.zeros((len(reg), bands), U)
     for r in range(ROWS):
-        key = mix(key * U(31) + reg[r, :bands].astype(U) + U(r + 1))
+        key = mix(key * U(31) + reg[:, r, :bands].astype(U) + U(r + 1))
     return mix(key + np.arange(bands, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -145,48 +167,56 @@ def _has_bands(n, percent: int):
     return n * 100 > SMALL * percent - 100
 
 
-def signature(codes: np.ndarray, percent: int) -> tuple[int, bytes | None, np.ndarray, bytes | None]:
-    """(set size, set digest, keys, one-byte registers) of a text's word codes."""
-    s = shingles(codes, SHINGLE)
-    n = len(s)
-    if not n:
-        return 0, None, np.zeros(0, np.int64), None
-    digest = np.array([mix(s).sum(dtype=U), mix(s ^ U(0x94D049BB133111EB)).sum(dtype=U) + U(n)], U).tobytes()
-    reg = compress(registers(s))
-    keys = []
-    if _has_bands(n, percent):
-        keys.append(band_keys(reg, n_bands(percent)))
-    if n <= SMALL:
-        keys.append(prefix_keys(s, percent))
-    return n, digest, np.concatenate(keys).view(np.int64), fold(reg).tobytes()
+def sketch(sets: list[np.ndarray], percent: int) -> tuple[list, list, list]:
+    """(digests, keys, one-byte registers) of shingle sets; None, no keys and None for an empty one."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    digests, keys, regs = [None] * len(sets), [np.zeros(0, np.int64)] * len(sets), [None] * len(sets)
+    if not full:
+        return digests, keys, regs
+    sizes = np.array([len(sets[i]) for i in full])
+    flat, first = np.concatenate([sets[i] for i in full]), np.cumsum(sizes) - sizes
+    sums = np.stack([np.add.reduceat(mix(flat), first), np.add.reduceat(mix(flat ^ U(0x94D049BB133111EB)), first) + sizes.astype(U)], 1)
+    reg = compress(registers(flat, np.repeat(np.arange(len(full)), sizes), len(full)))
+    bands, small = band_keys(reg, n_bands(percent)).view(np.int64), fold(reg)
+    for at, i in enumerate(full):
+        digests[i], regs[i] = sums[at].tobytes(), small[at].tobytes()
+        mine = [bands[at]] if _has_bands(sizes[at], percent) else []
+        if sizes[at] <= SMALL:
+            mine.append(prefix_keys(sets[i], percent).view(np.int64))
+        keys[i] = mine[0] if len(mine) == 1 else np.concatenate(mine)
+    return digests, keys, regs
 
 
 def _sketcher(percent: int):
-    def sketch(batches):
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                codes, offs = word_codes(part.column(1), lower=True)
-                rows = [signature(codes[a:b], percent) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-                keys = [r[2] for r in rows]
+                sets = shingle_sets(*word_codes(part.column(2), lower=True), SHINGLE)
+                digests, keys, regs = sketch(sets, percent)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.binary()),
+                        part.column(1),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(digests, pa.binary()),
                         ragged(np.concatenate(keys), [len(k) for k in keys], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.binary()),
+                        pa.array(regs, pa.binary()),
                     ],
-                    ["id", "n", "digest", "keys", "reg"],
+                    ["id", "th", "n", "digest", "keys", "reg"],
                 )
 
-    return sketch
+    return run
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, text): th, a hash of the text, tells rows of one id apart."""
+    return docs.select(F.col(key).cast("bigint").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n, digest, keys, reg) of every row."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_sketcher(round(threshold * 100)), "id bigint, n bigint, digest binary, keys array<bigint>, reg binary")
+    """(id, th, n, digest, keys, reg) of every row."""
+    return _rows(docs, key, text).mapInArrow(_sketcher(round(threshold * 100)), "id bigint, th bigint, n bigint, digest binary, keys array<bigint>, reg binary")
 
 
 def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest: bool):
@@ -206,7 +236,7 @@ def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest
             if not ok.any():
                 continue
             same = (regs[rows, None, :] == regs[None, cols, :]).sum(2, dtype=np.int32)
-            ok &= same >= least_equal(threshold, lo)
+            ok &= estimate(same / (TABLES * BUCKETS)) >= least_estimate(threshold, lo)
             a, b = np.nonzero(ok)
             if not nearest:
                 shared = (bands[a + i] == bands[b + j]) & (bands[a + i] != 0)
@@ -290,28 +320,52 @@ def _whole_groups(batches):
 
 
 def bucket_members(sig: DataFrame) -> DataFrame:
-    """(bucket, id) for each key that two or more classes share. sig has one row per class."""
+    """(bucket, id, m) for each key that two or more classes share. sig has one row per class."""
     flat = sig.select("id", F.explode("keys").alias("bucket"))
     shared = flat.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     return flat.join(shared, "bucket")
 
 
-def bucket_pairs(members: DataFrame, sig: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of differing labels, from members (bucket, id, m, label)."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")
-    # One block: part -1. More: each member goes to its own block's task and to the tasks of its block with each other one.
-    others = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda j: F.when(j == F.col("_mine"), F.struct((-2 - j).alias("part"), F.lit(0).alias("side"))).otherwise(
-            F.struct((F.least(j, F.col("_mine")) * F.col("_blocks") + F.greatest(j, F.col("_mine"))).alias("part"), (j > F.col("_mine")).cast("int").alias("side"))
-        ),
-    )
+def own_blocks(members: DataFrame) -> DataFrame:
+    """members (bucket, id, m, label) with part and side: each bucket's members in blocks of about BLOCK, which meet no other block."""
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("m") / BLOCK)).cast("int")
+    return members.select("bucket", "id", "label", (-1 - part).alias("part"), F.lit(0).alias("side"))
+
+
+def cross_blocks(members: DataFrame) -> DataFrame:
+    """members with part and side: every two members of different labels meet in some part.
+
+    A bucket of up to BLOCK members is one part. In a larger one, each label of BLOCK members or
+    more has blocks of its own, the other labels are dealt to shared blocks; a block meets each
+    other one, but for blocks of its own label, whose members are linked already.
+    """
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    large = F.when(F.col("c") >= BLOCK, F.struct("label", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"), "c"))
+    shape = counts.groupBy("bucket").agg(F.sum("c").alias("m"), F.array_sort(F.collect_list(large)).alias("large")).where(F.col("m") > BLOCK)
+    shared = F.ceil((F.col("m") - F.aggregate("large", F.lit(0).cast("bigint"), lambda a, x: a + x["c"])) / BLOCK).cast("int")
+    own = F.flatten(F.transform("large", lambda x: F.array_repeat(x["label"], x["k"])))
+    shape = shape.select(F.col("bucket").alias("_b"), shared.alias("_shared"), own.alias("_own"))
+    met = members.join(shape, F.col("bucket") == F.col("_b"), "left")
+    first = F.array_position("_own", F.col("label")).cast("int")  # from 1; 0 if the label has no blocks of its own
+    mine = F.size(F.filter("_own", lambda x: x == F.col("label")))
+    at = F.when(first > 0, F.col("_shared") + first - 1 + F.pmod(F.xxhash64("id", F.lit(3)), mine)).otherwise(F.pmod(F.xxhash64("label", F.lit(3)), F.greatest("_shared", F.lit(1))))
+    met = met.withColumn("_at", at.cast("int")).withColumn("_n", F.col("_shared") + F.size("_own"))
+
+    def with_block(j):
+        owner = F.get("_own", j - F.col("_shared"))
+        low, high = F.least(j, F.col("_at")), F.greatest(j, F.col("_at"))
+        pair = F.struct((low * F.col("_n") + high).alias("part"), (j > F.col("_at")).cast("int").alias("side"))
+        alone = F.struct((-2 - j).alias("part"), F.lit(0).alias("side"))
+        return F.when((j >= F.col("_shared")) & (owner == F.col("label")), F.lit(None)).when(j == F.col("_at"), alone).otherwise(pair)
+
+    blocks = F.array_compact(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), with_block))
     one = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("side")))
-    dealt = members.withColumn("_blocks", blocks).withColumn("_mine", mine).select(
-        "bucket", "id", "label", F.explode(F.when(F.col("_blocks") == 1, one).otherwise(others)).alias("p")
-    )
-    rows = dealt.join(sig.select("id", "n", "reg", "keys"), "id").select("bucket", F.col("p.part").cast("int").alias("part"), F.col("p.side").cast("int").alias("side"), "id", "n", "label", "reg", "keys")
+    return met.select("bucket", "id", "label", F.explode(F.when(F.col("_n").isNull(), one).otherwise(blocks)).alias("p")).select("bucket", "id", "label", "p.part", "p.side")
+
+
+def bucket_pairs(dealt: DataFrame, sig: DataFrame, threshold: float, nearest: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of differing labels, within the parts of dealt (bucket, id, label, part, side)."""
+    rows = dealt.join(sig.select("id", "n", "reg", "keys"), "id").select("bucket", F.col("part").cast("bigint"), F.col("side").cast("int"), "id", "n", "label", "reg", "keys")
     sorted_ = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return sorted_.mapInArrow(_bucket_mapper(threshold, nearest), "a bigint, b bigint").distinct()
 
@@ -319,9 +373,8 @@ def bucket_pairs(members: DataFrame, sig: DataFrame, threshold: float, nearest:
 def _set_mapper():
     def mapper(batches):
         for batch in batches:
-            codes, offs = word_codes(batch.column(1), lower=True)
-            sets = [shingles(codes[a:b], SHINGLE).tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "s"])
+            sets = shingle_sets(*word_codes(batch.column(1), lower=True), SHINGLE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s"])
 
     return mapper
 
@@ -340,60 +393,95 @@ def _checker(percent: int):
     return check
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold; docs has (id, text).
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of nodes whose full shingle sets reach the threshold; classes has (node, id, th), texts (id, th, text).
 
-    The ids whose sets are needed are broadcast to the scan of the texts up to a checked
+    The rows whose sets are needed are broadcast to the scan of the texts up to a checked
     number; beyond it the texts are shuffled to them.
     """
     pairs = keep(pairs)
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = keep(classes.join(needed, "node", "left_semi").select("node", "id", "th"))
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = texts.mapInArrow(_set_mapper(), "id bigint, s binary").distinct()
+    rows = texts.join(F.broadcast(wanted) if few else wanted, ["id", "th"]).select("node", "text")
+    sets = rows.mapInArrow(_set_mapper(), "id bigint, s binary").dropDuplicates(["id"])
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_checker(round(threshold * 100)), "a bigint, b bigint").distinct()
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with their component as label, of the buckets that hold several components."""
-    marked = members.drop("label").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    marked = marked.select("bucket", "id", "m", F.coalesce("component", "id").alias("label"))
-    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    return marked.join(mixed.select("bucket"), "bucket")
+def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (bucket, id, m, label), their component as label, of the buckets that hold several components."""
+    found = components(links).withColumnRenamed("node", "id")
+    marked = members.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    mixed = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    return marked.join(mixed.select("bucket", "m"), "bucket")
+
+
+def linked(sig: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): confirmed links between nodes; the components are those of all links. sig has one row per node, as id."""
+    members = keep(bucket_members(sig))
+    first = bucket_pairs(own_blocks(members.withColumn("label", F.col("id"))), sig, threshold, True)
+    links = keep(confirm(first, classes, texts, threshold))
+    left = keep(_unsettled(members, links))
+    while True:
+        # Of large buckets one member per component meets those of the others, block by block, as long as links are found.
+        heads = left.where(F.col("m") > BLOCK).groupBy("bucket", "label").agg(F.min("id").alias("id"))
+        heads = heads.join(heads.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
+        if heads.isEmpty():
+            break
+        more = keep(confirm(bucket_pairs(own_blocks(heads), sig, threshold, True), classes, texts, threshold))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        left = keep(_unsettled(left, links))
+    last = confirm(bucket_pairs(cross_blocks(left), sig, threshold, False), classes, texts, threshold)
+    return links.unionByName(last)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(digest, id, th, node): the least row of each set; node names it, the id itself unless other sets have it too."""
+    least = keep(rows.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("r")).select("digest", "r.id", "r.th"))
+    several = keep(least.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id", F.lit(True).alias("_several")))
+    if several.isEmpty():
+        return least.withColumn("node", F.col("id"))
+    named = least.join(several, "id", "left").withColumn("node", F.when(F.col("_several"), F.xxhash64("id", "digest")).otherwise(F.col("id")))
+    return keep(named.select("digest", "id", "th", "node"))
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, th, n, component, family) of every row; family names the component, also where several share their least id."""
+    sig = keep(signatures(docs, key, text, threshold))
+    rows = sig.where("id IS NOT NULL AND digest IS NOT NULL")
+    classes = _classes(rows)
+    one = rows.join(classes.select("id", "th", "digest", "node"), ["id", "th", "digest"]).select(F.col("node").alias("id"), "n", "keys", "reg").dropDuplicates(["id"])
+    found = components(linked(keep(one), classes, _rows(docs, key, text), threshold))
+    # The many-rows side of each join is split by adaptive execution if one class is hot.
+    families = classes.join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("family"))
+    least = families.groupBy("family").agg(F.min("id").alias("component"))
+    named = keep(families.select("digest", "family").join(least, "family"))
+    out = rows.select("id", "th", "n", "digest").join(named, "digest").select("id", "th", "n", "component", "family")
+    alone = sig.where("id IS NULL OR digest IS NULL").select("id", "th", "n", F.col("id").alias("component"), F.lit(None).cast("bigint").alias("family"))
+    return out.unionByName(alone)
 
 
 def duplicate_components(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, n, component) of every row."""
-    sig = keep(signatures(docs, key, text, threshold))
-    rows = sig.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = keep(rows.groupBy("digest").agg(F.min("id").alias("rep")))
-    on = (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("d"))
-    one = rows.join(classes.select("rep", F.col("digest").alias("d")), on, "left_semi").dropDuplicates(["id", "digest"])
-    one = keep(one)
-    members = keep(bucket_members(one))
-    texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-
-    first = keep(confirm(bucket_pairs(members.withColumn("label", F.col("id")), one, threshold, True), texts, threshold))
-    joined = keep(_unsettled(members, components(first)))
-    second = keep(confirm(bucket_pairs(joined, one, threshold, False), texts, threshold))
-    found = components(first.unionByName(second))
-
-    # The many-rows side of each join is split by adaptive execution if one class is hot.
-    class_component = keep(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = rows.select("id", "n", "digest").join(class_component, "digest").select("id", "n", "component")
-    rest = sig.where("id IS NULL OR digest IS NULL").select("id", "n", F.col("id").alias("component"))
-    return out.unionByName(rest)
+    return judged(docs, key, text, threshold).select("id", "n", "component")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group: docs' rows whose id is the least of its component; repeated rows once.
+    """One row of each component: one with its least id; a row without words once for each id. Rows with a null id are kept.
 
-    Rows with a null id are kept, as nothing tells which row they could repeat.
+    Equal ids do not make rows alike: of several texts under one id each component keeps its own.
     """
-    found = duplicate_components(docs, key, text, threshold)
-    kept = keep(found.where("id = component").select("id").distinct())
-    chosen = docs.join(kept, F.col(key).cast("bigint") == F.col("id"), "left_semi").dropDuplicates([key])
-    return chosen.unionByName(docs.where(F.col(key).isNull()))
+    found = judged(docs, key, text, threshold).where("id = component")
+    heads = found.where("family IS NOT NULL").groupBy("family").agg(F.min(F.struct("id", "th")).alias("r")).select("r.id", "r.th")
+    kept = keep(heads.unionByName(found.where("family IS NULL").select("id", "th")).distinct())
+    names = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.withColumnsRenamed(names)
+    th = F.xxhash64(F.col(names[text]).cast("string"))
+    chosen = own.withColumn("_th", th).join(kept, (F.col(names[key]).cast("bigint") == F.col("id")) & (F.col("_th") == F.col("th")), "left_semi")
+    chosen = chosen.dropDuplicates([names[key], "_th"]).drop("_th").unionByName(own.where(F.col(names[key]).isNull()))
+    return chosen.withColumnsRenamed({v: k for k, v in names.items()})

@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import drop_path, keep, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests, local use)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not path and jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+__all__ = ["drop_path", "keep", "literal_table", "scratch", "shared_dir"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,12 +18,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A small driver-side table as a JSON literal, parsed by the JVM: no Python workers, no RDD.
 

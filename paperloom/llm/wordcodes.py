@@ -153,6 +153,13 @@ def shingles(codes: np.ndarray, k: int = 5) -> np.ndarray:
     return np.array([sequence_code(codes)], U) if len(codes) else np.zeros(0, U)
 
 
+def shingle_sets(codes: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.ndarray]:
+    """shingles() of each text of a batch."""
+    g = grams(codes, k)
+    bounds = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+    return [np.unique(g[a : b - k + 1]) if b - a >= k else shingles(codes[a:b], k) for a, b in bounds]
+
+
 def ragged(values: np.ndarray, lens, kind: pa.DataType) -> pa.Array:
     """A list array from flat values and lengths."""
     offs = np.zeros(len(lens) + 1, np.int32)

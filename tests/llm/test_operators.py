@@ -91,6 +91,34 @@ def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     assert {(r[0], r[2]) for r in h.duplicate_components(docs).collect()} == set(components(sets).items())
 
 
+def test_near_duplicates_judges_texts_not_ids(spark):
+    from paperloom.llm.hyperminhash import duplicate_components, near_duplicates
+
+    rows = [(1, "a b c d e f g", 1), (1, "q r s t u v w", 2), (1, "a b c d e f g", 3), (2, "Q r s t u v w", 4), (3, "a b c d e f g", 5), (4, None, 6), (4, "", 7), (None, "a b c d e f g", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id int").selectExpr("*", "id AS th", "id AS family", "id AS _th")
+    kept = near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, rows[0][1]), (1, rows[1][1]), (4, ""), (4, ""), (0, rows[0][1])])
+    assert sorted((r["id"] or 0, r["component"] or 0) for r in duplicate_components(docs).collect()) == sorted([(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4), (4, 4), (0, 0)])
+
+
+def test_blocks_of_a_bucket_meet_whenever_labels_differ(spark, monkeypatch):
+    from paperloom.llm import hyperminhash as h
+
+    monkeypatch.setattr(h, "BLOCK", 4)
+    r = random.Random(2)
+    members = [(b, 100 * b + i, 40, 0 if b and i < 25 else r.randrange(i + 1)) for b in range(3) for i in range(40)]
+    dealt = h.cross_blocks(spark.createDataFrame(members, "bucket bigint, id bigint, m bigint, label bigint")).select("bucket", "part", "side", "id", "label").collect()
+    met = set()
+    for x in dealt:
+        for y in dealt:
+            if x["bucket"] == y["bucket"] and x["part"] == y["part"] and x["id"] < y["id"] and (x["part"] < 0 or x["side"] != y["side"]):
+                met.add((x["id"], y["id"]))
+    label = {i: k for _, i, _, k in members}
+    want = {(x, y) for _, x, _, _ in members for y in label if x < y and x // 100 == y // 100 and label[x] != label[y]}
+    assert want <= met
+
+
 def cut(rows, window=50):
     words = {i: WORD.findall(t or "") for i, t in rows}
     least = {}
