@@ -312,6 +312,72 @@ def test_warc_salvage(compress):
     assert list(salvage(b"")) == []
 
 
+def _encoded(i, body, url="u"):
+    from paperloom.llm.warc import encode_record
+
+    return encode_record(i, url, "response", body, len(body), hashlib.sha1(body).digest())
+
+
+def _zipped(data):
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def test_warc_members_of_several_records():
+    from paperloom.llm.warc import salvage
+
+    one, two, three = (_encoded(i, f"body {i} ".encode() * 9) for i in range(3))
+    member = _zipped(one + b"some junk" + two)
+    got = list(salvage(_zipped(three) + member + b"tail"))
+    assert [(x[0], x[1], x[2]) for x in got[1:]] == [(k, len(_zipped(three)), len(_zipped(three)) + len(member)) for k in ("record", "gap", "record")] + [("gap", len(_zipped(three)) + len(member), len(_zipped(three)) + len(member) + 4)]
+    assert [(x[3], x[4]) for x in got[1:4]] == [(0, len(one)), (len(one), len(one) + 9), (len(one) + 9, len(one) + 9 + len(two))]
+
+
+def test_warc_reads_long_headers_and_nested_archives_in_splits(spark, tmp_path):
+    from paperloom.llm.warc import read_warc, round_trip
+
+    page = spark.createDataFrame([(1, "http://e/" + "x" * 70_000, "hello")], "page_id bigint, url string, html string")
+    assert [(r["kind"], r["page_id"], len(r["url"])) for r in round_trip(page).collect()] == [("record", 1, 70_009)]
+    inside = b"".join(_encoded(100 + i, b"nested " * 20) for i in range(40))
+    parts = [_encoded(0, b"first " * 50), _encoded(1, inside), b"junk" * 100, _encoded(2, b"WARC/1.1\r\nnot a header"), _encoded(3, inside[:-9]), b"WARC/1.0\r\n"]
+    whole, at, expected = b"".join(parts), 0, []
+    for i, x in enumerate(parts):
+        expected.append(("gap" if i in (2, 5) else "record", at, at + len(x)))
+        at += len(x)
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc").write_bytes(b"no record " * 500)
+    (tmp_path / "c.warc").write_bytes(b"")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc",) for n in "abc"], "path string")
+    for split in (500, 3000, 1 << 20):
+        rows = read_warc(paths, split_bytes=split).collect()
+        assert sorted((r["kind"], r["start"], r["end"]) for r in rows if r["path"].endswith("a.warc")) == sorted(expected)
+        assert [(r["kind"], r["start"], r["end"]) for r in rows if not r["path"].endswith("a.warc")] == [("gap", 0, 5000)]
+        assert {r["page_id"]: bytes(r["payload"]) for r in rows if r["kind"] == "record"}[1] == inside
+
+
+def test_warc_salvage_takes_time_in_proportion():
+    import time
+
+    from paperloom.llm.warc import salvage
+
+    data = b"".join(_zipped(_encoded(i, random.Random(i).randbytes(700))) for i in range(8000))
+    took = []
+    for part in (data[: len(data) // 4], data):
+        began = time.perf_counter()
+        assert sum(x[0] == "record" for x in salvage(part)) >= 1990
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_warc_equal_rows(spark):
+    from paperloom.llm.warc import round_trip
+
+    big = "x" * 1200
+    pages = spark.createDataFrame([(7, None, big), (7, None, big), (3, "u", big), (None, "u", big)], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in round_trip(pages).collect())
+    assert got == [(0, "revisit", 7), (3, "revisit", 7), (7, "response", None), (7, "response", None)]
+
+
 def test_nearest_neighbours(spark):
     from paperloom.llm.hnsw import build_index, clean, search
 
