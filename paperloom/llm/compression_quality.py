@@ -2,14 +2,17 @@
 
 Two zstandard dictionaries are trained on labelled text, one of each class. A document is
 compressed with both, whole, in pieces of equal length so that the dictionaries keep their
-weight in long texts. The difference of the compressed sizes, normalised by the length,
-says which class its text is closer to. A logistic curve, fitted on labelled documents
-that the dictionaries have not seen, turns the difference (with the compression ratio
-itself, by which mere repetition shows) into a calibrated probability of label 1.
+weight in long texts. The difference of the compressed sizes, normalised by the length and
+by the sizes themselves (which brings it out in texts of mere repetition), says which class
+its text is closer to. A logistic curve, piecewise linear in the two normalised differences
+and fitted on labelled documents that the dictionaries have not seen, makes a calibrated
+probability of label 1 of them.
 
 Fitting uses a bounded sample: at most PER_CLASS documents of each label, chosen by hash,
-and at most PIECE_CAP bytes of each; only their ids and texts reach the driver. Scoring
-covers whole texts of all documents and holds one batch at a time.
+whole texts. One half of them trains the dictionaries, a task for each class holding the
+texts of that half; the other half is compressed where it lies. Only two dictionaries and
+three numbers a document reach the driver. Scoring covers whole texts of all documents and
+holds one batch at a time.
 
 Defined cases: null and empty texts get the score of no evidence; null labels and labels
 other than 0 and 1 teach nothing; without labelled documents of both classes every score
@@ -28,9 +31,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.store import keep
 from paperloom.llm.wordcodes import text_buffers
 
-PER_CLASS, PIECE_CAP, DICT_BYTES = 2_000, 16_384, 110_000
+PER_CLASS, DICT_BYTES = 2_000, 110_000
 PIECE, LEVEL, THRESHOLD = 2_048, 3, 0.3
 
 
@@ -66,19 +70,20 @@ def _sizes(text, compressors) -> tuple[int, int, int]:
 
 #: Frame header bytes, which carry no evidence, are taken as this many per piece.
 _FRAME = 9
+#: Bounds of the pieces in which the score is linear: of the difference by length, and by compressed size.
+_BY_LENGTH = (-1.0, -0.1, -0.05, -0.02, 0.0, 0.02, 0.05, 0.1, 1.0)
+_BY_SIZE = (-1.0, -0.3, -0.1, -0.05, 0.0, 0.05, 0.1, 0.3, 1.0)
 
 
 def _features(sizes: np.ndarray) -> np.ndarray:
-    """Columns from (length, size with the bad dictionary, size with the good one)."""
+    """Columns from (length, size with the bad dictionary, size with the good one): both normalised differences, cut into pieces."""
     n, bad, good = (sizes[:, i].astype(float) for i in range(3))
-    pieces = np.ceil(n / PIECE)
-    length = n + 24
-    diff = (bad - good) / length
-    ratio = np.where(n > 0, (np.minimum(bad, good) - _FRAME * pieces) / length, 0.3)
-    return np.stack([diff, np.clip(diff, -0.03, 0.03), ratio, np.clip(0.2 - ratio, 0, None), np.clip(0.1 - ratio, 0, None), n / length], 1)
+    by_length = (bad - good) / (n + 24)
+    by_size = (bad - good) / (bad + good - 2 * _FRAME * np.ceil(n / PIECE) + 48)
+    return np.stack([np.clip(d, a, b) for d, edges in ((by_length, _BY_LENGTH), (by_size, _BY_SIZE)) for a, b in zip(edges[:-1], edges[1:])], 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights (the last is the intercept) by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(x.shape[1])
@@ -93,27 +98,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(texts: list[bytes], labels: list[int]) -> Model:
-    """A model from a labelled sample; every second document is kept for the calibration."""
-    by = {q: [t for t, y in zip(texts, labels) if y == q and t] for q in (0, 1)}
-    prior = float(np.mean(labels)) if labels else 1.0
-    none = Model(None, None, [], [], [], prior)
-    if min(map(len, by.values())) < 8:
-        return none
-    dicts = {}
-    for q in (0, 1):
-        pieces = [t[i : i + 1024] for t in by[q][::2] for i in range(0, min(len(t), PIECE_CAP), 1024)]
-        room = min(DICT_BYTES, max(512, sum(map(len, pieces)) // 8))
-        try:
-            dicts[q] = zstandard.train_dictionary(room, pieces).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: it serves as it is
-            dicts[q] = b"".join(pieces)[-DICT_BYTES:]
-    both = _compressors(dicts[1], dicts[0])
-    held = [(t, q) for q in (0, 1) for t in by[q][1::2]]
-    x = _features(np.array([_sizes(t, both) for t, _ in held]))
-    y = np.array([q for _, q in held], float)
+def _dictionary(texts: list[bytes]) -> bytes:
+    pieces = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
+    room = min(DICT_BYTES, max(512, sum(map(len, pieces)) // 8))
+    try:
+        return zstandard.train_dictionary(room, pieces).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: it serves as it is
+        return b"".join(pieces)[-DICT_BYTES:]
+
+
+def _train_class(key, table):
+    """The rows (q, half, o, t) of one class in; its dictionary out."""
+    rows = sorted(zip(table.column("o").to_pylist(), table.column("t").to_pylist()))
+    return pa.table({"q": pa.array([key[0].as_py()], pa.int32()), "dict": pa.array([_dictionary([t for _, t in rows])], pa.binary())})
+
+
+def _measurer(bad: bytes, good: bytes):
+    """(q, t) in; (q, length, size with the bad dictionary, size with the good one) out."""
+
+    def measure(batches):
+        both = _compressors(good, bad)
+        for batch in batches:
+            sizes = np.array([_sizes(t.as_buffer(), both) for t in batch.column(1)], np.int64).reshape(batch.num_rows, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sizes[:, i]) for i in range(3))], ["q", "n", "bad", "good"])
+
+    return measure
+
+
+def calibrate(good: bytes, bad: bytes, sizes: np.ndarray, labels: np.ndarray, prior: float) -> Model:
+    x = _features(sizes)
     centre, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(dicts[1], dicts[0], centre.tolist(), scale.tolist(), _logistic((x - centre) / scale, y).tolist(), prior)
+    return Model(good, bad, centre.tolist(), scale.tolist(), _logistic((x - centre) / scale, labels.astype(float)).tolist(), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn: Column | None = None, per_class: int = PER_CLASS) -> Model:
@@ -127,10 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = known.where(F.col(label) == q).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_q")).orderBy(order, "_k").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows: a bounded broadcast.
-    got = docs.join(F.broadcast(chosen.withColumnRenamed("_k", key)), key).select(key, "_q", F.substring(F.col(text).cast("binary"), 1, PIECE_CAP).alias("t"))
-    once = got.groupBy(key).agg(F.min("_q").alias("q"), F.min("t").alias("t")).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(11)), key)
-    rows = once.collect()  # 2 * per_class texts of at most PIECE_CAP bytes
-    return train([bytes(r["t"] or b"") for r in rows], [r["q"] for r in rows])
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t"))
+    once = texts.join(F.broadcast(chosen), "_k").groupBy("_k").agg(F.min("_q").alias("q"), F.min("_t").alias("t"))
+    o = F.xxhash64(F.col("_k").cast("string"), F.lit(11))
+    sample = keep(once.select("q", F.pmod(o, F.lit(2)).cast("int").alias("half"), o.alias("o"), F.coalesce("t", F.lit(b"")).alias("t")))
+    counts = {(r["q"], r["half"]): r["n"] for r in sample.where(F.octet_length("t") > 0).groupBy("q", "half").agg(F.count("*").alias("n")).collect()}
+    prior = sample.agg(F.avg("q")).first()[0]
+    none = Model(None, None, [], [], [], 1.0 if prior is None else float(prior))
+    if min(counts.get((q, half), 0) for q in (0, 1) for half in (0, 1)) < 4:
+        return none
+    dicts = {r["q"]: bytes(r["dict"]) for r in sample.where("half = 0").groupBy("q").applyInArrow(_train_class, "q int, dict binary").collect()}
+    measured = sample.where("half = 1").select("q", "t").mapInArrow(_measurer(dicts[0], dicts[1]), "q int, n bigint, bad bigint, good bigint").orderBy("q", "n", "bad", "good").toPandas()
+    return calibrate(dicts[1], dicts[0], measured[["n", "bad", "good"]].to_numpy(), measured["q"].to_numpy(), none.prior)
 
 
 def _scorer(model: Model, at: int, schema_names: list[str]):

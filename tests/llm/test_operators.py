@@ -422,6 +422,32 @@ def test_quality(spark, empty):
     assert {x["score"] for x in score_quality(docs, fit(docs, labels.limit(0))).collect()} == {1.0}
 
 
+def test_quality_against_a_plain_version(spark):
+    """Whole texts, one long one whose junk begins late, clashing column names, and every score from the definition."""
+    import zstandard
+
+    from paperloom.llm import compression_quality as c
+
+    r = random.Random(9)
+    good = lambda n=60: " ".join(r.choice(["the", "river", "runs", "over", "stones", "and", "sand", "slowly"]) for _ in range(n))
+    bad = lambda n=60: " ".join(r.choice(["BUY", "NOW", "!!!", "$$$", "CLICK", "%%%"]) for _ in range(n))
+    rows = [(i, good() if i % 2 else bad(), 0.5, 7) for i in range(120)] + [(500, good(4000) + bad(40_000), 0.5, 7), (501, None, 0.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, q int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(500, 0)], "doc_id bigint, quality int")
+    model = c.fit(docs, labels)
+    scored = c.score_quality(docs, model)
+    assert scored.columns == ["doc_id", "text", "q", "score", "predicted"]
+    w, (low, high) = np.array(model.weights), (model.bad, model.good)
+    packers = [zstandard.ZstdCompressor(level=c.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (low, high)]
+    for x in scored.collect():
+        t = (x["text"] or "").encode()
+        sizes = [sum(len(p.compress(t[i : i + c.PIECE])) for i in range(0, len(t), c.PIECE)) for p in packers]
+        features = c._features(np.array([[len(t), *sizes]]))[0]
+        expected = 1 / (1 + math.exp(-float(((features - model.centre) / model.scale) @ w[:-1] + w[-1])))
+        assert x["score"] == pytest.approx(expected, abs=0.02) and x["predicted"] == int(x["score"] >= 0.3)
+    assert {x["doc_id"]: x["predicted"] for x in scored.collect()}[500] == 0
+
+
 def test_language_model(spark, docs, empty):
     from paperloom.llm.compression_quality import held_out
     from paperloom.llm.ppm import Trie, gram_keys, score_documents, stream
