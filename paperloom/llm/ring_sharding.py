@@ -106,10 +106,13 @@ def ring_shard(
     cells_per_arc: int = CELLS_PER_ARC,
     seed: int = SEED,
     carry: list[str] | None = None,
+    apart: bool = False,
 ) -> DataFrame:
     """df's rows (all columns, or those of carry) with size, text_crc32, law, shard, slot, home_shard, grown_shard.
 
     Law `rows`: shard counts differ by one at most; slots are gapless from 0 in each shard.
+    apart: rows of one key get places of their own, by a number that each row gets once and
+    keeps in a checkpoint; so copies neither share a shard nor stand side by side.
     """
     spark = df.sparkSession
     made = ["size", "text_crc32", "law", "shard", "slot", "home_shard", "grown_shard"]
@@ -119,12 +122,15 @@ def ring_shard(
     uppers = [u for u, _ in cells]
 
     body = F.coalesce(F.col(text), F.lit(""))
-    place = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 32)
+    if apart:
+        df = keep(df.withColumn("_row", F.monotonically_increasing_id()))
+    of_key = F.xxhash64(F.col(key), *([F.col("_row")] if apart else []), F.lit(seed))
+    place = F.shiftrightunsigned(of_key, 32)
     placed = df.select(
         *names,
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(key), F.lit(seed)).alias("_h"),
+        of_key.alias("_h"),
         F.xxhash64(body, F.lit(seed)).alias("_t"),
         _cell(place, uppers).alias("_cell"),
     )
