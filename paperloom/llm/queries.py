@@ -79,7 +79,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.positional_index import decontaminate
 
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], with_near=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -122,10 +122,19 @@ sizes AS (SELECT DISTINCT n FROM bn),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, n, i FROM dw JOIN bw USING (n, g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+freq AS (SELECT word, count(*) AS c FROM tok GROUP BY word),
+win AS (SELECT row_number() OVER () AS wid, ws FROM (SELECT DISTINCT w[i:i + n - 1] AS ws FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bn))),
+term AS (SELECT DISTINCT wid, unnest(ws) AS word FROM win),
+rare AS (SELECT wid, arg_min(word, (coalesce(c, 0), word)) AS word, count(*) AS k FROM term LEFT JOIN freq USING (word) GROUP BY wid HAVING min(coalesce(c, 0)) > 0),
+close AS (SELECT r.wid, t.doc_id FROM rare r JOIN tok t USING (word) JOIN tok o ON o.doc_id = t.doc_id AND o.pos BETWEEN t.pos - 20 AND t.pos + 20
+  JOIN term x ON x.wid = r.wid AND x.word = o.word GROUP BY r.wid, r.k, t.doc_id, t.pos HAVING count(DISTINCT x.word) = r.k),
+own AS (SELECT DISTINCT item_id, wid FROM (SELECT item_id, w[i:i + n - 1] AS ws FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bn)) JOIN win USING (ws)),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN own USING (wid) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nears USING (doc_id)
 """
 
 

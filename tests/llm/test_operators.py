@@ -211,6 +211,36 @@ def test_decontamination(spark, docs, empty):
     assert proximity(docs, bench).select("item_id").distinct().count() >= 1
 
 
+def test_decontamination_odd_tables(spark, monkeypatch):
+    """Clashing names, null ids, equal ids, shuffled joins and a window of one word many times."""
+    from paperloom.llm import positional_index as x
+
+    rows = [(1, "A b c d e f g h i j k", 9), (1, "x x x x x x x x x x x x", 9), (None, ".a b c d e f g h i j", 9), (2, None, 9), (3, "b a c", 9), (3, "b a c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, pos int").selectExpr("*", "pos AS _t", "pos AS term", "pos AS n_words")
+    items = spark.createDataFrame([(None, "a B c D e f g h i j"), (5, "X " * 11), (6, "c a b"), (7, None)], "item_id bigint, text string")
+    expected = {(1, 11, 10, 1), (1, 12, 12, 1), (None, 10, 10, 1), (2, 0, 0, 0), (3, 3, 0, 0)}
+    for bound in (200_000, 0):
+        monkeypatch.setattr(x, "BROADCAST_WORDS", bound)
+        got = x.decontaminate(docs, items, with_near=True)
+        assert got.columns == ["doc_id", "text", "pos", "_t", "term", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+        assert {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got.collect()} == expected and got.count() == 6
+        assert {r["n_near"] for r in got.where("doc_id = 3").collect()} == {1}
+        assert {r["items_sha256"] for r in got.where("doc_id IS NULL").collect()} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_index_is_stored_sorted_by_term(spark, docs):
+    from pyspark.sql import functions as F
+
+    from paperloom.llm.positional_index import build_index
+
+    index = build_index(docs)
+    rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    assert index.count() == sum(len(rx.findall((r["text"] or "").translate(FOLD))) for r in docs.collect())
+    for f in index.select(F.input_file_name()).distinct().collect():
+        terms = [r[0] for r in spark.read.parquet(f[0]).select("term").collect()]
+        assert terms == sorted(terms)
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_ring(spark, docs, empty, hot, monkeypatch):
     from paperloom.llm import ring_sharding as ring
