@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product: an HNSW graph per shard, shard results merged.
 
 Rows are dealt to shards of a bounded size by a hash of their id. A shard's graph is built
-in a random insertion order. Each point is linked to neighbours among the points inserted
-before it, chosen by the diversity rule (a candidate nearer to a chosen neighbour than to
-the point is passed over), and links back; full lists are pruned by the same rule. Levels
-are drawn from the geometric law and hold graphs of their own. Candidates come from exact
-blocked products within the shard, which plays the part of an unlimited construction beam.
+by insertion: levels are drawn from the geometric law, points come in order of level and
+else at random, and each batch of points searches the graph made so far, level by level, with
+a beam of CONSTRUCTION, to find its neighbours; points of one batch see each other too. Of
+the candidates, neighbours are chosen by the diversity rule (a candidate nearer to a chosen
+neighbour than to the point is passed over), and link back; lists that outgrow their room are
+pruned by the same rule. A level starts from the graph of the level above, whose points are
+the first in order. So the work grows as n log n, and nothing compares all pairs of a shard.
 Neighbours are stored as flat int32 arrays, one row of fixed width per point and level.
 
 Inner product becomes distance by one more coordinate, sqrt(max |x|**2 - |x|**2), so that
@@ -16,14 +18,17 @@ Points with equal vectors are one node with a list of ids, of which each query g
 of the least as it needs, so ties cost no recall. Scores are inner products of the original
 vectors in double precision.
 
-The index table has one row per shard and is checkpointed; a query block meets every shard
-once, through an equi-join on the shard's number, so work is queries times shards, as the
-task states it, and each task holds one shard and one block.
+The index table has one row per shard and is checkpointed. Queries are packed in blocks and
+travel to the shards; a shard's index is sent once for GROUP blocks, so of both sides the
+queries move most: queries times shards, as the task states it. Each task holds one shard
+and one group of blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
 part; so do null ids and vectors of another length than most; fewer candidates than asked
 are all returned; ties go to the smaller id; repeated rows (equal id and vector) count once;
-an empty table gives an empty result; extra columns are ignored.
+of rows with one id and several vectors each is a candidate, the id is returned once with
+its best score, and the least vector is the query; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,93 +40,107 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.store import keep
 
-K, M, EF, SHARD_ROWS, QUERY_BLOCK, SEED = 20, 16, 128, 8_192, 1_024, 5
-
-INDEX = "shard int, dim int, ids binary, counts binary, vectors binary, levels binary, links binary"
-
-
-def build_layer(x: np.ndarray, m: int, beam: int = 48) -> np.ndarray:
-    """Flat neighbour array (points x width, -1 for none) of one level; x is in insertion order."""
-    n, width = len(x), 2 * m
-    links: list[list[int]] = [[] for _ in range(n)]
-    norm = (x * x).sum(1)
-    for at in range(0, n, 512):
-        rows = np.arange(at, min(at + 512, n))
-        # Negative squared distance, up to the row's own norm, which does not change the order.
-        sim = 2 * (x[rows] @ x[: rows[-1] + 1].T) - norm[None, : rows[-1] + 1]
-        sim[np.arange(rows[-1] + 1)[None, :] >= rows[:, None]] = -np.inf
-        take = min(beam, sim.shape[1])
-        near = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-        got = np.take_along_axis(sim, near, 1)
-        order = np.argsort(-got, axis=1, kind="stable")
-        near, got = np.take_along_axis(near, order, 1), np.take_along_axis(got, order, 1)
-        # Similarities among each point's candidates, for the diversity rule.
-        cand = x[near]
-        among = 2 * np.einsum("bid,bjd->bij", cand, cand) - norm[near][:, None, :]
-        for r, i in enumerate(rows.tolist()):
-            valid = int(np.isfinite(got[r]).sum())
-            if not valid:
-                continue
-            mine = among[r]
-            # d(c, chosen) vs d(c, point): compare with the candidate's norm on both sides.
-            base = norm[near[r]]
-            d_point = norm[i] - got[r]
-            d_cand = base[:, None] - mine
-            chosen: list[int] = []
-            for c in range(valid):
-                if len(chosen) == m:
-                    break
-                if not chosen or d_cand[c, chosen].min() > d_point[c]:
-                    chosen.append(c)
-            if len(chosen) < m:
-                rest = [c for c in range(valid) if c not in chosen]
-                chosen += rest[: m - len(chosen)]
-            links[i] = near[r][chosen].tolist()
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, js in enumerate(links):
-        for j in js:
-            back[j].append(i)
-    out = np.full((n, width), -1, np.int32)
-    for i in range(n):
-        js = links[i] + back[i]
-        if len(js) > width:
-            c = np.array(js)
-            d = ((x[c] - x[i]) ** 2).sum(1)
-            o = np.argsort(d, kind="stable")
-            c, d = c[o], d[o]
-            among = ((x[c][:, None, :] - x[c][None, :, :]) ** 2).sum(2) if len(c) <= 96 else None
-            if among is None:
-                c, d = c[:96], d[:96]
-                among = ((x[c][:, None, :] - x[c][None, :, :]) ** 2).sum(2)
-            chosen = []
-            for k in range(len(c)):
-                if len(chosen) == width:
-                    break
-                if not chosen or among[k, chosen].min() > d[k]:
-                    chosen.append(k)
-            if len(chosen) < width:
-                taken = set(chosen)
-                chosen += [k for k in range(len(c)) if k not in taken][: width - len(chosen)]
-            js = c[chosen].tolist()
-        out[i, : len(js)] = js
+K, M, EF, SHARD_ROWS, QUERY_BLOCK, GROUP, SEED = 20, 16, 192, 16_384, 1_024, 16, 5
+#: Beam, points inserted at once, and points that start a graph.
+CONSTRUCTION, BATCH, FIRST = 80, 512, 64
+
+INDEX = "shard int, dim int, single boolean, ids binary, counts binary, vectors binary, levels binary, links binary"
+
+
+def _diverse(sim: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the chosen of each row's candidates, which are sorted from near to far; -inf marks none.
+
+    sim: similarity to the row's point; among: similarities of the candidates. First those that
+    are nearer to the point than to any chosen one, then the nearest of the others.
+    """
+    rows, width = sim.shape
+    chosen, count = np.zeros((rows, width), bool), np.zeros(rows, np.int64)
+    nearest = np.full((rows, width), -np.inf, np.float32)  # similarity to the nearest chosen one
+    for c in range(width):
+        take = (count < most) & np.isfinite(sim[:, c]) & (nearest[:, c] < sim[:, c])
+        chosen[:, c] = take
+        count += take
+        np.maximum(nearest, among[:, c], out=nearest, where=take[:, None])
+    spare = ~chosen & np.isfinite(sim)
+    chosen |= spare & (np.cumsum(spare, 1) <= (most - count)[:, None])
+    return chosen
+
+
+def _pruned(x: np.ndarray, points: np.ndarray, lists: np.ndarray, most: int) -> np.ndarray:
+    """The lists (-1 for none) cut to the most neighbours of each point by the diversity rule, same width."""
+    out = np.full_like(lists, -1)
+    for at in range(0, len(points), 256):
+        part = slice(at, at + 256)
+        cand = lists[part]
+        v = x[np.maximum(cand, 0)]
+        sim = np.einsum("rcd,rd->rc", v, x[points[part]])
+        sim[cand < 0] = -np.inf
+        by = np.argsort(-sim, axis=1, kind="stable")
+        cand, sim, v = np.take_along_axis(cand, by, 1), np.take_along_axis(sim, by, 1), np.take_along_axis(v, by[:, :, None], 1)
+        chosen = _diverse(sim, v @ v.transpose(0, 2, 1), most)
+        first = np.argsort(~chosen, axis=1, kind="stable")[:, :most]
+        out[part, :most] = np.where(np.take_along_axis(chosen, first, 1), np.take_along_axis(cand, first, 1), -1)
     return out
 
 
-def build_graph(vectors: np.ndarray, m: int = M, seed: int = SEED):
+def _link_back(x: np.ndarray, links: np.ndarray, new: np.ndarray, lists: np.ndarray, width: int) -> None:
+    """Add the points new to the lists of their neighbours; lists without room are pruned to width."""
+    source, target = np.repeat(new, lists.shape[1]), lists.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    by = np.argsort(target, kind="stable")
+    source, target = source[by], target[by]
+    while len(target):
+        used = (links[target] >= 0).sum(1)
+        start = np.concatenate([[True], target[1:] != target[:-1]])
+        rank = np.arange(len(target)) - np.maximum.accumulate(np.where(start, np.arange(len(target)), 0))
+        fits = used + rank < links.shape[1]
+        links[target[fits], (used + rank)[fits]] = source[fits]
+        source, target = source[~fits], target[~fits]
+        full = np.unique(target)
+        links[full] = _pruned(x, full, links[full], width)
+
+
+def build_graph(vectors: np.ndarray, m: int = M, seed: int = SEED, construction: int = CONSTRUCTION):
     """(order of insertion, levels of the points in that order, one flat neighbour array per level)."""
-    n = len(vectors)
+    n, width = len(vectors), 2 * m
     rng = np.random.default_rng([seed, n])
     order = rng.permutation(n)
+    levels = np.minimum((-np.log(np.maximum(rng.random(n), 1e-12)) / np.log(m)).astype(np.int64), 12)
+    by = np.argsort(-levels, kind="stable")
+    order, levels = order[by], levels[by]
     x = vectors[order].astype(np.float32)
     norm = (x.astype(np.float64) ** 2).sum(1)
     x = np.concatenate([x, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None].astype(np.float32)], 1)
-    levels = np.minimum((-np.log(np.maximum(rng.random(n), 1e-12)) / np.log(m)).astype(np.int64), 12)
-    layers = []
-    for level in range(int(levels.max()) + 1):
-        members = np.flatnonzero(levels >= level)
-        local = build_layer(x[members], m)
-        layers.append((members.astype(np.int32), np.where(local >= 0, members[np.maximum(local, 0)], -1).astype(np.int32)))
-    return order, levels, layers
+    # Lists have room for m more than they are pruned to, so that pruning is rare.
+    links = np.full((n, width + m), -1, np.int32)
+    layers: list = []  # from the top level down
+    done = 0
+    for level in range(int(levels.max()), -1, -1):
+        members = int((levels >= level).sum())
+        while done < members:
+            end = min(members, done + (BATCH if done >= FIRST else FIRST - done))
+            batch = np.arange(done, end)
+            own = x[batch] @ x[batch].T
+            own[np.arange(len(batch))[:, None] <= np.arange(len(batch))[None, :]] = -np.inf
+            ids, sim = np.broadcast_to(batch, own.shape), own
+            if done:
+                above = [(np.arange(len(g), dtype=np.int32), g) for g in reversed(layers)]
+                got, score = search_graph(x[:done], [(np.arange(done, dtype=np.int32), links[:done]), *above], x[batch], construction)
+                ids, sim = np.concatenate([ids, got], 1), np.concatenate([sim, score], 1)
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :construction]
+            ids, sim = np.take_along_axis(ids, top, 1), np.take_along_axis(sim, top, 1)
+            v = x[np.maximum(ids, 0)]
+            chosen = _diverse(sim, v @ v.transpose(0, 2, 1), m)
+            first = np.argsort(~chosen, axis=1, kind="stable")[:, :m]
+            lists = np.where(np.take_along_axis(chosen, first, 1), np.take_along_axis(ids, first, 1), -1).astype(np.int32)
+            links[batch, : lists.shape[1]] = lists
+            _link_back(x, links, batch, lists, width)
+            done = end
+        over = np.flatnonzero((links[:done, width:] >= 0).any(1))
+        cut = links[:done].copy()
+        cut[over] = _pruned(x, over, cut[over], width)
+        layers.append(cut[:, :width])
+    return order, levels, [(np.arange(len(g), dtype=np.int32), g) for g in reversed(layers)]
 
 
 def search_graph(x: np.ndarray, layers, queries: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,19 +245,22 @@ def _indexer(m: int, most: int):
         pairs[:, 0] = place[pairs[:, 0]]
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         counts = np.bincount(pairs[:, 0], minlength=len(order)).astype(np.int32)
-        links = b"".join(np.int32(len(a)).tobytes() + a.tobytes() + b.tobytes() for a, b in layers)
+        links = b"".join(np.int32(len(a)).tobytes() + a.tobytes() + np.ascontiguousarray(b).tobytes() for a, b in layers)
+        single = bool((v.astype(np.float32) == v).all())  # then half the bytes say the same
         return pa.table(
             {
-                "shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([v.shape[1]], pa.int32()), "ids": [pairs[:, 1].astype(np.int64).tobytes()], "counts": [counts.tobytes()],
-                "vectors": [v[first][order].tobytes()], "levels": [levels.astype(np.int8).tobytes()], "links": [links],
+                "shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([v.shape[1]], pa.int32()), "single": pa.array([single], pa.bool_()),
+                **{k: pa.array([data], pa.binary()) for k, data in (
+                    ("ids", pairs[:, 1].astype(np.int64).tobytes()), ("counts", counts.tobytes()),
+                    ("vectors", v[first][order].astype(np.float32 if single else np.float64).tobytes()), ("levels", levels.astype(np.int8).tobytes()), ("links", links))},
             }
-        ).cast(pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary()), ("levels", pa.binary()), ("links", pa.binary())]))
+        )
 
     return index
 
 
 def _unpack(row: dict, m: int):
-    v = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+    v = np.frombuffer(row["vectors"], np.float32 if row["single"] else np.float64).reshape(-1, row["dim"])
     data, at, layers = row["links"], 0, []
     while at < len(data):
         n = int(np.frombuffer(data, np.int32, 1, at)[0])
@@ -250,35 +272,38 @@ def _unpack(row: dict, m: int):
     return v, layers, np.frombuffer(row["ids"], np.int64), np.concatenate([[0], np.cumsum(counts)])
 
 
+def _nearest(nodes: np.ndarray, score: np.ndarray, own: int, ids: np.ndarray, bounds: np.ndarray, k: int):
+    """(ids, scores) of the k nearest other ids among found nodes: each id once, ties to the smaller."""
+    every = np.concatenate([ids[bounds[c] : bounds[c + 1]] for c in nodes.tolist()]) if len(nodes) else np.zeros(0, np.int64)
+    score = np.repeat(score, bounds[nodes + 1] - bounds[nodes])
+    by = np.lexsort((every, -score))
+    every, score = every[by], score[by]
+    first = np.sort(np.unique(every, return_index=True)[1])
+    first = first[every[first] != own][:k]
+    return every[first], score[first]
+
+
 def _searcher(k: int, m: int, ef: int):
-    def search(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                v, layers, ids, bounds = _unpack(row, m)
+    """One shard's index row and a group of query blocks in; the k nearest of each query out."""
+
+    def search(index, blocks):
+        out = [np.zeros((0, 3))]
+        if index.num_rows:
+            v, layers, ids, bounds = _unpack(index.to_pylist()[0], m)
+            x, exact = v.astype(np.float32), v.astype(np.float64)
+            for row in blocks.to_pylist():
                 qid = np.frombuffer(row["qids"], np.int64)
                 q = np.frombuffer(row["qs"], np.float64).reshape(len(qid), -1)
-                x = v.astype(np.float32)
-                out = []
                 for at in range(0, len(qid), 256):
                     part = slice(at, at + 256)
                     got, _ = search_graph(x, layers, q[part].astype(np.float32), ef)
-                    exact = np.einsum("qkd,qd->qk", v[np.maximum(got, 0)], q[part])
-                    exact[got < 0] = -np.inf
+                    score = np.einsum("qkd,qd->qk", exact[np.maximum(got, 0)], q[part])
                     for i in range(len(got)):
-                        good = np.flatnonzero(got[i] >= 0)
-                        nodes, s = got[i][good], exact[i][good]
-                        # One sort on score, then ids of equal nodes and scores in order.
-                        n_ids = bounds[nodes + 1] - bounds[nodes]
-                        all_ids = np.concatenate([ids[bounds[c] : bounds[c + 1]] for c in nodes.tolist()])
-                        all_s = np.repeat(s, n_ids)
-                        keep_ = all_ids != qid[at + i]
-                        all_ids, all_s = all_ids[keep_], all_s[keep_]
-                        o = np.lexsort((all_ids, -all_s))[:k]
-                        out.append(np.stack([np.full(len(o), qid[at + i]).view(np.float64), all_ids[o].view(np.float64), all_s[o]], 1))
-                rows = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[:, 0].copy().view(np.int64)), pa.array(rows[:, 1].copy().view(np.int64)), pa.array(rows[:, 2].copy())], ["query_id", "vec_id", "score"]
-                )
+                        good = got[i] >= 0
+                        near, s = _nearest(got[i][good], score[i][good], int(qid[at + i]), ids, bounds, k)
+                        out.append(np.stack([np.full(len(near), qid[at + i]).view(np.float64), near.view(np.float64), s], 1))
+        rows = np.concatenate(out)
+        return pa.table({"query_id": rows[:, 0].copy().view(np.int64), "vec_id": rows[:, 1].copy().view(np.int64), "score": rows[:, 2].copy()})
 
     return search
 
@@ -292,23 +317,24 @@ def build_index(rows: DataFrame, k: int = K, m: int = M, shard_rows: int = SHARD
     return keep(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_indexer(m, k), INDEX))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, m: int = M, ef: int = EF, block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = K, m: int = M, ef: int = EF, block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best found for each clean query (id, v), other than itself."""
     one = index.agg(F.max("dim"), F.max("shard")).first()
     if one[0] is None:
         return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim, shards = one[0], one[1] + 1
-    queries = keep(queries.where(F.size("v") == dim).dropDuplicates(["id"]))
+    queries = keep(queries.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-queries.count() // block))
     packed = queries.withColumn("b", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(blocks)).cast("int")).groupBy("b").applyInArrow(
         _pack, "b int, qids binary, qs binary"
     )
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    # One row per block and shard, dealt evenly: each is a piece of work of the same size.
-    work = index.join(met, "shard").repartition(max(1, min(blocks * shards, 4096)), "b", "shard")
-    found = work.mapInArrow(_searcher(k, m, ef), "query_id bigint, vec_id bigint, score double")
+    groups = -(-blocks // group)
+    met = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.floor(F.col("b") / group).cast("int").alias("g"), "qids", "qs")
+    sent = index.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "*")
+    found = sent.groupBy("shard", "g").cogroup(met.groupBy("shard", "g")).applyInArrow(_searcher(k, m, ef), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _pack(key, table):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -494,6 +495,43 @@ def test_nearest_neighbours(spark):
     assert search(build_index(few), few).count() == 6
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize("shard_rows,block,group", [(16_384, 1_024, 16), (250, 16, 2)])
+def test_nearest_neighbours_recall_on_the_table(spark, shard_rows, block, group):
+    """Against brute force over the whole table, in one shard and in seven or more."""
+    from paperloom.llm.hnsw import build_index, clean, search
+    from paperloom.session import table
+
+    rows = clean(table(spark, "/root/testdata/sf0.1", "embeddings"), "vec_id", "embedding")
+    index = build_index(rows, shard_rows=shard_rows)
+    assert index.count() >= (7 if shard_rows < 1000 else 1)
+    got = {}
+    for r in search(index, rows.where("pmod(id, 20) = 0"), block=block, group=group).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    data = rows.collect()
+    ids, v = np.array([r["id"] for r in data]), np.array([r["v"] for r in data])
+    hits = []
+    for q in got:
+        s = v @ v[ids == q][0]
+        best = [i for i in ids[np.lexsort((ids, -s))].tolist() if i != q][:20]
+        hits.append(len(got[q] & set(best)) / 20)
+    assert len(hits) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.95
+
+
+def test_nearest_neighbours_ties_and_equal_ids(spark):
+    from paperloom.llm.hnsw import build_index, clean, search
+
+    rows = [(i, [1.0, 0.0], "x") for i in range(30, 0, -1)] + [(40, [0.5, 0.0], "x"), (40, [0.0, 2.0], "x"), (40, [0.5, 0.0], "x"), (41, [0.0, 0.1], "x"), (None, [9.0, 9.0], "x")]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, id string").selectExpr("*", "vec_id AS score", "id AS v")
+    points = clean(table, "vec_id", "embedding")
+    got = {}
+    for r in search(build_index(points, shard_rows=12), points.where("id in (20, 40)")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[20]) == [(k + 1, i, 1.0) for k, i in enumerate([i for i in range(1, 31) if i != 20][:20])]
+    # The query 40 is its least vector, (0, 2); its other vector is not its neighbour.
+    assert sorted(got[40])[0] == (1, 41, 0.2) and [i for _, i, _ in sorted(got[40])[1:]] == list(range(1, 20)) and len(got[40]) == 20
+
+
 def test_quality(spark, empty):
     from paperloom.llm.compression_quality import fit, score_quality
 
