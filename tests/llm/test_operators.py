@@ -666,6 +666,73 @@ def test_license_scan(spark, empty):
     assert scan_licenses(empty).count() == 0
 
 
+#: Paragraphs that no table of the classifier holds, and what they grant.
+HELD_OUT = [
+    ("Distributed under the MIT license, see below.", "mit"), ("# This code is made available under the MIT License", "mit"), ("The MIT License (MIT)", "mit"), ("// SPDX-License-Identifier: MIT", "mit"),
+    ("You may use this package under the terms of the Apache License 2.0 or ask us for another.", "apache-2.0"), ("Foo is covered by the Apache License, version 2.0; see NOTICE.", "apache-2.0"),
+    ("It is free software under the GNU GPL version 2.", "gpl-2.0"), ("Licensed under the GNU General Public License, version 2 only.", "gpl-2.0"), ("The plugin is released under GPLv3 to everyone.", "gpl-3.0"),
+    ("Our tool is subject to the GNU General Public License v3 or any later version", "gpl-3.0"), ("The library part is under the GNU Lesser General Public License, version 2.1.", "lgpl-2.1"),
+    ("the library is distributed under the terms of the GNU Lesser General Public License v3", "lgpl-3.0"), ("The server is under the GNU Affero General Public License, version 3, as of today.", "agpl-3.0"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0"), ("released under the BSD 2-clause license by its authors", "bsd-2-clause"), ("Use is governed by the BSD 3-Clause License.", "bsd-3-clause"),
+    ("* Available under the ISC License.", "isc"), ("Files here are subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("made available under the Eclipse Public License 2.0", "epl-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"), ("All texts are under CC BY 4.0 unless noted.", "cc-by-4.0"), ("Photos: licensed under CC BY-SA 4.0", "cc-by-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"), ("The corpus is under CC BY-NC-SA 4.0 for research.", "cc-by-nc-sa-4.0"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International licence", "cc-by-nc-nd-4.0"), ("The data are in the public domain under CC0 1.0 Universal", "cc0-1.0"),
+]
+NONE = [
+    "Licensed under the Apache License, Version 1.1.", "Licensed under the GNU General Public License, version 4.", "Released under CC BY 3.0.", "Subject to the Mozilla Public License 1.1", "under the terms of the Eclipse Public License v1.0",
+    "The MIT campus has a public library under the dome.", "He holds a commercial pilot license and a boat licence.", "The license fee for public television rose again.", "Apache warriors rode under the cliff.",
+    "The clause about redistribution was dropped from the contract.", "Creative work needs common sense.", "A permission slip is needed for the trip to the zoo.", "The licence plate reads GPL 300.",
+    "Eclipse chasers met in version after version of the same hotel.", "The boost was worth it, said the software buyer.", "The authors grant no license whatsoever.", "An article on how the GPL and MIT licenses differ.",
+    "The mozilla foundation published its yearly report.", "Contributors are named in the appendix.", "CC: all members of the board", "Redistribution of wealth and the general public", "The bsd conference took place in Ottawa.",
+]
+
+
+def test_license_scan_on_held_out_paragraphs(spark):
+    from paperloom.llm.license_scan import scan_licenses
+
+    rows = [(i, t) for i, (t, _) in enumerate(HELD_OUT)] + [(1000 + i, t) for i, t in enumerate(NONE)]
+    got = {r["doc_id"]: r["license"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    right = sum(got[i] == f for i, (_, f) in enumerate(HELD_OUT))
+    wrong = [(t, got[i]) for i, (t, f) in enumerate(HELD_OUT) if got[i] not in (f, None)]
+    assert right / len(HELD_OUT) >= 0.9, [(t, got[i]) for i, (t, f) in enumerate(HELD_OUT) if got[i] != f]
+    assert not wrong and not [(t, got[1000 + i]) for i, t in enumerate(NONE) if got[1000 + i]]
+
+
+def test_license_probabilities_are_calibrated():
+    """On variants of another seed: of what is given with some confidence about that share is right, by a classifier spelt out here."""
+    from paperloom.llm import license_scan as x
+
+    families, weights, intercept = x.train()
+    table, hits, sure = dict(weights), [], []
+    for ws, y in x.examples(99)[1][::7]:
+        starts = {s for p, w in enumerate(ws) if w in x.ANCHORS for s in range(p - x.REACH, p + x.REACH + 1) if 0 <= s < len(ws)}
+        grams = {tuple(ws[s : s + n]) for s in starts for n in (1, 2, 3) if s + n <= len(ws)}
+        z = [b + sum(table[" ".join(g)][i] for g in grams if " ".join(g) in table) for i, b in enumerate(intercept)]
+        chance = [math.exp((v - max(z)) / x.PART) for v in z]
+        sure.append(max(chance) / sum(chance))
+        hits.append(z.index(max(z)) == y)
+    sure, hits = np.array(sure), np.array(hits)
+    assert hits.mean() >= 0.93 and abs(sure.mean() - hits.mean()) < 0.05
+    for lo, hi in ((0.5, 0.9), (0.9, 1.01)):
+        part = (sure >= lo) & (sure < hi)
+        assert part.sum() < 25 or abs(sure[part].mean() - hits[part].mean()) < 0.15
+
+
+def test_license_scan_versions_blocks_and_long_paragraphs(spark):
+    from paperloom.llm.license_scan import judge, scan_licenses
+
+    two = "BSD 2-Clause License\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    commented = "# one\n#\n# Licensed under the GNU Lesser General\n# Public License, version 2.1\n#\n# two"
+    long = "river stone " * 30_000 + "\nlicensed under the terms of the " + "\nMozilla Public License 2.0 " + "sand " * 30_000
+    texts = [two, commented, long, two[22:], None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in scan_licenses(docs).collect()}
+    assert [got[i]["license"] for i in (0, 1, 2, 3, 4, None)] == ["bsd-2-clause", "lgpl-2.1", "mpl-2.0", "bsd-3-clause", None, "bsd-2-clause"]
+    for i, t in enumerate(texts):
+        assert (got[i]["license"], list(got[i]["licenses"]), got[i]["n_candidates"]) == judge(t)
+
+
 def test_license_scan_wrapped(spark):
     from paperloom.llm.license_scan import judge, scan_licenses
 
