@@ -98,7 +98,8 @@ class FMIndex:
         text = np.zeros(n, np.int64)
         text[place] = ids + 1
         self.starts = ends - lengths + np.arange(texts)
-        self.lengths, self.docs, self.text = lengths, docs, text
+        # The texts are what is streamed; the index proper is the wavelet matrix, the ranks and the LCP array with their minima.
+        self.lengths, self.text = lengths, text.astype(np.int32)
         sigma = len(kinds) + 1
         sa, lcp = self._sort(text, depth)
         self.first = np.zeros(sigma + 1, np.int64)
@@ -110,7 +111,7 @@ class FMIndex:
         by_suffix = rank[owner[sa]]
         by_suffix[text[sa] == 0] = np.iinfo(np.int32).max
         self.least = _RangeMin(by_suffix)
-        self.sa, self.lcp, self.lcp_min = sa, lcp, _RangeMin(lcp)
+        self.lcp, self.lcp_min = lcp, _RangeMin(lcp)
         self.n = n
 
     @staticmethod

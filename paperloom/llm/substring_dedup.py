@@ -10,7 +10,7 @@ its segments (see fm_index) and streams the same segments through it by backward
 Matching statistics of WINDOW or more report the windows to remove.
 
 Equal documents are one class from the start: all but the least id lose all words, if they
-have WINDOW or more. A minimizer of more than HOT runs is salted over several shards; what
+have WINDOW or more. A minimizer of more than HOT runs (counted by their words, long ones cut) is salted over several shards; what
 its shards leave unmatched is matched among them in further rounds, by the windows' own
 codes, as long as any shard is split. There one start stands for all starts of a window in
 documents of one id, and its verdict holds for all. So no shard grows with one frequent
@@ -40,8 +40,10 @@ from paperloom.llm.store import keep
 from paperloom.llm.wordcodes import U, grams, mix, ragged, text_buffers, word_codes
 
 WINDOW, GRAM = 50, 12
-#: Segments of one minimizer in one shard, and words in one index.
-HOT, SHARD_WORDS = 512, 300_000
+#: Segments of one minimizer in one shard, each of SEGMENT_WORDS words or a part of them, and words in one index.
+HOT, SEGMENT_WORDS, SHARD_WORDS = 512, 256, 300_000
+#: A longer run of windows with one minimizer, as periodic texts have, is cut into segments.
+MOST_WINDOWS = 2_048
 #: Up to so many ids are broadcast to the scan of the texts.
 BROADCAST_IDS = 500_000
 
@@ -65,6 +67,14 @@ def window_codes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return grams(codes, window)
 
 
+def _pieces(starts: np.ndarray, n: int) -> np.ndarray:
+    """Run starts among n windows, with further ones so that no run exceeds MOST_WINDOWS."""
+    sizes = np.diff(np.append(starts, n))
+    parts = -(-sizes // MOST_WINDOWS)
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(starts, parts) + at * MOST_WINDOWS
+
+
 def _profiler(window: int, gram: int):
     def profile(batches):
         for batch in batches:
@@ -86,6 +96,8 @@ def _profiler(window: int, gram: int):
                     digests.append(xxhash.xxh3_128_digest(c.tobytes()))
                     m = window_minima(c, window, gram)
                     s = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                    if len(m) > MOST_WINDOWS:
+                        s = _pieces(s, len(m))
                     keys.append(mix(m[s]))
                     starts.append(s)
                     counts.append(len(s))
@@ -205,10 +217,11 @@ def _windows_mapper(window: int):
 
 def _repeated(runs: DataFrame, hot: int, turn: int = 0) -> DataFrame:
     """The runs whose key two documents or more have, with salt (another each turn) and split."""
-    keys = runs.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    size = F.ceil((F.col("windows") + WINDOW - 1) / SEGMENT_WORDS)
+    keys = runs.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(size).alias("m")).where("lo <> hi")
     parts = F.ceil(F.col("m") / hot).cast("int")
     marked = runs.join(keys.select("key", parts.alias("_parts")), "key")
-    return marked.withColumn("salt", F.pmod(F.xxhash64("id", "h", F.lit(turn)), F.col("_parts")).cast("int")).withColumn("split", F.col("_parts") > 1).drop("_parts")
+    return marked.withColumn("salt", F.pmod(F.xxhash64("id", "h", "start", F.lit(turn)), F.col("_parts")).cast("int")).withColumn("split", F.col("_parts") > 1).drop("_parts")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:

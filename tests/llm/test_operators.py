@@ -160,6 +160,19 @@ def test_substring_dedup_ends_with_windows_repeated_in_a_document(spark):
     assert got == cut(rows)
 
 
+def test_substring_dedup_cuts_periodic_texts(spark, monkeypatch):
+    """Long runs of one minimizer, null ids, clashing names, split rounds with null texts."""
+    from paperloom.llm import substring_dedup as x
+
+    assert x._pieces(np.array([0, 3, 5000]), 5010).tolist() == [0, 3, 2051, 4099, 5000]
+    rows = [(i, " ".join([f"a{i}"] + ["la", "li"] * (150 + 3 * i) + [f"z{i}"]), 1) for i in range(6)] + [(8, None, 1), (9, "la li " * 400, 1)]
+    docs = spark.createDataFrame([*rows, (None, "la li " * 100, 1)], "doc_id bigint, text string, h int").selectExpr("*", "h AS key", "h AS id", "h AS start")
+    monkeypatch.setattr(x, "MOST_WINDOWS", 40)
+    expected = cut([(i, t) for i, t, _ in rows]) | {(None, 200, 0, hashlib.sha256(("la li " * 100).strip().encode()).hexdigest())}
+    for hot in (512, 2):
+        assert {tuple(r) for r in x.remove_repeats(docs, hot=hot, shard_words=500).collect()} == expected
+
+
 @pytest.mark.parametrize("depth", [1, 2, 3, 5, 8, 50])
 def test_matching_statistics(depth):
     from paperloom.llm.fm_index import FMIndex
