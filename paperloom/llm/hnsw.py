@@ -42,7 +42,7 @@ from paperloom.llm.store import keep
 
 K, M, EF, SHARD_ROWS, QUERY_BLOCK, GROUP, SEED = 20, 16, 192, 16_384, 1_024, 16, 5
 #: Beam, points inserted at once, and points that start a graph.
-CONSTRUCTION, BATCH, FIRST = 80, 512, 64
+CONSTRUCTION, BATCH, FIRST = 64, 512, 64
 
 INDEX = "shard int, dim int, single boolean, ids binary, counts binary, vectors binary, levels binary, links binary"
 
@@ -182,30 +182,35 @@ def search_graph(x: np.ndarray, layers, queries: np.ndarray, ef: int) -> tuple[n
         active, pick, open_ = active[alive], pick[alive], open_[alive]
         if not len(active):
             break
-        rows = np.repeat(np.arange(len(active)), pick.shape[1]).reshape(pick.shape)
-        fresh[active[rows[open_]], pick[open_]] = False
-        points = np.where(open_, ids[active[:, None], pick], 0)
-        near = np.where(open_[:, :, None], links[points], -1).reshape(len(active), -1)
-        safe = np.maximum(near, 0)
-        new = (near >= 0) & ~seen[active[:, None], safe]
-        # The two lists may share points: the second copy goes.
-        if pick.shape[1] == 2:
-            srt = np.argsort(near, axis=1, kind="stable")
-            ordered = np.take_along_axis(near, srt, 1)
-            dup = np.zeros_like(new)
-            np.put_along_axis(dup, srt[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-            new &= ~dup
-        a, c = np.nonzero(new)
-        seen[active[a], near[a, c]] = True
-        got = np.full(near.shape, -np.inf, np.float32)
-        got[a, c] = np.einsum("nd,nd->n", x[near[a, c]], queries[active[a]])
-        all_ids = np.concatenate([ids[active], near], 1)
-        all_scores = np.concatenate([scores[active], got], 1)
-        all_fresh = np.concatenate([fresh[active], new], 1)
+        every = np.arange(len(active))
+        fresh[active[:, None], pick] &= ~open_
+        near, new = [], []
+        for e in range(pick.shape[1]):  # one list after the other, so that no point of both counts twice
+            points = ids[active, pick[:, e]]
+            got = links[np.where(open_[:, e], points, 0)]
+            fine = (got >= 0) & open_[:, e, None]
+            fine &= ~seen[active[:, None], np.maximum(got, 0)]
+            r, c = np.nonzero(fine)
+            seen[active[r], got[r, c]] = True
+            near.append(got)
+            new.append(fine)
+        near, new = np.concatenate(near, 1), np.concatenate(new, 1)
+        # New points of each row side by side: rows hold few.
+        r, c = np.nonzero(new)
+        place = np.cumsum(new, 1)[r, c] - 1
+        width = int(place.max()) + 1 if len(place) else 0
+        if not width:
+            continue
+        found, score, isnew = np.full((len(every), width), -1, np.int64), np.full((len(every), width), -np.inf, np.float32), np.zeros((len(every), width), bool)
+        found[r, place] = near[r, c]
+        score[r, place] = np.einsum("nd,nd->n", x[near[r, c]], queries[active[r]])
+        isnew[r, place] = True
+        all_scores = np.concatenate([scores[active], score], 1)
         top = np.argpartition(-all_scores, ef - 1, axis=1)[:, :ef]
-        ids[active] = np.take_along_axis(all_ids, top, 1)
-        scores[active] = np.take_along_axis(all_scores, top, 1)
-        fresh[active] = np.take_along_axis(all_fresh, top, 1) & (scores[active] > -np.inf)
+        row = every[:, None]
+        ids[active] = np.concatenate([ids[active], found], 1)[row, top]
+        scores[active] = all_scores[row, top]
+        fresh[active] = np.concatenate([fresh[active], isnew], 1)[row, top] & (scores[active] > -np.inf)
     order = np.argsort(-scores, axis=1, kind="stable")
     scores = np.take_along_axis(scores, order, 1)
     return np.where(scores > -np.inf, np.take_along_axis(ids, order, 1), -1), scores
@@ -314,7 +319,8 @@ def build_index(rows: DataFrame, k: int = K, m: int = M, shard_rows: int = SHARD
     shards = max(1, -(-rows.count() // shard_rows))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dealt = rows.where(F.size("v") == (dims[0] if dims else 0)).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(shards)).cast("int"))
-    return keep(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_indexer(m, k), INDEX))
+    # More partitions than shards, so that few share one.
+    return keep(dealt.repartition(8 * shards, "shard").groupBy("shard").applyInArrow(_indexer(m, k), INDEX))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, m: int = M, ef: int = EF, block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
