@@ -210,7 +210,8 @@ def decontaminate(
         F.col("k").alias("_k"), F.col("t").alias("_h"), "_items", "_near", "_iv"
     )
     kept = {c: f"_doc_{i}" for i, c in enumerate(cols)}
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+    pieces = F.filter(_pieces(F.col(text)), lambda x: x != "")
+    n_words = F.size(pieces).cast("bigint")
     base = docs.select(*(F.col(c).alias(n) for c, n in kept.items()), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_t"), n_words.alias("n_words"))
     joined = base.join(both, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
     items_ = F.coalesce("_items", F.array().cast("array<string>"))
