@@ -175,6 +175,19 @@ ROUTES = {
 }
 
 
+@arrow_udf("boolean")
+def xml_parses(texts: pd.Series) -> pd.Series:
+    """Whether a text is well-formed XML."""
+
+    def fine(t: str | None) -> bool:
+        try:
+            return t is not None and ET.fromstring(t) is not None
+        except ET.ParseError:
+            return False
+
+    return texts.map(fine)
+
+
 def convert(text: Column, source: str, target: str) -> Column:
     if (source, target) == ("html", "txt"):
         from paperloom.sources.html import html_text

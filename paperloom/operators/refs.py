@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.patterns import REGISTRY, Kind, resolve
@@ -20,23 +20,26 @@ def find(docs: DataFrame, kinds: list[str] | None = None, extra: list[str] = (),
     return rows.groupBy(path, "ord", "kind", "value").agg(F.count("*").alias("count"), F.min("at").alias("first")).select(path, "kind", "value", "count", "first")
 
 
+def _matches(k: Kind, body: Column) -> Column:
+    """array<struct<gap,raw,value>>: each match with the text before it and its value; the last one has no raw."""
+    raws, values = F.regexp_extract_all(body, F.lit(k.regex), F.lit(0)), k.raw(body)
+    return F.transform(F.split(body, k.regex), lambda gap, i: F.struct(gap.alias("gap"), F.get(raws, i).alias("raw"), F.get(values, i).alias("value")))
+
+
 def places(docs: DataFrame, kind: str, path: str = "path", text: str = "content", most: int = 20) -> DataFrame:
     """(path, value, count, n_lines, lines, pages): where a match starts; at most `most` distinct lines and pages each, n_lines counts all lines.
 
-    The text is cut at every match by a control character that texts do not hold; running
-    lengths of the pieces before give lines (newlines) and pages (form feeds).
+    Lines and pages are running sums of newlines and form feeds over a text's matches in order.
     """
     k: Kind = REGISTRY[kind]
-    mark = "\x01"
-    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(mark), F.lit(" "))
-    pieces = F.split(F.regexp_replace(body, "(" + k.regex + ")", mark + "$1"), mark)
-    each = docs.select(path, F.posexplode(pieces).alias("i", "piece"), pieces.alias("all")).where("i > 0")
-    before = F.array_join(F.slice("all", F.lit(1), F.col("i")), "")
-    value = F.get(k.values(F.col("piece")), F.lit(0))
-    found = each.select(
-        path, value.alias("value"),
-        (F.regexp_count(before, F.lit("\n")) + 1).cast("bigint").alias("line"), (F.regexp_count(before, F.lit("\f")) + 1).cast("bigint").alias("page"),
-    ).where("value IS NOT NULL")
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    each = docs.select(path, F.posexplode(_matches(k, F.coalesce(F.col(text), F.lit("")))).alias("i", "m")).where("m.raw IS NOT NULL")
+    value = k.normalise(F.col("m.value"))
+    marks = [(count(F.col("m.gap"), mark).alias(f"{name}_gap"), count(F.col("m.raw"), mark).alias(f"{name}_raw")) for name, mark in (("line", "\n"), ("page", "\f"))]
+    thin = each.select(path, "i", value.alias("value"), k.accepts(value).alias("good"), *(c for pair in marks for c in pair))
+    before = Window.partitionBy(path).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda n: (F.coalesce(F.sum(F.col(f"{n}_gap") + F.col(f"{n}_raw")).over(before), F.lit(0)) + F.col(f"{n}_gap") + 1).cast("bigint").alias(n)
+    found = thin.select(path, "value", "good", at("line"), at("page")).where("good")
     short = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
     return found.groupBy(path, "value").agg(F.count("*").alias("count"), F.count_distinct("line").alias("n_lines"), short("line").alias("lines"), short("page").alias("pages"))
 
@@ -58,25 +61,28 @@ def redact(text: Column, kinds: list[str], replacement: str | None = None, extra
     out = F.coalesce(text, F.lit(""))
     for k in resolve(kinds, extra=extra):
         new = replacement if replacement is not None else f"[{k.name.upper()}]"
-        mark = "\x01"
-        pieces = F.split(F.regexp_replace(F.replace(out, F.lit(mark), F.lit(" ")), "(" + k.regex + ")", mark + "$1"), mark)
-
-        out = F.array_join(F.transform(pieces, _swap(k, new)), "")
+        out = F.array_join(F.transform(_matches(k, out), _swap(k, new)), "")
     return out
 
 
 def _swap(k: Kind, new: str):
-    def swap(p: Column, i: Column) -> Column:
-        raw = F.get(k.raw(p), F.lit(0))
-        good = raw.isNotNull() & k.accepts(k.normalise(raw)) & (i > 0)
-        return F.when(good, _replace_first(p, raw, new)).otherwise(p)
+    def swap(m: Column) -> Column:
+        at = F.position(m["value"], m["raw"])
+        cut = F.concat(F.left(m["raw"], at - 1), F.lit(new), F.substr(m["raw"], at + F.char_length(m["value"])))
+        return F.concat(m["gap"], F.when(m["raw"].isNull(), "").when(k.accepts(k.normalise(m["value"])), cut).otherwise(m["raw"]))
 
     return swap
 
 
-def _replace_first(text: Column, part: Column, new: str) -> Column:
-    at = F.position(part, text)
-    return F.concat(F.left(text, at - 1), F.lit(new), F.substr(text, at + F.char_length(part)))
+def still_parses(before: Column, after: Column, kind: str) -> Column:
+    """Whether a redacted json or xml text parses if it did before; other kinds always pass."""
+    if kind == "json":
+        fine = lambda c: F.try_parse_json(c).isNotNull()
+    elif kind == "xml":
+        from paperloom.operators.convert import xml_parses as fine
+    else:
+        return F.lit(True)
+    return ~fine(before) | fine(after)
 
 
 def counts(text: Column, kinds: list[str]) -> list[Column]:

@@ -557,21 +557,21 @@ INVOICE_TOTAL = "CAST(o_totalprice AS DECIMAL(18,2))"
 
 @query("fields_total_date", f"""
 SELECT 'inv/' || o_orderkey || '.txt' AS path, CAST({INVOICE_TOTAL} AS VARCHAR) AS total, 'USD' AS currency, strftime(o_orderdate, '%Y-%m-%d') AS date,
-  strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS due, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS invoice, replace(c_name, '#', ' ') AS vendor
+  strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS due, 'INV-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS invoice, CAST(o_orderkey AS VARCHAR) AS vendor
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(spark, d):
     from paperloom.operators.fields import extract
 
-    f = extract(V.invoices(spark, d).select("path", "content"))
+    f = extract(V.invoices(spark, d).select("path", "content").repartition(spark.sparkContext.defaultParallelism))
     one = lambda n: F.col(f"fields.{n}.value").alias(n)
-    return f.select("path", *[one(n) for n in ("total", "currency", "date", "due", "invoice", "vendor")])
+    return f.select("path", *[one(n) for n in ("total", "currency", "date", "due")], F.col("fields.invoice_no.value").alias("invoice"), one("vendor"))
 
 
 @query("fields_currency_mode", "SELECT 'USD' AS currency, CAST(count(*) AS BIGINT) AS files FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(spark, d):
     from paperloom.operators.fields import extract
 
-    f = extract(V.invoices(spark, d).select("path", "content"))
+    f = extract(V.invoices(spark, d).select("path", "content").repartition(spark.sparkContext.defaultParallelism))
     return f.groupBy(F.col("fields.currency.value").alias("currency")).agg(F.count("*").alias("files"))
 
 
