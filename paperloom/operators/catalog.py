@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.meta import canonical, condition, infer_kind, normal_key, parse_condition
@@ -44,8 +44,8 @@ def meta_rows(facts: DataFrame) -> DataFrame:
 
 def upsert_latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key, the last in order."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(last.alias("_last")).select("_last.*")
 
 
 def meta_find(meta: DataFrame, conditions: list[str]) -> DataFrame:

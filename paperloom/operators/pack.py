@@ -38,20 +38,28 @@ def within_budget(files: DataFrame, budget: int, order: list[str], size: str = "
 
 def chunks(files: DataFrame, budget: int, group: str, order: list[str], tokens: str = "tokens") -> DataFrame:
     """files with chunk: the greedy bin, in order within each group, of at most budget tokens (a larger file fills one)."""
-    zero = F.struct(F.lit(1).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("used"))
-    packed = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, tokens))).alias("_all"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        fits = (last["used"] == 0) | (last["used"] + x[tokens] <= budget)
-        new = F.struct(
-            F.when(fits, last["bin"]).otherwise(last["bin"] + 1).alias("bin"), F.when(fits, last["used"] + x[tokens]).otherwise(x[tokens]).alias("used")
-        )
-        return F.concat(acc, F.array(new))
-
-    bins = F.slice(F.aggregate("_all", F.array(zero), step), 2, F.size("_all"))
-    rows = packed.select(group, F.explode(F.zip_with("_all", bins, lambda a, b: F.struct(*[a[c].alias(c) for c in order], a[tokens].alias(tokens), b["bin"].alias("chunk")))).alias("r"))
-    return rows.select(group, "r.*")
+    rows = files.select(group, *order, tokens).repartition(group).sortWithinPartitions(group, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(_fill_bins(group, tokens, budget), schema + ", chunk bigint")
+
+
+def _fill_bins(group: str, tokens: str, budget: int):
+    """Sorted rows in, a batch at a time; the bin and what it holds are carried from batch to batch."""
+
+    def fill(batches):
+        now, chunk, used, fresh = None, 1, 0, True
+        for pdf in batches:
+            out = []
+            for g, n in zip(pdf[group].tolist(), pdf[tokens].tolist()):
+                if fresh or g != now and not (pd.isna(g) and pd.isna(now)):
+                    now, chunk, used, fresh = g, 1, 0, False
+                if used and used + n > budget:
+                    chunk, used = chunk + 1, 0
+                used += n
+                out.append(chunk)
+            yield pdf.assign(chunk=pd.array(out, dtype="int64"))
+
+    return fill
 
 
 def stats(files: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Full-text search: query language, bm25 ranking, snippets.
 
-A query is bare terms (all must occur), OR, NOT, parentheses, "phrases" and prefix*. It is
-compiled to expressions over a document's term array. Ranking takes two scans and no
+A query is terms, "phrases" and prefix*, with AND, OR, NOT and parentheses. Terms side by side
+must all occur and bind tightest, then NOT, AND and OR: `a NOT b c` is a without (b and c). A term
+with marks inside, as foo-bar, is the phrase of its parts. It is compiled to expressions over a document's term array. Ranking takes two scans and no
 shuffle: one global aggregation gives the number of documents, their mean length and each
 phrase's document frequency (one row, whatever the corpus), the second scan scores and
 keeps the top. Filters apply before the limit; statistics are those of the whole corpus.
@@ -58,7 +59,7 @@ def parse(query: str):
             tokens.append(m[3])
         elif m[4] in ("AND", "OR", "NOT"):
             tokens.append(m[4])
-        elif m[4].startswith(("^", "NEAR")) or ":" in m[4]:
+        elif m[4].startswith("^") or ":" in m[4] or m[4] == "NEAR" and text[at : at + 1] == "(":
             raise QueryError(f"{m[4]!r} is not supported")
         else:
             words = _fold(m[4])
@@ -77,17 +78,22 @@ def parse(query: str):
 
     def all_of():
         left = minus()
-        while tokens and tokens[0] not in ("OR", ")"):
-            if tokens[0] == "AND":
-                tokens.pop(0)
+        while tokens and tokens[0] == "AND":
+            tokens.pop(0)
             left = ("and", left, minus())
         return left
 
     def minus():
-        left = one()
+        left = side_by_side()
         while tokens and tokens[0] == "NOT":
             tokens.pop(0)
-            left = ("not", left, one())
+            left = ("not", left, side_by_side())
+        return left
+
+    def side_by_side():
+        left = one()
+        while tokens and tokens[0] not in ("AND", "OR", "NOT", ")"):
+            left = ("and", left, one())
         return left
 
     def one():
@@ -148,6 +154,12 @@ def _holds(tree, count: dict[Phrase, str]) -> Column:
     return {"and": a & b, "or": a | b, "not": a & ~b}[tree[0]]
 
 
+def idf(documents: int, holding: int) -> float:
+    """The weight of a phrase that so many documents hold; frequent ones keep a little."""
+    weight = math.log((documents - holding + 0.5) / (holding + 0.5)) if documents else 0.0
+    return weight if weight > 0 else FLOOR
+
+
 def search(docs: DataFrame, query: str, limit: int | None = 20, where: Column | None = None, key: str = "path", text: str = "content") -> DataFrame:
     """(key, score) of the matching documents, best (least) first, ties by key; where narrows before the limit."""
     tree = parse(query)
@@ -159,8 +171,7 @@ def search(docs: DataFrame, query: str, limit: int | None = 20, where: Column |
     score = F.lit(0.0)
     for p in ranked:
         f = F.col(count[p]).cast("double")
-        idf = math.log((row["n"] - row[count[p]] + 0.5) / (row[count[p]] + 0.5)) if row["n"] else 0.0
-        score = score - F.lit(idf if idf > 0 else FLOOR) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.lit(row["mean"] or 1.0)))
+        score = score - F.lit(idf(row["n"], row[count[p]])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_n") / F.lit(row["mean"] or 1.0)))
     found = counted.where(_holds(tree, count))
     if where is not None:
         found = found.where(where)

@@ -43,10 +43,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from paperloom.plans import desk, literals  # noqa: F401  (they register theirs)
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return SQL
 
 
