@@ -126,3 +126,22 @@ def glob_pattern(glob: str) -> str:
             out += "\\" + c if not c.isalnum() else c
         i += 1
     return f"(?s)^{out}$"
+
+
+#: Names that some platforms reserve, and the longest name.
+RESERVED, NAME_CHARS = ("con", "prn", "aux", "nul", *(f"{d}{n}" for d in ("com", "lpt") for n in range(1, 10))), 120
+
+
+def safe_filename(name: Column, fallback: str = "attachment") -> Column:
+    """A file name without folders, control or reserved characters, leading dots or reserved names, of bounded length."""
+    base = F.trim(F.element_at(F.split(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1))
+    base = F.regexp_replace(F.regexp_replace(base, r"[\x00-\x1F\x7F<>:\"|?*/]+", "_"), r"^[._]+|[._]+$", "")
+    ext = F.regexp_extract(base, r"(\.[^.]{1,16})$", 1)
+    root = F.left(F.left(base, F.length(base) - F.length(ext)), F.lit(NAME_CHARS) - F.length(ext))
+    safe = F.when(F.lower(root).isin(*RESERVED), F.concat(F.lit("_"), root)).otherwise(root)
+    return F.when(base == "", F.lit(fallback)).otherwise(F.concat(safe, ext))
+
+
+def short_hash(content: Column) -> Column:
+    """The first eight digits of the SHA-256."""
+    return F.left(F.sha2(content.cast("binary"), 256), F.lit(8))

@@ -110,3 +110,43 @@ def export(files: DataFrame, tags: DataFrame, notes: DataFrame, meta: DataFrame)
 def resume(manifest: DataFrame) -> DataFrame:
     """Paths whose last manifest record, by time, was ok: a resumed batch skips them."""
     return upsert_latest(manifest, ["path"], ["time", "seq"]).where("ok").select("path")
+
+
+#: The shape of an exported catalog.
+FILES = "array<struct<path:string,tags:array<string>,notes:array<struct<created:double,body:string>>,meta:array<struct<key:string,value:string,kind:string,source:string>>>>"
+
+
+def envelope(documents: DataFrame) -> DataFrame:
+    """(catalog): one JSON document {schema, files} of export()'s documents, in order of path; for catalogs that fit one row."""
+    parts = documents.agg(F.array_sort(F.collect_list(F.struct("path", "document"))).alias("d"))
+    return parts.select(F.concat(F.lit('{"schema":%d,"files":[' % SCHEMA_VERSION), F.array_join(F.transform("d", lambda x: x["document"]), ","), F.lit("]}")).alias("catalog"))
+
+
+def imported(catalogs: DataFrame, column: str = "catalog") -> DataFrame:
+    """(path, tags, notes, meta, problem) of the files of catalogs {schema, files}; problem says why a file or catalog can't be taken.
+
+    Tags are cleaned, keys must be keys, kinds known; a catalog of a later schema, or one that is no JSON, gives one row without a path.
+    """
+    read = catalogs.select(F.from_json(column, f"schema int, files {FILES}").alias("c"))
+    bad = F.when(F.col("c").isNull() | F.col("c.schema").isNull(), "not a catalog").when(F.col("c.schema") > SCHEMA_VERSION, "later schema").when(F.col("c.files").isNull(), "no files")
+    rows = read.select(bad.alias("problem"), F.explode_outer(F.when(bad.isNull(), F.col("c.files"))).alias("f")).where("problem IS NOT NULL OR f IS NOT NULL")
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("f.tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")))
+    wrong_key = F.exists("f.meta", lambda m: normal_key(m["key"]).isNull())
+    wrong_kind = F.exists("f.meta", lambda m: ~F.coalesce(m["kind"], F.lit("str")).isin("bool", "num", "date", "str"))
+    why = F.coalesce("problem", F.when(F.coalesce(F.trim("f.path"), F.lit("")) == "", "no path").when(F.coalesce(wrong_key, F.lit(False)), "bad key").when(F.coalesce(wrong_kind, F.lit(False)), "bad kind"))
+    return rows.select(F.col("f.path").alias("path"), clean.alias("tags"), F.col("f.notes").alias("notes"), F.col("f.meta").alias("meta"), why.alias("problem"))
+
+
+def merge_notes(base: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, created, body, added): the union of both; a note of the same time and body counts once."""
+    both = base.select("path", "created", "body", F.lit(False).alias("added")).unionByName(new.select("path", "created", "body", F.lit(True).alias("added")))
+    return both.groupBy("path", "created", "body").agg(F.min("added").alias("added"))
+
+
+def verify_manifest(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, state) of a manifest's lines (`<sha256>  <path>`) against files (path, content): ok, changed, missing or malformed."""
+    sha, path = F.regexp_extract("line", r"^([0-9a-fA-F]{64}) [ *](.+)$", 1), F.regexp_extract("line", r"^[0-9a-fA-F]{64} [ *](.+)$", 1)
+    listed = lines.select(F.lower(sha).alias("sha"), F.when(sha == "", F.col("line")).otherwise(path).alias("path"), (sha == "").alias("bad"))
+    have = files.select(F.col("path").alias("_path"), F.sha2(F.col("content").cast("binary"), 256).alias("_sha"))
+    joined = listed.join(have, F.col("path") == F.col("_path"), "left")
+    return joined.select("path", F.when(F.col("bad"), "malformed").when(F.col("_sha").isNull(), "missing").when(F.col("sha") == F.col("_sha"), "ok").otherwise("changed").alias("state"))

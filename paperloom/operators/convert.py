@@ -201,3 +201,15 @@ def convert(text: Column, source: str, target: str) -> Column:
 @arrow_udf("string")
 def edit_json(texts: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
     return pd.Series([_guarded(_edit_json)(t, p, v) for t, p, v in zip(texts, paths, values)])
+
+
+def edit_text(text: Column, pattern: str, replacement: str, regex: bool = False) -> Column:
+    """struct<text,count>: the text with every occurrence replaced, and how many there were.
+
+    A regular expression's replacement names groups as Java does ($1).
+    """
+    if regex:
+        return F.struct(F.regexp_replace(text, pattern, replacement).alias("text"), F.regexp_count(text, F.lit(pattern)).cast("bigint").alias("count"))
+    left = F.replace(text, F.lit(pattern), F.lit(""))
+    n = ((F.char_length(text) - F.char_length(left)) / len(pattern)).cast("bigint") if pattern else F.lit(0).cast("bigint")
+    return F.struct(F.replace(text, F.lit(pattern), F.lit(replacement)).alias("text"), n.alias("count"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import json
+import xml.etree.ElementTree as ET
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,3 +69,38 @@ def json_leaves(mode: str):
         return pd.Series(out)
 
     return flatten
+
+
+@arrow_udf("array<struct<path:string,value:string>>")
+def xml_leaves(texts: pd.Series) -> pd.Series:
+    """XML text to (path, value) leaves: `a.b`, `a.b.0` among siblings of one name, `a.@name` for attributes; null if it can't be read."""
+
+    def read(t):
+        try:
+            root = ET.fromstring(t or "")
+        except ET.ParseError:
+            return None
+        out, todo = [], [(root, root.tag)]
+        while todo:
+            element, path = todo.pop()
+            out += [{"path": f"{path}.@{k}", "value": v} for k, v in element.attrib.items()]
+            if not len(element):
+                out.append({"path": path, "value": (element.text or "").strip()})
+                continue
+            several, seen = Counter(c.tag for c in element), Counter()
+            for child in element:
+                place = f".{seen[child.tag]}" if several[child.tag] > 1 else ""
+                seen[child.tag] += 1
+                todo.append((child, f"{path}.{child.tag}{place}"))
+        return sorted(out, key=lambda x: x["path"])
+
+    return texts.map(read)
+
+
+def text_diff(old: DataFrame, new: DataFrame, key: str, text: str, leaves) -> DataFrame:
+    """(key, path, change, old, new): structural differences of two tables of json or xml texts, by a flattener of them."""
+
+    def flat(df: DataFrame) -> DataFrame:
+        return df.select(key, F.explode(leaves(F.col(text))).alias("l")).select(key, "l.path", "l.value")
+
+    return leaf_diff(flat(old), flat(new), [key, "path"])

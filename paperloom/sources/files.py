@@ -19,8 +19,8 @@ EXTENSIONS = {
     ".html": "html", ".htm": "html", ".json": "json", ".xml": "xml", ".csv": "csv", ".docx": "docx", ".odt": "odt", ".epub": "epub", ".rtf": "rtf",
     ".xlsx": "xlsx", ".xlsm": "xlsx", ".eml": "eml", ".mbox": "mbox", ".mbx": "mbox",
 }
-#: First bytes, in hex.
-MAGIC = [("25504446", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpg"), ("00000100", "ico"), ("7B5C727466", "rtf")]
+#: First bytes.
+MAGIC = [(b"%PDF", "pdf"), (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpg"), (b"\x00\x00\x01\x00", "ico"), (b"{\\rtf", "rtf")]
 #: Extensions and names of source code.
 CODE = ".py .js .ts .java .c .h .cpp .go .rs .rb .php .sh .sql .toml .yaml .yml .ini .cfg .css .scala .kt .swift .r .lua .pl".split()
 CODE_NAMES = ("Makefile", "Dockerfile", "Rakefile", "Gemfile")
@@ -63,7 +63,7 @@ def detect(path: Column, content: Column) -> Column:
     head = F.substring(content, 1, 8)
     by_magic = F.lit(None).cast("string")
     for bytes_, kind in reversed(MAGIC):
-        by_magic = F.when(F.substring(head, 1, len(bytes_) // 2) == F.unhex(F.lit(bytes_)), kind).otherwise(by_magic)
+        by_magic = F.when(F.substring(head, 1, len(bytes_)) == F.lit(bytes_), kind).otherwise(by_magic)
     ext = suffix(path)
     by_ext = F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), ext)
     start = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
@@ -150,7 +150,34 @@ def organise_plan(files: DataFrame, by: str = "type") -> DataFrame:
     if by == "date":
         folder = F.date_format(F.timestamp_seconds("mtime"), "yyyy/MM")
     name = base_name(F.col("path"))
-    placed = files.select("path", folder.alias("folder"), name.alias("name"))
-    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy("path")) - 1
-    unique = F.when(n == 0, F.col("name")).otherwise(F.concat(F.regexp_replace("name", r"(\.[^.]*)?$", ""), F.lit("-"), n.cast("string"), F.regexp_extract("name", r"(\.[^.]*)$", 1)))
-    return placed.select("path", F.concat_ws("/", "folder", unique).alias("to"))
+    return unique_targets(files.select("path", F.concat_ws("/", folder, name).alias("to")))
+
+
+def unique_targets(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(path, to) with targets made unique in order of path: -1, -2, ... before the extension.
+
+    taken (to) are targets that exist. A number that another target already bears is passed over:
+    targets of one stem and extension, bare or numbered, are settled together.
+    """
+    from pyspark.sql import Window
+
+    stem = lambda c: F.regexp_replace(c, r"(?:-[0-9]{1,9})?(\.[^./]*)?$", "")
+    ext = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
+    number = lambda c: F.coalesce(F.regexp_extract(c, r"-([0-9]{1,9})(?:\.[^./]*)?$", 1).try_cast("bigint"), F.lit(0))
+    here = plan.select("path", "to")
+    first = F.row_number().over(Window.partitionBy("to").orderBy("path"))
+    ranked = here.withColumn("_r", first)
+    used = ranked.where("_r = 1").select("to", F.lit(None).cast("string").alias("_by"))
+    if taken is not None:
+        ranked = ranked.join(taken.select("to", F.lit(True).alias("_held")).distinct(), "to", "left").withColumn("_keeps", (F.col("_r") == 1) & F.col("_held").isNull())
+        used = used.select("to").unionByName(taken.select("to"))
+    else:
+        ranked = ranked.withColumn("_keeps", F.col("_r") == 1)
+    numbers = used.select(stem(F.col("to")).alias("_s"), ext(F.col("to")).alias("_e"), number(F.col("to")).alias("_n")).groupBy("_s", "_e").agg(F.collect_set("_n").alias("_used"))
+    moved = ranked.where("NOT _keeps").select("path", "to", F.regexp_replace("to", r"(\.[^./]*)?$", "").alias("_root"), ext(F.col("to")).alias("_e"))
+    moved = moved.withColumn("_k", F.row_number().over(Window.partitionBy("_root", "_e").orderBy("path")))
+    known = moved.join(numbers, (F.col("_root") == F.col("_s")) & (moved["_e"] == numbers["_e"]), "left").drop(numbers["_e"])
+    # The k-th free number: as many candidates as there are used ones and k more hold it.
+    free = F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("_k") + F.size(F.coalesce("_used", F.array().cast("array<bigint>")))), lambda n: ~F.array_contains(F.coalesce("_used", F.array().cast("array<bigint>")), n))
+    renamed = known.select("path", F.concat("_root", F.lit("-"), F.element_at(free, F.col("_k")).cast("string"), "_e").alias("to"))
+    return ranked.where("_keeps").select("path", "to").unionByName(renamed)
