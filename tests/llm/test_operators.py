@@ -664,6 +664,51 @@ def test_language_model_scores_with_the_whole_trie(spark, docs, monkeypatch, mos
         assert r["score"] == pytest.approx(trie.log10(keys([rows[r["doc_id"]]])).sum(), rel=1e-5)
 
 
+def test_language_model_against_brute_force(spark, monkeypatch):
+    """Prediction by partial matching spelt out byte by byte, with every bound at zero, null keys and clashing names."""
+    from paperloom.llm import ppm
+    from paperloom.llm.compression_quality import held_out
+
+    monkeypatch.setattr(ppm, "GRAMS", 0)
+    monkeypatch.setattr(ppm, "HOT_WORDS", 0)
+    texts = ["abra cadabra abra", "cad abra", None, "", "zz top abra", "abracadabra cadabra rare", "aa ab ac", "abra zebra", "rare words here"]
+    rows = [(i, t, 1.5, 7) for i, t in enumerate(texts)] + [(None, "abra null", 1.5, 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, n int").selectExpr("*", "n AS key", "n AS kind", "n AS _uid")
+    out = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    body = {i: b" ".join((t or "").translate(FOLD).encode().split()) + b"\n" for i, t, *_ in rows}
+    counts = {}
+    for i, b in body.items():
+        if not out[i]:
+            padded = b"\n" * 5 + b
+            for at in range(5, len(padded)):
+                for k in range(6):
+                    counts.setdefault(padded[at - k : at], Counter())[padded[at]] += 1
+    words = Counter(w for i, b in body.items() if not out[i] for w in [*b[:-1].split(), b"\n"])
+    n = sum(words.values())
+    got = ppm.score_documents(docs, held_out("doc_id", 7, 2))
+    assert got.columns == ["doc_id", "text", "n", "key", "kind", "_uid", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    for r in got.collect():
+        padded, total = b"\n" * 5 + body[r["doc_id"]], 0.0
+        for at in range(5, len(padded)):
+            excluded, symbol = set(), padded[at]
+            for k in range(5, -1, -1):
+                seen = {s: c for s, c in counts.get(padded[at - k : at], {}).items() if s not in excluded}
+                if not seen:
+                    excluded |= set(counts.get(padded[at - k : at], {}))
+                    continue
+                mass = sum(seen.values())
+                if symbol in seen:
+                    total += math.log10((seen[symbol] - 0.5) / mass)
+                    break
+                total += math.log10(0.5 * len(seen) / mass)
+                excluded = set(counts[padded[at - k : at]])
+            else:
+                total -= math.log10(256 - len(excluded))
+        tokens = [*body[r["doc_id"]][:-1].split(), b"\n"]
+        assert r["score"] == pytest.approx(total, abs=1e-4), r["text"]
+        assert r["base_score"] == pytest.approx(sum(math.log10((words[w] + 1) / (n + len(words) + 1)) for w in tokens)) and r["n_known"] == sum(w in words for w in tokens)
+
+
 def test_license_scan(spark, empty):
     from paperloom.llm.license_scan import judge, scan_licenses
 

@@ -51,6 +51,35 @@ def test_near_dedup_links_from_four_fifths(spark):
     assert {r["doc_id"] for r in c.near_dedup(spark, docs, DATA).collect()} == {i for i, _ in rows} - linked
 
 
+def test_pipeline_on_odd_tables(spark):
+    """Nulls, repeated rows, extra columns with clashing names, and an empty table through every stage."""
+    import corpus_pipeline as c
+
+    long = "the river runs over the stones and the sand " * 4
+    rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (2, None, None, None, 0), (3, "", "en", "b", 0), (None, "some words here that stay", "en", "b", 9), (4, long + "x", "en", None, 6), (1, "another text under the same number", "en", "a", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "doc_id AS id", "n_chars AS size", "lang AS shard", "source AS label", "1 AS _t")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for i, (name, stage) in enumerate(c.STAGES):
+            out = stage(spark, now, DATA).checkpoint()
+            if i < len(c.STAGES) - 1:
+                assert out.columns == docs.columns, name
+            if table is not docs:
+                assert out.count() == 0, name
+            if name == "near-dedup":
+                texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+                assert len(texts) == len(set(texts)) and (0, rows[4][1]) in texts if table is docs else not texts
+            now = out
+        assert {"shard", "slot"} <= set(now.columns)
+
+
+def test_entry_has_the_llm_queries():
+    import __spark_entry__ as e
+
+    found = e.queries()
+    assert all(any(k.startswith(f"op{n}_") for k in found) for n in range(1, 11)) and "pipeline" in found
+
+
 def test_clean_operators_need_no_llm():
     import subprocess
     import sys
