@@ -418,7 +418,9 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", carry
     got = often.join(contexts[order], "ctx").select("key", (F.log10(F.col("n") - F.lit(DISCOUNT)) - F.log10("total")).alias("log")).toArrow()  # at most GRAMS rows
     known = {"table": Table(got.column("key").to_numpy().view(U)).parts, "logs": got.column("log").to_numpy()}
     shared = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(hot)  # bounded by GRAMS and HOT_WORDS
-    inputs = docs.select(*names, held_out.alias("held_out"), F.monotonically_increasing_id().alias("_uid"), F.col(text).alias("_text"))
+    # Carried columns go by their places, so that none is named like a column made here.
+    placed = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    inputs = docs.select(*placed, held_out.alias("held_out"), F.monotonically_increasing_id().alias("_uid"), F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.drop("_text").schema)
     schema += ", n_tokens bigint, _known bigint, _base double, _score double, _rare array<bigint>, _times array<int>, _grams array<bigint>, _gram_times array<int>"
     scored = keep(inputs.mapInArrow(_scorer(*shared, order), schema))
@@ -432,7 +434,7 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", carry
     gram_sums = tail.join(gram_log, "key").groupBy("_uid").agg(F.sum(F.col("m") * F.col("log")).alias("_tail"))
     joined = scored.drop("_rare", "_times", "_grams", "_gram_times").join(sums, "_uid", "left").join(gram_sums, "_uid", "left")
     return joined.select(
-        *names,
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names)),
         "held_out",
         "n_tokens",
         (F.col("_known") + F.coalesce("_found", F.lit(0))).cast("bigint").alias("n_known"),
