@@ -121,13 +121,16 @@ def ring_shard(
     cells = ring_cells(points, cells_per_arc)
     uppers = [u for u, _ in cells]
 
-    body = F.coalesce(F.col(text), F.lit(""))
+    # Columns go by their places, so that none is named like a column made here.
+    at = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*names, key, text]))}
+    df = df.select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()))
+    body = F.coalesce(F.col(at[text]), F.lit(""))
     if apart:
         df = keep(df.withColumn("_row", F.monotonically_increasing_id()))
-    of_key = F.xxhash64(F.col(key), *([F.col("_row")] if apart else []), F.lit(seed))
+    of_key = F.xxhash64(F.col(at[key]), *([F.col("_row")] if apart else []), F.lit(seed))
     place = F.shiftrightunsigned(of_key, 32)
     placed = df.select(
-        *names,
+        *(at[c] for c in names),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         of_key.alias("_h"),
@@ -155,7 +158,7 @@ def ring_shard(
         .join(F.broadcast(where), F.col("_cell") == F.col("_c"))  # at most one row per cell, a constant
         .withColumn("_p", piece)
         .select(
-            *names,
+            *(F.col(at[c]).alias(c) for c in names),
             "size",
             "text_crc32",
             F.lit("rows").alias("law"),
