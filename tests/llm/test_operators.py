@@ -714,7 +714,7 @@ def test_license_scan(spark, empty):
 
     texts = ["Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.\ny", "He lost his license.", "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.",
              "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", None, "", "nothing here", "MIT", "apache mit gnu license " * 50]
-    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id bigint, text string, license string")
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id bigint, text string, license string").selectExpr("*", "1 AS _t", "2 AS _k", "3 AS id")
     got = {r["doc_id"]: r for r in scan_licenses(docs.unionByName(docs)).collect()}
     for i, t in enumerate(texts):
         one, every, n = judge(t)
