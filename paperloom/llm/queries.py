@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL, where SQL can say the same."""
+"""The queries op1 to op13 and their SQL, where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -82,12 +82,19 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], with_near=True)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.conversation_repair import damage, repair
+
+    found = repair(damage(table(spark, sf_dir, "conversations")), with_turns=False)
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3, "op4_warc_salvage": OP4, "op6_hyperminhash": OP6, "op10_positional_index": OP10}
+    return {"op3_substring_dedup": OP3, "op4_warc_salvage": OP4, "op6_hyperminhash": OP6, "op10_positional_index": OP10, "op12_conversation_repair": OP12}
 
 
 OP3 = """
@@ -149,3 +156,47 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN g.holder <> p.page_id THEN g.holder END AS refers_to
 FROM p LEFT JOIN g ON p.n >= 1000 AND p.d = g.d
 """
+
+
+OP12 = """
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), coded AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM raw, tab
+), after AS (
+  SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN how = 1 THEN '' WHEN how = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE how <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    CASE left(role, 1) WHEN 's' THEN 's' WHEN 'u' THEN 'u' WHEN 'a' THEN 'a' ELSE 'x' END AS ini FROM after
+), faults AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN seen THEN 'duplicate' WHEN regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id
+), best AS (
+  SELECT conv_id, n AS i, [struct_pack(c := 0, a := '', o := CAST([] AS VARCHAR[])), struct_pack(c := 6, a := 'II', o := ['user:', 'assistant:']), struct_pack(c := 3, a := 'I', o := ['assistant:']), struct_pack(c := 0, a := '', o := CAST([] AS VARCHAR[]))] AS b FROM counts
+  UNION ALL
+  SELECT conv_id, i, [least(v[1], {'c': 3 + v[3].c, 'a': 'I' || v[3].a, 'o': list_prepend('user:', v[3].o)}, {'c': 6 + v[4].c, 'a': 'II' || v[4].a, 'o': list_concat(['user:', 'assistant:'], v[4].o)}),
+    least(v[2], {'c': 3 + v[3].c, 'a': 'I' || v[3].a, 'o': list_prepend('user:', v[3].o)}, {'c': 6 + v[4].c, 'a': 'II' || v[4].a, 'o': list_concat(['user:', 'assistant:'], v[4].o)}),
+    least(v[3], {'c': 3 + v[4].c, 'a': 'I' || v[4].a, 'o': list_prepend('assistant:', v[4].o)}),
+    least(v[4], {'c': 3 + v[3].c, 'a': 'I' || v[3].a, 'o': list_prepend('user:', v[3].o)})] AS b
+  FROM (
+    SELECT best.conv_id, best.i - 1 AS i, list_transform(range(1, 5), lambda q: least(
+      {'c': 4 + b[q].c, 'a': 'D' || b[q].a, 'o': b[q].o},
+      CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN (ini = 's' AND q = 1) OR (ini = 'u' AND q <> 3) OR (ini = 'a' AND q = 3)
+        THEN {'c': b[CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'a': 'K' || b[CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a,
+          'o': list_prepend(role || ':' || text, b[CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].o)} END,
+      CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {'c': b[CASE WHEN q = 3 THEN 4 ELSE 3 END].c + CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'a': 'R' || b[CASE WHEN q = 3 THEN 4 ELSE 3 END].a,
+          'o': list_prepend(CASE WHEN q = 3 THEN 'assistant:' ELSE 'user:' END || text, b[CASE WHEN q = 3 THEN 4 ELSE 3 END].o)} END)) AS v
+    FROM best JOIN faults f ON f.conv_id IS NOT DISTINCT FROM best.conv_id AND f.i = best.i WHERE best.i > 0
+  )
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b[1].c, 0) AS BIGINT) AS cost, coalesce(b[1].a, '') AS audit, sha256(coalesce(array_to_string(b[1].o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id AND best.i = 0
+"""
