@@ -82,6 +82,13 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], with_near=True)
 
 
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.residue_whitening import whiten
+
+    found = whiten(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    return found.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.conversation_repair import damage, repair
 
@@ -89,12 +96,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.cross_polytope import linked_rows
+
+    found = linked_rows(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3, "op4_warc_salvage": OP4, "op6_hyperminhash": OP6, "op10_positional_index": OP10, "op12_conversation_repair": OP12}
+    return {"op3_substring_dedup": OP3, "op4_warc_salvage": OP4, "op6_hyperminhash": OP6, "op10_positional_index": OP10, "op12_conversation_repair": OP12, "op13_cross_polytope": OP13}
 
 
 OP3 = """
@@ -200,3 +214,18 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
   CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b[1].c, 0) AS BIGINT) AS cost, coalesce(b[1].a, '') AS audit, sha256(coalesce(array_to_string(b[1].o, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id AND best.i = 0
 """
+
+
+OP13 = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98
+), r AS (SELECT vec_id AS node, vec_id AS other FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
