@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
+#: Fixed value: characters of an estimated token.
+CHARS_PER_TOKEN = 3.6
+
 NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -24,7 +27,7 @@ def terms(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Estimated model tokens: characters over 3.6, rounded up."""
-    return F.ceil(F.char_length(F.coalesce(text, F.lit(""))) / F.lit(3.6)).cast("bigint")
+    return F.ceil(F.char_length(F.coalesce(text, F.lit(""))) / F.lit(CHARS_PER_TOKEN)).cast("bigint")
 
 
 def line_count(text: Column) -> Column:
@@ -39,9 +42,10 @@ def word_count(text: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes as B to TB, with one decimal from KB on."""
-    out = F.concat(F.format_number(n / F.lit(1024.0**4), 1), F.lit(" TB"))
+    one = lambda x: F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+    out = F.concat(one(n / F.lit(1024.0**4)), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024.0 ** (power + 1), F.concat(F.format_number(n / F.lit(1024.0**power), 1), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.concat(one(n / F.lit(1024.0**power)), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import fence, token_estimate
+from paperloom.operators.binning import greedy_bins
 from paperloom.operators.graph import cut
 from paperloom.functions.udf import arrow_udf
 
@@ -38,28 +39,7 @@ def within_budget(files: DataFrame, budget: int, order: list[str], size: str = "
 
 def chunks(files: DataFrame, budget: int, group: str, order: list[str], tokens: str = "tokens") -> DataFrame:
     """files with chunk: the greedy bin, in order within each group, of at most budget tokens (a larger file fills one)."""
-    rows = files.select(group, *order, tokens).repartition(group).sortWithinPartitions(group, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(_fill_bins(group, tokens, budget), schema + ", chunk bigint")
-
-
-def _fill_bins(group: str, tokens: str, budget: int):
-    """Sorted rows in, a batch at a time; the bin and what it holds are carried from batch to batch."""
-
-    def fill(batches):
-        now, chunk, used, fresh = None, 1, 0, True
-        for pdf in batches:
-            out = []
-            for g, n in zip(pdf[group].tolist(), pdf[tokens].tolist()):
-                if fresh or g != now and not (pd.isna(g) and pd.isna(now)):
-                    now, chunk, used, fresh = g, 1, 0, False
-                if used and used + n > budget:
-                    chunk, used = chunk + 1, 0
-                used += n
-                out.append(chunk)
-            yield pdf.assign(chunk=pd.array(out, dtype="int64"))
-
-    return fill
+    return greedy_bins(files, budget, tokens, order, [group], "chunk")
 
 
 def stats(files: DataFrame) -> DataFrame:
@@ -75,15 +55,6 @@ def markdown_section(path: Column, text: Column, language: str = "") -> Column:
     return F.concat(F.lit("## "), path, F.lit("\n\n"), fence(text), F.lit(language + "\n"), text, F.lit("\n"), fence(text), F.lit("\n"))
 
 
-def xml_section(path: Column, text: Column) -> Column:
-    body = F.replace(text, F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
-    return F.concat(F.lit('<file path="'), path, F.lit('"><![CDATA['), body, F.lit("]]></file>"))
-
-
-def json_section(path: Column, text: Column) -> Column:
-    return F.to_json(F.struct(path.alias("path"), text.alias("content"), token_estimate(text).alias("tokens")))
-
-
 @arrow_udf("array<string>")
 def split_text(texts: pd.Series, most: pd.Series) -> pd.Series:
     """Pieces of at most `most` characters, cut at paragraphs, then sentences, then anywhere."""
@@ -109,34 +80,3 @@ def chapters(docs: DataFrame, path: str = "path", text: str = "content") -> Data
     grouped = numbered.groupBy(path, "chapter").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
     title = F.when(F.col("chapter") > 0, F.regexp_replace(F.get("ls", F.lit(0))["line"], r"^#\s+", ""))
     return grouped.select(path, "chapter", title.alias("title"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))
-
-
-def bundle(files: DataFrame, budget: int, chunk_tokens: int, order: list[str], most: int = 200_000, fmt: str = "md") -> DataFrame:
-    """(chunk, document): files (path, content, size, kind, ...) as documents of about chunk_tokens each.
-
-    Files that are too large, binary or an image, and those from the first beyond the budget
-    of bytes on, are listed with the reason; the list of all files stands at the head of the
-    first document. A file with the content of an earlier one that is inlined refers to it. A
-    document holds one chunk, so its size is bounded; the list has a line per file.
-    """
-    tokens = token_estimate(F.col("content"))
-    marked = files.select("path", "content", "size", *[c for c in order if c not in ("path", "size")], tokens.alias("tokens"), skip_reason(F.col("size"), F.col("kind"), most).alias("skipped"))
-    marked = within_budget(marked, budget, order)
-    inlined = marked.where("skipped IS NULL")
-    first = inlined.groupBy(F.sha2("content", 256).alias("_h")).agg(F.min_by("path", F.struct(*order)).alias("same_as"))
-    placed = chunks(inlined.withColumn("_one", F.lit(1)), chunk_tokens, "_one", [*dict.fromkeys([*order, "path"])]).select("path", "chunk")
-    rows = inlined.join(placed, "path").withColumn("_h", F.sha2("content", 256)).join(first, "_h")
-    same = F.col("same_as") != F.col("path")
-    body = {"md": markdown_section, "xml": xml_section, "json": json_section}[fmt](F.col("path"), F.col("content"))
-    refer = {"md": F.concat(F.lit("## "), F.col("path"), F.lit("\n\nsame as "), F.col("same_as"), F.lit("\n")), "xml": F.concat(F.lit('<file path="'), F.col("path"), F.lit('" same-as="'), F.col("same_as"), F.lit('"/>')),
-             "json": F.to_json(F.struct("path", "same_as"))}[fmt]
-    section = F.struct(*order, F.when(same, refer).otherwise(body).alias("text"))
-    joined = rows.groupBy("chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["text"]), ",\n" if fmt == "json" else "\n").alias("text"))
-    line = F.concat(F.col("path"), F.lit(" ("), F.col("size"), F.lit(" B"), F.coalesce(F.concat(F.lit(", "), F.col("skipped")), F.lit("")), F.lit(")"))
-    tree = marked.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n").alias("tree"))
-    head = {"md": lambda t: F.concat(F.lit("# Files\n\n"), t, F.lit("\n\n")), "xml": lambda t: F.concat(F.lit("<pack>\n<files><![CDATA["), F.replace(t, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]></files>\n")),
-            "json": lambda t: F.concat(F.lit('{"files":'), F.to_json(F.split(t, "\n")), F.lit(',"parts":['))}[fmt]
-    foot = {"md": "", "xml": "\n</pack>", "json": "]}"}[fmt]
-    parts = tree.withColumn("chunk", F.lit(1).cast("bigint")).join(joined, "chunk", "left").unionByName(joined.where("chunk > 1").withColumn("tree", F.lit(None).cast("string")), allowMissingColumns=True)
-    opening = {"md": "", "xml": "<pack>\n", "json": '{"parts":['}[fmt]
-    return parts.select("chunk", F.concat(F.coalesce(head(F.col("tree")), F.lit(opening)), F.coalesce("text", F.lit("")), F.lit(foot)).alias("document"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import catalog, convert, diff, inspect, pack
+from paperloom.operators import bundle, catalog, convert, diff, inspect
+from paperloom.operators.binning import numbered
 from paperloom.plans import intake
 from paperloom.plans import views as V
 from paperloom.plans.literals import _table, _values
@@ -160,17 +161,54 @@ def _(spark, d):
     return both.select("message_id", "thread", "depth")
 
 
-BUNDLE = [("a", "one", 3, "text"), ("b", "two " * 30, 120, "text"), ("c", "one", 3, "text"), ("d", "img", 3, "image"), ("e", "late", 4000, "text")]
+@query("pack_bundle_sizes", f"SELECT CAST(count(*) AS BIGINT) AS files FROM ({DOCS}) WHERE size <= 20000")
+def _(spark, d):
+    """How many sections all documents of the bundle hold together."""
+    docs = V.docs(spark, d).withColumn("kind", F.lit("text"))
+    rows = bundle.sections(docs, bundle.entries(docs, most=20_000), 200_000)
+    return rows.where("kind = 'file'").agg(F.count("*").alias("files"))
+
 
+SECTION = """length('### `' || path || '`' || chr(10) || chr(10)) + 2 * (greatest(3, coalesce(list_max(list_transform(regexp_extract_all(body, '`+'), lambda x: length(x))), 0) + 1)) + 3 + length(body)"""
+PARTS = f"""
+WITH RECURSIVE f AS (SELECT path, size, CAST(ceil(length(content) / 3.6e0) AS BIGINT) AS tokens, regexp_replace(content, '\n+$', '') AS body, size > 30000 AS big, content FROM ({DOCS})),
+g AS (SELECT *, NOT big AND row_number() OVER (PARTITION BY md5(content), big ORDER BY path) > 1 AS copy, min(path) OVER (PARTITION BY md5(content), big) AS leader FROM f),
+s AS (SELECT count(*) FILTER (NOT big AND NOT copy) AS i, count(*) FILTER (big OR copy) AS k, coalesce(sum(tokens) FILTER (NOT big AND NOT copy), 0) AS t, count(*) FILTER (copy) AS c FROM g),
+nodes AS (SELECT DISTINCT split_part(path, '/', 1) || '/' AS line, 4 AS n FROM f UNION ALL
+  SELECT split_part(path, '/', 2) || CASE WHEN copy THEN '  [same as ' || leader || ']' WHEN big THEN '  [skipped: too-large] (' || (CASE WHEN size < 1048576 THEN format('{{:.1f}} KB', size / 1024) ELSE format('{{:.1f}} MB', size / 1048576) END) || ')' ELSE '' END, 8 FROM g),
+m AS (SELECT length('# paperloom pack' || repeat(chr(10), 2) || '- generated-by: paperloom' || chr(10) || '- root: .' || chr(10) || '- files: ' || i || ' included, ' || k || ' skipped' || chr(10) || '- tokens_est: ' || t || chr(10)
+    || CASE WHEN c > 0 THEN '- deduped: ' || c || ' identical file(s) not inlined' || chr(10) ELSE '' END || '- part: 1/1' || chr(10)) AS head, (SELECT sum(length(line) + n + 1) FROM nodes) + 2 + length(chr(10) || '## Tree' || repeat(chr(10), 2) || '```' || chr(10) || chr(10) || '```' || chr(10)) AS tree FROM s),
+p AS (SELECT 0 AS place, CAST(NULL AS VARCHAR) AS path, tree AS n FROM m UNION ALL SELECT row_number() OVER (ORDER BY path), path, {SECTION} + 1 FROM g WHERE NOT big AND NOT copy),
+r AS (SELECT place, path, n, CAST(1 AS BIGINT) AS part, n AS used FROM p WHERE place = 0
+  UNION ALL SELECT p.place, p.path, p.n, CASE WHEN used + p.n <= 180000 - head - 11 + 1 THEN part ELSE part + 1 END, CASE WHEN used + p.n <= 180000 - head - 11 + 1 THEN used + p.n ELSE p.n END FROM r JOIN p ON p.place = r.place + 1, m)
+SELECT path, part, CAST(n - 1 AS BIGINT) AS chars FROM r WHERE path IS NOT NULL"""
 
-@query("pack_bundle_literals", _values([(1, "# Files\n\na (3 B)\nb (120 B)\nc (3 B)\nd (3 B, image)\ne (4000 B, over-budget)\n\n## a\n\n```\none\n```\n"), (2, "## b\n\n```\n" + "two " * 30 + "\n```\n"), (3, "## c\n\nsame as a\n")], "chunk, document"))
+
+@query("pack_parts", PARTS)
 def _(spark, d):
-    return pack.bundle(spark.createDataFrame(BUNDLE, "path string, content string, size bigint, kind string"), 500, 30, ["path"])
+    """Which document each file's section stands in, and its size; copies are not inlined, the tree is in the first document."""
+    docs = V.docs(spark, d).withColumn("kind", F.lit("text"))
+    rows = bundle.sections(docs, bundle.entries(docs, most=30_000, dedupe=True), 50_000)
+    return rows.where("kind = 'file'").select("path", "part", F.char_length(F.regexp_replace("text", r"^\n", "")).cast("bigint").alias("chars"))
 
 
-@query("pack_bundle_sizes", f"SELECT CAST(count(*) AS BIGINT) AS files FROM ({DOCS}) WHERE size <= 20000")
+@query("pack_pieces", f"SELECT path, md5(content) AS rejoined, true AS within FROM ({DOCS})")
 def _(spark, d):
-    """How many sections all documents of the bundle hold together."""
+    """Files cut at line ends into documents of 1,000 tokens: their pieces, put together again, and whether each fits."""
     docs = V.docs(spark, d).withColumn("kind", F.lit("text"))
-    parts = pack.bundle(docs.select("path", "content", "size", "kind"), 1 << 50, 200_000, ["path"], 20_000)
-    return parts.agg(F.sum(F.size(F.split("document", "(?m)^## src")) - 1).cast("bigint").alias("files"))
+    rows = bundle.sections(docs, bundle.entries(docs), 1_000, fmt="xml").where("kind = 'file'")
+    body = F.replace(F.regexp_extract("text", r"(?s)<!\[CDATA\[(.*)\]\]></file>\n\z", 1), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
+    pieces = rows.select("path", F.struct("part", "key").alias("at"), body.alias("body"), F.char_length("text").alias("n"))
+    # A file's pieces are its text again: bounded by the row that it came from.
+    return pieces.groupBy("path").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), "")).alias("rejoined"), (F.max("n") <= 3_600).alias("within"))
+
+
+@query("pack_tree", f"""
+WITH f AS (SELECT DISTINCT split_part(path, '/', 1) AS dir, split_part(path, '/', 2) AS name FROM ({DOCS})),
+t AS (SELECT '' AS k, './' AS line UNION ALL
+  SELECT '0' || dir, CASE WHEN dir = max(dir) OVER () THEN '└── ' ELSE '├── ' END || dir || '/' FROM (SELECT DISTINCT dir FROM f) UNION ALL
+  SELECT '0' || dir || chr(1) || name, CASE WHEN dir = max(dir) OVER () THEN '    ' ELSE '│   ' END || CASE WHEN name = max(name) OVER (PARTITION BY dir) THEN '└── ' ELSE '├── ' END || name FROM f)
+SELECT line, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS place FROM t""")
+def _(spark, d):
+    lines = bundle.tree_lines(V.docs(spark, d).select("path", F.lit("").alias("note")))
+    return numbered(lines, ["place"], "n").select("line", F.col("n").alias("place"))
