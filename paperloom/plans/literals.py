@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import dates, meta, money, patterns
 from paperloom.operators import catalog, fields, index, refs, search
 from paperloom.plans import views as V
-from paperloom.plans.registry import _bm25_sql, query
+from paperloom.plans.registry import DOCS, TERMS, _bm25_sql, query
 
 
 def _quoted(v) -> str:
@@ -127,19 +127,61 @@ query("bm25_not_implicit", _bm25_sql([(["anin"], False), (["ertion"], False), ([
 )
 
 
-def _indexed(spark, d, q: str):
-    """The query over an index that was written in three steps: first texts that change later, one that goes, then the rest."""
+_FOLDERS: dict = {}
+
+
+def _folder(spark, d, made: str, write) -> str:
+    """The index of this name over d's documents, written once in an application."""
     import uuid
 
     from paperloom.session import shared_dir
 
-    docs, folder = V.docs(spark, d).select("path", "content", "doc_id"), f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    key = (spark.sparkContext.applicationId, d, made)
+    if key not in _FOLDERS:
+        folder = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        write(V.docs(spark, d).select("path", "content", "doc_id"), folder)
+        _FOLDERS[key] = folder
+    return _FOLDERS[key]
+
+
+def _in_steps(docs, folder: str) -> None:
+    """Three generations: first texts that change later, some that go, then the rest."""
     third = F.col("doc_id") % 3
     gone = docs.where(third == 2).limit(3).withColumn("path", F.concat(F.lit("gone/"), "path"))
     index.write(docs.where(third < 2).withColumn("content", F.when(third == 1, F.lit("anin old text")).otherwise(F.col("content"))).unionByName(gone), folder)
     index.update(docs.where(third == 1), folder, removed=gone)
     index.update(docs.where(third == 2), folder)
-    return index.search(spark, folder, q).withColumn("score", F.round("score", 6))
+
+
+def _indexed(spark, d, q: str):
+    return index.search(spark, _folder(spark, d, "steps", _in_steps), q).withColumn("score", F.round("score", 6))
+
+
+def _topped(q: str, made: str = "whole", write=index.write):
+    return lambda spark, d: index.top(spark, _folder(spark, d, made, write), q).withColumn("score", F.round("score", 6))
+
+
+query("index_top_and", _bm25_sql([(["anin"], False), (["ertion"], False)], "f0 > 0 AND f1 > 0", [0, 1]))(_topped("anin ertion"))
+query("index_top_or", _bm25_sql([(["the"], False), (["of"], False), (["anin"], False)], "f0 > 0 OR f1 > 0 OR f2 > 0", [0, 1, 2]))(_topped("the OR of OR anin"))
+query("index_top_not", _bm25_sql([(["the"], False), (["of"], False)], "f0 > 0 AND f1 = 0", [0]))(_topped("the NOT of"))
+query("index_top_updated", _bm25_sql([(["anin"], False), (["of"], False)], "f0 > 0 OR f1 > 0", [0, 1]))(_topped("anin OR of", "steps", _in_steps))
+
+MARKED_RUN = f"""
+WITH top AS ({_bm25_sql([(["of", "the"], False), (["anin"], False), (["schung"], True)], "f0 > 0 OR f1 > 0 OR f2 > 0", [0, 1, 2])}),
+t AS (SELECT path, regexp_extract_all(content, '[\\p{{L}}\\p{{N}}]+') AS w, {TERMS} AS ts FROM ({DOCS}) WHERE path IN (SELECT path FROM top)),
+h AS (SELECT *, list_filter(range(len(ts)), lambda i: ts[i + 1] = 'of' AND ts[i + 2] = 'the') AS s0, list_filter(range(len(ts)), lambda i: ts[i + 1] = 'anin') AS s1, list_filter(range(len(ts)), lambda i: starts_with(ts[i + 1], 'schung')) AS s2 FROM t),
+c AS (SELECT path, i, CAST(len(list_filter(s0, lambda s: s >= i AND s <= i + 10)) > 0 AS INT) + CAST(len(list_filter(s1, lambda s: s >= i AND s <= i + 11)) > 0 AS INT) + CAST(len(list_filter(s2, lambda s: s >= i AND s <= i + 11)) > 0 AS INT) AS n
+  FROM (SELECT *, unnest(range(len(ts))) AS i FROM h)),
+b AS (SELECT path, arg_min(i, (-n, i)) AS i FROM c GROUP BY path)
+SELECT path, score, CASE WHEN i > 0 THEN '… ' ELSE '' END || array_to_string(list_transform(range(i, least(i + 12, len(w))), lambda k: CASE WHEN list_contains(s0, k) OR list_contains(s0, k - 1) OR list_contains(s1, k) OR list_contains(s2, k) THEN '[' || w[k + 1] || ']' ELSE w[k + 1] END), ' ')
+  || CASE WHEN i + 12 < len(w) THEN ' …' ELSE '' END AS snippet FROM top JOIN h USING (path) JOIN b USING (path)"""
+
+
+@query("snippet_positions", MARKED_RUN)
+def _(spark, d):
+    folder, q = _folder(spark, d, "whole", index.write), '"of the" OR anin OR schung*'
+    found = index.search(spark, folder, q).withColumn("score", F.round("score", 6))
+    return index.marked(spark, folder, q, found, V.docs(spark, d))
 
 
 query("index_and", _bm25_sql([(["anin"], False), (["ertion"], False)], "f0 > 0 AND f1 > 0", [0, 1]))(lambda spark, d: _indexed(spark, d, "anin ertion"))
