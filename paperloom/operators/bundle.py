@@ -208,33 +208,35 @@ def sections(files: DataFrame, listed: DataFrame, tokens: int | None = None, fmt
     shape = lines.agg(F.sum(F.char_length(said) + len(form.between_lines)).alias("n"), F.max(F.char_length(fence(F.col("line")))).alias("f")).first()
     before, after, without = form.tree("`" * (shape["f"] or 3))
     tree_size = len(before) + shape["n"] - len(form.between_lines) + len(after) - len(without)
-    inlined = listed.where(live).select(*order).join(files.select("path", F.coalesce("content", F.lit("")).alias("content")), "path")
-    inlined = inlined.withColumn("_text", form.section(F.col("path"), F.col("content"), F.lit(False)))
-    rows = inlined.select(*order, F.lit(0).cast("bigint").alias("piece"), F.col("_text").alias("text"))
+    inlined, contents = listed.where(live).select(*order), files.select("path", F.coalesce("content", F.lit("")).alias("content"))
+    text = form.section(F.col("path"), F.col("content"), F.coalesce(F.col("piece") > 1, F.lit(False)))
     if tokens is None:
-        placed = rows.withColumn("part", F.lit(1).cast("bigint"))
+        placed, cut = inlined.withColumn("piece", F.lit(0).cast("bigint")).withColumn("part", F.lit(1).cast("bigint")), None
     else:
         head = spark.range(1).select(F.char_length(form.head(F.lit("1/1")))).first()[0]
         # All but the sections; the one between too many is given back.
         around = head + len(without) + len(form.opening[0]) + len(form.foot[0])
         room = int(tokens * CHARS_PER_TOKEN) - around
-        inlined = keep(inlined)
-        within = F.char_length("_text") <= room
-        cut = _pieces(inlined.where(~within).select("path", "content"), form, room, tokens, around) if not inlined.where(~within).isEmpty() else None
-        rows = inlined.where(within).select(*order, F.lit(0).cast("bigint").alias("piece"), F.col("_text").alias("text"))
+        # Sizes alone are dealt out; texts meet their places at the end.
+        sizes = contents.withColumn("piece", F.lit(0).cast("bigint")).select("path", "piece", F.char_length(text).alias("_n"))
+        sized = keep(inlined.join(sizes, "path"))
+        large = sized.where(F.col("_n") > room).select("path")
+        cut = None if large.isEmpty() else _pieces(contents.join(large, "path", "left_semi"), form, room, tokens, around)
+        sized = sized.where(F.col("_n") <= room)
         if cut is not None:
-            cut = cut.withColumn("text", form.section(F.col("path"), F.col("content"), F.col("piece") > 1)).select("path", "piece", "text")
-            rows = rows.unionByName(cut.join(inlined.select(*order), "path").select(*order, "piece", "text"))
-        rows = keep(rows)
-        sized = rows.select(F.lit(1).alias("_first"), *order, "piece", (F.char_length("text") + len(form.between)).alias("_n"))
+            sized = sized.unionByName(cut.select("path", "piece", F.char_length(text).alias("_n")).join(inlined, "path"))
+        sized = sized.select(F.lit(1).alias("_first"), *order, "piece", (F.col("_n") + len(form.between)).alias("_n"))
         tree = spark.range(1).select(F.lit(0).alias("_first"), *(F.lit(None).cast(sized.schema[c].dataType).alias(c) for c in order), F.lit(0).cast("bigint").alias("piece"), F.lit(tree_size).cast("int").alias("_n"))
-        bins = greedy_bins(tree.unionByName(sized), room + len(form.between), "_n", ["_first", *order, "piece"], to="part")
-        placed = rows.join(bins.where("_first = 1").select("path", "piece", "part"), ["path", "piece"])
+        placed = greedy_bins(tree.unionByName(sized), room + len(form.between), "_n", ["_first", *order, "piece"], to="part").where("_first = 1").drop("_first", "_n")
     placed = keep(placed)
     most = max(1, placed.agg(F.max("part")).first()[0] or 1)
     # The rank of a section in its document: its own order keys, kept as a struct.
     first = placed.groupBy("part").agg(F.min(F.struct(*order, "piece")).alias("_lead"))
-    shown = placed.join(first, "part").select("part", F.lit(3).alias("step"), F.struct(*order, "piece").alias("key"), F.lit("").alias("place"), F.lit("file").alias("kind"), "path", F.concat(F.when(F.struct(*order, "piece") == F.col("_lead"), "").otherwise(form.between), "text").alias("text"))
+    leads = placed.join(first, "part")
+    told = leads.where("piece = 0").join(contents, "path").withColumn("text", text)
+    if cut is not None:
+        told = told.unionByName(leads.where("piece > 0").join(cut, ["path", "piece"]).withColumn("text", text), allowMissingColumns=True)
+    shown = told.select("part", F.lit(3).alias("step"), F.struct(*order, "piece").alias("key"), F.lit("").alias("place"), F.lit("file").alias("kind"), "path", F.concat(F.when(F.struct(*order, "piece") == F.col("_lead"), "").otherwise(form.between), "text").alias("text"))
     some = first.select("part", F.lit(True).alias("_some"))
     frames = spark.range(1, most + 1).select(F.col("id").alias("part")).join(some, "part", "left")
     has = F.col("_some").isNotNull()
