@@ -19,14 +19,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import terms
-from paperloom.operators.binning import numbered
 from paperloom.operators.search import B, K1, Phrase, _all, _holds, idf, parse, phrases
 from paperloom.session import keep
 
+SCHEMAS = {
+    "postings": "term string, window bigint, path string, tf bigint, n bigint, positions array<int>, generation int, bucket int",
+    "blocks": "term string, window bigint, df bigint, most bigint, dense double, generation int, bucket int",
+    "lengths": "path string, n bigint, generation int",
+}
 BUCKETS = 64
 #: Documents of a window, and over how many files a bucket's windows are spread.
 WINDOW, SPREAD = 128, 8
@@ -41,37 +47,84 @@ def _bucket(term: Column) -> Column:
 
 
 def write(docs: DataFrame, folder: str, generation: int = 0, removed: DataFrame | None = None, key: str = "path", text: str = "content") -> None:
-    """Write a generation with the postings of docs; removed (key) are documents that are gone. A null text has no terms."""
+    """Write a generation with the postings of docs; removed (key) are documents that are gone. A null text has no terms.
+
+    A document's terms meet within its row, so only finished postings are shuffled, once.
+    """
     each = docs.select(F.col(key).alias("path"), terms(F.col(text)).alias("ts"))
-    lengths = each.select("path", F.size("ts").cast("bigint").alias("n"))
-    ordered = numbered(lengths, ["n", "path"], "_k").select("path", "n", F.floor((F.col("_k") - 1) / WINDOW).cast("bigint").alias("window"))
+    lengths = keep(each.select("path", F.size("ts").cast("bigint").alias("n")))
+    posted = _windowed(each.withColumn("n", F.size("ts").cast("bigint")), lengths).mapInArrow(_post, "term string, window bigint, path string, tf bigint, n bigint, positions array<int>")
     if removed is not None:
         lengths = lengths.unionByName(removed.select(F.col(key).alias("path"), F.lit(None).cast("bigint").alias("n")))
-    posted = each.select("path", F.posexplode("ts").alias("pos", "term")).groupBy("term", "path").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
-    _store(posted.join(ordered, "path"), folder, generation)
+    _store(posted, folder, generation)
     lengths.write.mode("overwrite").parquet(f"{folder}/lengths/generation={generation}")
 
 
+def _windowed(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """rows (path, n, ...) with window: documents in order of length (three digits of it), then of a hash, in runs of about WINDOW."""
+    digits = F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))
+    size = F.floor(F.col("n") / F.pow(F.lit(10), digits)) * F.pow(F.lit(10), digits).cast("bigint")
+    counts = lengths.where("n IS NOT NULL").groupBy(size.alias("size")).count().orderBy("size").collect()  # 900 rows at most for each power of ten
+    run, before = 0, []
+    for r in counts:
+        before.append((r["size"], r["count"], run))
+        run += r["count"]
+    table = rows.sparkSession.createDataFrame(before, "_size bigint, _count bigint, _before bigint")
+    met = rows.withColumn("_size", size).join(F.broadcast(table), "_size")
+    share = F.pmod(F.xxhash64("path"), F.lit(1 << 20)) / F.lit(1 << 20)
+    return met.withColumn("window", F.floor((F.col("_before") + share * F.col("_count")) / WINDOW).cast("bigint")).drop("_size", "_count", "_before")
+
+
+def _post(batches):
+    """Documents (path, ts, n, window) in; a row for each term of each, with its positions, out."""
+    for batch in batches:
+        lists = batch.column("ts")
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False)
+        if not len(code):
+            continue
+        size = np.diff(lists.offsets.to_numpy())
+        doc = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((place, code, doc))
+        d, c = doc[order], code[order]
+        start = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))[0]
+        ends = np.append(start, len(d)).astype(np.int32)
+        rows = pa.array(d[start])
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(c[start])), batch.column("window").take(rows), batch.column("path").take(rows), pa.array(np.diff(ends).astype(np.int64)), batch.column("n").take(rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
+            names=["term", "window", "path", "tf", "n", "positions"],
+        )
+
+
+def _runs(batches):
+    """Stored postings in their order in; a block for each run of a term in a window out. A run that is split between batches or tasks gives two."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        words = batch.column("term").dictionary_encode()
+        code, window, tf, n = words.indices.to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("window", "tf", "n"))
+        start = np.nonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (window[1:] != window[:-1])]))[0]
+        rows = pa.array(start)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("bucket").take(rows), batch.column("term").take(rows), batch.column("window").take(rows), pa.array(np.diff(np.append(start, len(code)))), pa.array(np.maximum.reduceat(tf, start)), pa.array(np.maximum.reduceat(tf / n, start))],
+            names=["bucket", "term", "window", "df", "most", "dense"],
+        )
+
+
 def _store(posted: DataFrame, folder: str, generation: int) -> None:
     """Write postings (term, path, positions, tf, n, window) and their blocks."""
     posted = posted.withColumn("bucket", _bucket(F.col("term")))
     # A frequent term's postings are spread over several files by window, so that a window's stand together.
     spread = posted.repartition("bucket", F.pmod(F.xxhash64("window"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "window", "path")
-    to = f"{folder}/postings/generation={generation}"
-    spread.select("bucket", "term", "window", "path", "tf", "n", "positions").write.mode("overwrite").partitionBy("bucket").parquet(to)
-    kept = posted.sparkSession.read.parquet(to) if _has_files(posted.sparkSession, to) else spread.limit(0)
-    blocks = kept.groupBy("bucket", "term", "window").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.max(F.col("tf") / F.col("n")).alias("dense"))
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "window").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks/generation={generation}")
-
-
-def _has_files(spark: SparkSession, folder: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    return any("bucket=" in s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+    spread.select("bucket", "term", "window", "path", "tf", "n", "positions").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/generation={generation}")
+    kept = _read(posted.sparkSession, folder, "postings").where(F.col("generation") == generation)
+    blocks = kept.select("bucket", "term", "window", "tf", "n").mapInArrow(_runs, "bucket int, term string, window bigint, df bigint, most bigint, dense double")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/blocks/generation={generation}")
 
 
 def _read(spark: SparkSession, folder: str, part: str) -> DataFrame:
-    return spark.read.option("basePath", f"{folder}/{part}").parquet(f"{folder}/{part}/generation=*")
+    return spark.read.schema(SCHEMAS[part]).option("basePath", f"{folder}/{part}").parquet(f"{folder}/{part}/generation=*")
 
 
 def lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -248,8 +301,7 @@ def _may_hold(tree, most: dict[Phrase, str]) -> Column:
 def compact(spark: SparkSession, folder: str, into: str) -> None:
     """One generation of all, in another folder."""
     known = lengths(spark, folder).select("path", "n")
-    ordered = numbered(known, ["n", "path"], "_k").select("path", "n", F.floor((F.col("_k") - 1) / WINDOW).cast("bigint").alias("window"))
-    _store(postings(spark, folder).select("term", "path", "positions", "tf").join(ordered, "path"), into, 0)
+    _store(_windowed(postings(spark, folder).select("term", "path", "positions", "tf", "n"), known), into, 0)
     known.write.parquet(f"{into}/lengths/generation=0")
 
 

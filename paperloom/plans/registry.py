@@ -633,11 +633,39 @@ def _(spark, d):
     return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("settle_state")
+@query("settle_state", """
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(ts) AS us, round(value) AS sig, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT path, n, sig, us AS since, us AS first, event_type = 'deleted' AS gone, CAST(NULL AS BIGINT) AS due, CAST(NULL AS VARCHAR) AS reason FROM e WHERE n = 1
+  UNION ALL SELECT path, n, sig, CASE WHEN fires OR sig <> old THEN us ELSE since END, CASE WHEN fires THEN us ELSE first END, event_type = 'deleted', CASE WHEN fires AND NOT gone THEN at END, CASE WHEN since + 600000000 <= first + 7200000000 THEN 'stable' ELSE 'timeout' END
+  FROM (SELECT e.path, e.n, e.us, e.sig, e.event_type, r.sig AS old, r.since, r.first, r.gone, least(r.since + 600000000, r.first + 7200000000) AS at, r.gone OR e.us >= least(r.since + 600000000, r.first + 7200000000) AS fires FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)),
+f AS (SELECT path, due, reason FROM r WHERE due IS NOT NULL UNION ALL SELECT path, since, 'deleted' FROM r WHERE gone
+  UNION ALL SELECT path, least(since + 600000000, first + 7200000000), CASE WHEN since + 600000000 <= first + 7200000000 THEN 'stable' ELSE 'timeout' END FROM r WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1)
+SELECT path, make_timestamp(due) AS fired_at, reason FROM f""")
 def _(spark, d):
     from paperloom.streaming.events import settled
 
-    return settled(V.events(spark, d), 600.0, 7200.0)
+    return settled(V.events(spark, d), 600.0, 7200.0).withColumn("fired_at", F.col("fired_at").cast("timestamp_ntz"))
+
+
+@query("suppress_own_moves", """
+SELECT event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND e.ts >= m.ts AND e.ts <= m.ts + INTERVAL 30 MINUTE)""")
+def _(spark, d):
+    from paperloom.streaming.events import suppress_own
+
+    e = V.events(spark, d)
+    return suppress_own(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'").select("path", "ts"), 1800.0).select("event_id")
+
+
+@query("inflight_dropped", """
+WITH e AS (SELECT event_id, ts, event_type, CASE event_id % 3 WHEN 0 THEN 'in/f' || user_id || '.pdf' WHEN 1 THEN 'out/f' || user_id || '.txt' ELSE 'f' || user_id || '-2.pdf' END AS path, user_id FROM events)
+SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'error' AND r.user_id = e.user_id AND e.event_id % 3 < 2 AND e.ts >= r.ts AND e.ts < r.ts + INTERVAL 20 MINUTE)""")
+def _(spark, d):
+    from paperloom.streaming.events import without_inflight
+
+    name = F.expr("CASE event_id % 3 WHEN 0 THEN concat('in/f', path, '.pdf') WHEN 1 THEN concat('out/f', path, '.txt') ELSE concat('f', path, '-2.pdf') END")
+    e = V.events(spark, d)
+    runs = e.where("event_type = 'error'").select(F.concat(F.lit("in/f"), "path", F.lit(".pdf")).alias("path"), F.col("ts").alias("started"), (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("finished"))
+    return without_inflight(e.withColumn("path", name), runs).select("event_id")
 
 
 @query("manifest_resume", "SELECT path FROM (SELECT CAST(user_id AS VARCHAR) AS path, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND ok")

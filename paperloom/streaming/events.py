@@ -31,25 +31,26 @@ def debounce(events: DataFrame, gap: str, watermark: str | None = None) -> DataF
 def settled(events: DataFrame, stable_seconds: float, timeout_seconds: float) -> DataFrame:
     """(path, fired_at, reason): when a path's signature (value) stayed the same long enough, or too long was waited.
 
-    One path's events are folded in order of time; `deleted` passes at once. The same state
-    machine serves batches (here) and streams (settle_stream).
+    One path's events are folded in order of time, in microseconds; `deleted` passes at once.
+    The same state machine serves batches (here) and streams (state.settle_stream).
     """
+    stable, timeout = int(stable_seconds * 1_000_000), int(timeout_seconds * 1_000_000)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, state = [], None
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            state, fired = step(state, r.ts.timestamp(), r.event_type, r.signature, stable_seconds, timeout_seconds)
+        for r in pdf.sort_values(["us", "event_id"]).itertuples():
+            state, fired = step(state, r.us, r.event_type, r.signature, stable, timeout)
             rows += [(r.path, t, why) for t, why in fired]
         if state:
-            t = min(state[1] + stable_seconds, state[2] + timeout_seconds)
-            rows.append((pdf.path.iloc[0], t, "stable" if t == state[1] + stable_seconds else "timeout"))
-        return pd.DataFrame(rows, columns=["path", "at", "reason"]).astype({"at": float})
+            t = min(state[1] + stable, state[2] + timeout)
+            rows.append((pdf.path.iloc[0], t, "stable" if t == state[1] + stable else "timeout"))
+        return pd.DataFrame(rows, columns=["path", "us", "reason"]).astype({"us": "int64"})
 
-    found = events.select("path", "event_id", "ts", "event_type", "signature").groupBy("path").applyInPandas(fold, "path string, at double, reason string")
-    return found.select("path", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")).alias("fired_at"), "reason")
+    found = events.select("path", "event_id", F.unix_micros("ts").alias("us"), "event_type", "signature").groupBy("path").applyInPandas(fold, "path string, us bigint, reason string")
+    return found.select("path", F.timestamp_micros("us").alias("fired_at"), "reason")
 
 
-def step(state, now: float, kind: str, signature, stable: float, timeout: float):
+def step(state, now: int, kind: str, signature, stable: int, timeout: int):
     """(new state, fired): state is (signature, unchanged since, first seen) or None."""
     fired = []
     if state:
@@ -64,35 +65,6 @@ def step(state, now: float, kind: str, signature, stable: float, timeout: float)
     return (state if state[0] == signature else (signature, now, state[2])), fired
 
 
-def settle_stream(events: DataFrame, stable_seconds: float, timeout_seconds: float) -> DataFrame:
-    """The streaming form of settled, in processing time; events has path, event_type, signature."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def fold(key, frames, state):
-        import time
-
-        now, rows = time.time(), []
-        held = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            if held:
-                due = min(held[1] + stable_seconds, held[2] + timeout_seconds)
-                rows.append((key[0], "stable" if due == held[1] + stable_seconds else "timeout"))
-            state.remove()
-        else:
-            for f in frames:
-                for r in f.itertuples():
-                    held, fired = step(held, now, r.event_type, r.signature, stable_seconds, timeout_seconds)
-                    rows += [(key[0], why) for _, why in fired]
-            if held:
-                state.update(held)
-                state.setTimeoutDuration(max(1, int(1000 * (min(held[1] + stable_seconds, held[2] + timeout_seconds) - now))))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(rows, columns=["path", "reason"])
-
-    return events.groupBy("path").applyInPandasWithState(fold, "path string, reason string", "signature string, since double, first double", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def suppress_own(events: DataFrame, moves: DataFrame, seconds: float = 2.0) -> DataFrame:
     """Events that do not follow an own move of the path within some seconds."""
     own = moves.select("path", F.col("ts").alias("_moved"))
@@ -100,6 +72,29 @@ def suppress_own(events: DataFrame, moves: DataFrame, seconds: float = 2.0) -> D
     return events.join(own, near, "left_anti")
 
 
+def stem_key(path: Column) -> Column:
+    """The first segment of a file's name, which it shares with all outputs that keep its stem."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.element_at(F.split(name, r"\."), 1)
+
+
+def without_inflight(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """Events but those during a run (path, started, finished) on its own file or on outputs that keep its stem.
+
+    An output is named after the source's stem with a further segment: report.txt of
+    report.pdf, not report-2.pdf. A run without an end is in work for good; at its very start
+    and end events count as within and after it.
+    """
+    source = runs.select(stem_key(F.col("path")).alias("_key"), F.col("path").alias("_source"), F.col("started").alias("_from"), F.col("finished").alias("_to"))
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    own = F.element_at(F.split(F.col("_source"), "/"), -1)
+    stem = F.coalesce(F.nullif(F.regexp_extract(own, r"^(.+)\.[^.]*$", 1), F.lit("")), own)
+    within = (F.col("ts") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("ts") < F.col("_to")))
+    blocked = within & ((F.col("path") == F.col("_source")) | F.startswith(name, F.concat(stem, F.lit("."))))
+    keyed = events.withColumn("_stem", stem_key(F.col("path")))
+    return keyed.join(source, (F.col("_stem") == F.col("_key")) & blocked, "left_anti").drop("_stem")
+
+
 def route(batch: DataFrame, done: str, failed: str, ok: Column) -> None:
     """For foreachBatch: records of good runs to one folder, of failed ones to another, as JSON lines."""
     batch.where(ok).write.mode("append").json(done)
