@@ -86,7 +86,7 @@ def _post(batches):
         size = np.diff(lists.offsets.to_numpy())
         doc = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((place, code, doc))
+        order = np.lexsort((place, doc, code))  # rows of one term side by side, which compress well
         d, c = doc[order], code[order]
         start = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))[0]
         ends = np.append(start, len(d)).astype(np.int32)

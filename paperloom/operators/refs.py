@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.patterns import REGISTRY, Kind, resolve
+from paperloom.functions.patterns import REGISTRY, VALIDATORS, Kind, resolve
+from paperloom.functions.single import let
 
 
 def find(docs: DataFrame, kinds: list[str] | None = None, extra: list[str] = (), path: str = "path", text: str = "content") -> DataFrame:
@@ -56,15 +57,27 @@ def tag(kind: Column, value: Column) -> Column:
 def redact(text: Column, kinds: list[str], replacement: str | None = None, extra: list[str] = ()) -> Column:
     """The text with values replaced, kind after kind, each on what the one before has left.
 
-    Only the value of a labelled match goes, and only if it passes its kind's check.
+    Only the value of a labelled match goes, and only if it passes its kind's check. Each
+    kind reads the text that is left once more, so time is linear in the kinds.
     """
     out = F.coalesce(text, F.lit(""))
     for k in resolve(kinds, extra=extra):
-        new = replacement if replacement is not None else f"[{k.name.upper()}]"
-        out = F.array_join(F.transform(_matches(k, out), _swap(k, new)), "")
+        out = let(out, _redacted(k, replacement))
     return out
 
 
+def _redacted(k: Kind, replacement: str | None):
+    """A text's redaction by one kind; where whole matches go unchecked, that is one replacement."""
+    new = replacement if replacement is not None else f"[{k.name.upper()}]"
+
+    def make(body: Column) -> Column:
+        if not k.picks and k.name not in VALIDATORS:
+            return F.regexp_replace(body, F.lit(k.regex), F.lit(new.replace("\\", "\\\\").replace("$", "\\$")))
+        return F.array_join(F.transform(_matches(k, body), _swap(k, new)), "")
+
+    return make
+
+
 def _swap(k: Kind, new: str):
     def swap(m: Column) -> Column:
         at = F.position(m["value"], m["raw"])
@@ -87,8 +100,12 @@ def still_parses(before: Column, after: Column, kind: str) -> Column:
 
 def counts(text: Column, kinds: list[str]) -> list[Column]:
     """One count per kind, each on the text as the kinds before have left it."""
-    out, left = [], text
-    for name in kinds:
-        out.append(F.size(REGISTRY[name].values(left)).cast("bigint").alias(name))
-        left = redact(left, [name])
-    return out
+
+    def from_kind(i: int, body: Column, so_far: list[Column]) -> Column:
+        size = F.size(REGISTRY[kinds[i]].values(body)).cast("bigint")
+        if i + 1 == len(kinds):
+            return F.array(*so_far, size)
+        return let(size, lambda n: let(_redacted(REGISTRY[kinds[i]], None)(body), lambda left: from_kind(i + 1, left, [*so_far, n])))
+
+    every = let(F.coalesce(text, F.lit("")), lambda body: from_kind(0, body, []))
+    return [F.get(every, F.lit(i)).alias(name) for i, name in enumerate(kinds)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
@@ -12,7 +14,7 @@ from paperloom.plans import views as V
 from paperloom.plans.literals import _table, _values
 from paperloom.plans.registry import DOCS, query
 from paperloom.session import table
-from paperloom.sources import files, mail
+from paperloom.sources import csvrows, files, listing, mail
 
 MARKDOWN = [
     ("# One\ntext\n## Two  \n```\n# no\n```\n####### seven\n#tight\n~~~\n## no\n~~~\n### Three", "1:One;2:Two;1:tight;3:Three", 18, "L1 # One;L3 ## Two;L8 # tight;L12 ### Three"),
@@ -212,3 +214,40 @@ SELECT line, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS place FROM t""")
 def _(spark, d):
     lines = bundle.tree_lines(V.docs(spark, d).select("path", F.lit("").alias("note")))
     return numbered(lines, ["place"], "n").select("line", F.col("n").alias("place"))
+
+
+RULES = [("", "*7.txt\n!17.txt\nfr/\n"), ("de", "*1.txt\n# none\n!*1.txt\n/src*/*3.txt\n"), ("es", "!*7.txt\n"), ("fr", "!*\n")]
+
+
+@query("scan_inherited_rules", f"""
+WITH f AS (SELECT lang || '/' || path AS path, lang, regexp_extract(path, '([^/]*)$', 1) AS name FROM ({DOCS}) WHERE lang IS NOT NULL)
+SELECT path FROM f WHERE lang <> 'fr' AND NOT CASE WHEN lang = 'de' AND ends_with(name, '3.txt') THEN true WHEN lang = 'de' AND ends_with(name, '1.txt') THEN false WHEN lang = 'es' AND ends_with(name, '7.txt') THEN false
+  WHEN name = '17.txt' THEN false ELSE ends_with(name, '7.txt') END""")
+def _(spark, d):
+    """A walk over the documents' paths below folders by language, with rule files in four of them."""
+    paths = V.docs(spark, d).where("lang IS NOT NULL").select(F.concat("lang", F.lit("/"), "path").alias("path"))
+    return listing.walk(paths, spark.createDataFrame(RULES, "folder string, text string"))
+
+
+PART_CSV = "SELECT *, row_number() OVER (ORDER BY p_partkey) AS row FROM part"
+
+
+@query("csv_file_diff", f"""
+WITH o AS ({PART_CSV}), n AS (SELECT p_name || CASE WHEN p_partkey % 50 = 0 THEN ', "new"' || chr(10) || 'kind' ELSE '' END AS p_name, CASE WHEN p_partkey % 70 = 0 THEN p_size + 1 ELSE p_size END AS p_size, row FROM o WHERE row <= (SELECT count(*) - 7 FROM part)),
+c AS (SELECT o.row, unnest(['p_name', 'p_size']) AS "column", unnest([o.p_name, CAST(o.p_size AS VARCHAR)]) AS old, unnest([n.p_name, CAST(n.p_size AS VARCHAR)]) AS new FROM o JOIN n USING (row))
+SELECT 'changed' AS change, "column", row, row AS to_row, old, new FROM c WHERE old <> new
+UNION ALL SELECT 'rows removed', NULL, count(*) - 6, count(*), NULL, NULL FROM part UNION ALL SELECT 'column removed', 'p_brand', NULL, NULL, NULL, NULL UNION ALL SELECT 'column added', 'p_note', NULL, NULL, NULL, NULL""")
+def _(spark, d):
+    """Two CSV folders written from the parts, with cells that hold delimiters, quotes and line ends, read back and compared by position."""
+    from paperloom.session import drop_path, keep, shared_dir
+
+    folder = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    p = numbered(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("bigint").alias("p_size")), ["p_partkey"], "row")
+    new = p.where(F.col("row") <= p.count() - 7).select(
+        "row", F.when(F.col("p_partkey") % 70 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"), F.concat("p_name", F.when(F.col("p_partkey") % 50 == 0, ', "new"\nkind').otherwise("")).alias("p_name"), F.lit("x").alias("p_note")
+    )
+    for name, rows in (("old", p.drop("p_partkey")), ("new", new)):
+        rows.repartitionByRange("row").sortWithinPartitions("row").drop("row").write.csv(f"{folder}/{name}", header=True, escape='"')
+    found = keep(csvrows.file_diff(spark, f"{folder}/old", f"{folder}/new"))
+    drop_path(spark, folder)
+    return found

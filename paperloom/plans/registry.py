@@ -636,8 +636,8 @@ def _(spark, d):
 @query("settle_state", """
 WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(ts) AS us, round(value) AS sig, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT path, n, sig, us AS since, us AS first, event_type = 'deleted' AS gone, CAST(NULL AS BIGINT) AS due, CAST(NULL AS VARCHAR) AS reason FROM e WHERE n = 1
-  UNION ALL SELECT path, n, sig, CASE WHEN fires OR sig <> old THEN us ELSE since END, CASE WHEN fires THEN us ELSE first END, event_type = 'deleted', CASE WHEN fires AND NOT gone THEN at END, CASE WHEN since + 600000000 <= first + 7200000000 THEN 'stable' ELSE 'timeout' END
-  FROM (SELECT e.path, e.n, e.us, e.sig, e.event_type, r.sig AS old, r.since, r.first, r.gone, least(r.since + 600000000, r.first + 7200000000) AS at, r.gone OR e.us >= least(r.since + 600000000, r.first + 7200000000) AS fires FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)),
+  UNION ALL SELECT path, n, sig, CASE WHEN fires OR sig <> old THEN us ELSE since END, CASE WHEN fires THEN us ELSE first END, event_type = 'deleted', CASE WHEN fires AND NOT gone THEN ends END, CASE WHEN since + 600000000 <= first + 7200000000 THEN 'stable' ELSE 'timeout' END
+  FROM (SELECT e.path, e.n, e.us, e.sig, e.event_type, r.sig AS old, r.since, r.first, r.gone, least(r.since + 600000000, r.first + 7200000000) AS ends, r.gone OR e.us >= least(r.since + 600000000, r.first + 7200000000) AS fires FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)),
 f AS (SELECT path, due, reason FROM r WHERE due IS NOT NULL UNION ALL SELECT path, since, 'deleted' FROM r WHERE gone
   UNION ALL SELECT path, least(since + 600000000, first + 7200000000), CASE WHEN since + 600000000 <= first + 7200000000 THEN 'stable' ELSE 'timeout' END FROM r WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1)
 SELECT path, make_timestamp(due) AS fired_at, reason FROM f""")
