@@ -24,9 +24,9 @@ def plain(v):
     return round(v, 6) + 0.0 if isinstance(v, float) and not math.isnan(v) else str(v.replace(tzinfo=None)) if hasattr(v, "tzinfo") else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted({*registry.queries(), *registry.CASES}))
 def test_against_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, DATA)
+    df = (registry.QUERIES | registry.CASES)[name](spark, DATA)
     names = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in names) for r in df.collect()]
     if name not in registry.SQL:
