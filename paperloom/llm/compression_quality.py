@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import keep
+from paperloom.llm.store import keep, quoted
 from paperloom.llm.wordcodes import text_buffers
 
 PER_CLASS, DICT_BYTES = 2_000, 110_000
@@ -179,10 +179,10 @@ def _scorer(model: Model, at: int, schema_names: list[str]):
 def score_quality(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns (or those of carry) with score (0 to 1) and predicted (1 if score >= threshold)."""
     names = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
-    # The text is read once more under a name of its own; it is not sent back unless it is carried.
-    inputs = docs.select(*names, F.col(text).alias("_scored"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "score double"])
-    scored = inputs.mapInArrow(_scorer(model, len(names), [*names, None]), schema)
+    # The text is read once more under a name of its own; it is not sent back unless it is carried. Columns go by their places.
+    own = docs.select(*(F.col(quoted(c)).alias(f"_c{i}") for i, c in enumerate(names)), F.col(text).alias("_scored"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own.drop("_scored").schema), "score double"])
+    scored = own.mapInArrow(_scorer(model, len(names), [*own.columns[:-1], None]), schema).toDF(*names, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

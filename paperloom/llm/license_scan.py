@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import keep, literal_table
+from paperloom.llm.store import keep, literal_table, quoted
 
 FEATURES, PROBABILITY, CONTAINMENT, REACH, SEED = 20_000, 0.5, 0.6, 8, 3
 UNKNOWN, SHARED = "unknown", "bsd"
@@ -369,7 +369,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     two = F.array_contains("_all", "bsd-2-clause") & ~F.array_contains("_all", "bsd-3-clause")
     named = lambda f: F.when(f != SHARED, f).when(two, "bsd-2-clause").otherwise("bsd-3-clause")
     per_doc = per_doc.withColumn("_family", F.when(F.col("_b").isNotNull(), named(F.col("_b.family")))).withColumn("_all", F.array_sort(F.array_distinct(F.transform("_all", named))))
-    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)), F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    base = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(cols)), F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     joined = base.join(per_doc, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
     return joined.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)),

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import keep, scratch
+from paperloom.llm.store import keep, quoted, scratch
 
 WINDOW, SLOP = 10, 20
 #: Up to so many test words, what is made of them (about 200 bytes a word) is broadcast.
@@ -212,7 +212,7 @@ def decontaminate(
     kept = {c: f"_doc_{i}" for i, c in enumerate(cols)}
     pieces = F.filter(_pieces(F.col(text)), lambda x: x != "")
     n_words = F.size(pieces).cast("bigint")
-    base = docs.select(*(F.col(c).alias(n) for c, n in kept.items()), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_t"), n_words.alias("n_words"))
+    base = docs.select(*(F.col(quoted(c)).alias(n) for c, n in kept.items()), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_t"), n_words.alias("n_words"))
     joined = base.join(both, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")), "left")
     items_ = F.coalesce("_items", F.array().cast("array<string>"))
     return joined.select(

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import keep, literal_table
+from paperloom.llm.store import keep, literal_table, quoted
 
 SHARDS, VNODES, CELLS_PER_ARC, SEED = 24, 32, 16, 42
 
@@ -123,7 +123,7 @@ def ring_shard(
 
     # Columns go by their places, so that none is named like a column made here.
     at = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*names, key, text]))}
-    df = df.select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()))
+    df = df.select(*(F.col(quoted(c)).alias(a) for c, a in at.items()))
     body = F.coalesce(F.col(at[text]), F.lit(""))
     if apart:
         df = keep(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.store import keep, scratch
+from paperloom.llm.store import keep, quoted, scratch
 
 WEIGHTS, MOST, SHARDS, SEED, BLOCKS = (5, 2, 1), 3, 16, 17, 1024
 #: Up to so many rows the table of drawn blocks (about 60 bytes each) is broadcast.
@@ -211,7 +211,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
     names = [c for c in docs.columns if c not in ("mix_shard", "mix_order")]
     table = plan(sized(docs, text, source, key, seed, blocks), seed=seed, **how)
     kept = {c: f"_doc_{i}" for i, c in enumerate(names)}
-    own = docs.select(*(F.col(c).alias(n) for c, n in kept.items()))
+    own = docs.select(*(F.col(quoted(c)).alias(n) for c, n in kept.items()))
     own = own.withColumns({"_source": F.col(kept[source]).cast("string"), "_block": _block(kept[key], kept[text], blocks, seed), "_h": permuted(kept[key], kept[text], seed)})
     drawn = mixed(own, table).select(*kept.values(), "_h", F.posexplode("_shards").alias("_draw", "mix_shard"))
     drawn = drawn.withColumn("mix_order", F.xxhash64("_h", "_draw", F.lit(seed)))

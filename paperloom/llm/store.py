@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.session import drop_path, keep, shared_dir
 
-__all__ = ["drop_path", "keep", "literal_table", "scratch", "shared_dir"]
+__all__ = ["drop_path", "keep", "literal_table", "quoted", "scratch", "shared_dir"]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,3 +38,8 @@ def _top_level(schema: str) -> list[str]:
         else:
             out[-1] += ch
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression that means it alone, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"

@@ -57,7 +57,7 @@ def test_pipeline_on_odd_tables(spark):
 
     long = "the river runs over the stones and the sand " * 4
     rows = [(1, long, "en", "a", 5), (1, long, "en", "a", 5), (2, None, None, None, 0), (3, "", "en", "b", 0), (None, "some words here that stay", "en", "b", 9), (4, long + "x", "en", None, 6), (1, "another text under the same number", "en", "a", 7)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "doc_id AS id", "n_chars AS size", "lang AS shard", "source AS label", "1 AS _t")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "doc_id AS id", "n_chars AS size", "lang AS shard", "source AS label", "1 AS _t", "lang AS `a.b`", "source AS `c``d`")
     for table in (docs, docs.limit(0)):
         now = table
         for i, (name, stage) in enumerate(c.STAGES):
