@@ -23,7 +23,7 @@ from paperloom.llm.hyperminhash import near_duplicates
 from paperloom.llm.positional_index import decontaminate
 from paperloom.llm.ring_sharding import ring_shard
 from paperloom.llm.source_mixing import mix_sources
-from paperloom.llm.store import drop_path, scratch
+from paperloom.llm.store import drop_path, quoted, scratch
 from paperloom.session import table
 
 
@@ -34,22 +34,22 @@ NEAR = 0.8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return score_quality(docs, model).where("predicted = 1").select(*map(quoted, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id."""
-    return near_duplicates(docs, threshold=NEAR).select(*docs.columns)
+    return near_duplicates(docs, threshold=NEAR).select(*map(quoted, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*map(quoted, docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as shards of the mix draw it, written in the mix's shuffled order."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select(*map(quoted, docs.columns))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
