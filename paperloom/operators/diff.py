@@ -1,8 +1,7 @@
-"""Structural, positional and line differences."""
+"""Structural and positional differences."""
 
 from __future__ import annotations
 
-import difflib
 import json
 import xml.etree.ElementTree as ET
 from collections import Counter
@@ -31,12 +30,6 @@ def row_diff(old: DataFrame, new: DataFrame, position: str, columns: list[str])
     return leaf_diff(leaves(old), leaves(new), [position, "column"])
 
 
-@arrow_udf("string")
-def unified(old: pd.Series, new: pd.Series) -> pd.Series:
-    """The unified diff of two texts."""
-    return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "a", "b", lineterm="")) for a, b in zip(old, new)])
-
-
 def _leaves(value, path: str, mode: str):
     inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else None
     if inner is None:

@@ -60,3 +60,30 @@ def depths(rows: DataFrame, node: str, parent: str) -> DataFrame:
         left = now
     done = state.where("_to IS NULL").select("_n", (F.col("_d") + 1).alias("depth"))
     return rows.join(done, rows[node] == done["_n"], "left").drop("_n")
+
+
+def chain_lengths(rows: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, depth) like depths, but whole: a node in a loop has the loop's length, one that leads into it as many more as it is away.
+
+    Loops are rare and cost nothing where there are none: only nodes without an end are
+    followed, by jumps of doubling length, after which what is still reached is the loops.
+    """
+    known = cut(rows.groupBy(F.col(node).alias("n_")).agg(F.min(parent).alias("p_")))
+    deep = cut(depths(known, "n_", "p_"))
+    open_ = cut(deep.where("depth IS NULL").select("n_", "p_"))
+    count, jump = open_.count(), 1
+    if not count:
+        return deep.select(F.col("n_").alias(node), "depth")
+    state = open_
+    while jump < count:
+        state = cut(state.join(state.select(F.col("n_").alias("p_"), F.col("p_").alias("_next")), "p_").select("n_", F.col("_next").alias("p_")))
+        jump *= 2
+    on_loop = state.select(F.col("p_").alias("n_")).distinct()
+    around = components(open_, "n_", "p_").select(F.col("node").alias("n_"), "component")
+    # A message that answers itself is a loop of one.
+    around = open_.select("n_").join(around, "n_", "left").select("n_", F.coalesce("component", "n_").alias("component"))
+    length = around.join(on_loop, "n_").groupBy("component").agg(F.count("*").alias("length"))
+    ends = open_.join(on_loop.withColumn("_on", F.lit(True)), "n_", "left").select("n_", F.when(F.col("_on").isNull(), F.col("p_")).alias("p_"))
+    away = depths(ends, "n_", "p_").select("n_", (F.col("depth") - 1).alias("away"))
+    looped = away.join(around, "n_").join(length, "component").select("n_", (F.col("away") + F.col("length")).alias("depth"))
+    return deep.where("depth IS NOT NULL").select("n_", "depth").unionByName(looped).withColumnRenamed("n_", node)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.functions.meta import canonical, infer_kind
 from paperloom.functions.patterns import VALIDATORS
-from paperloom.operators import catalog, dedupe, diff, pack, refs, search
+from paperloom.operators import catalog, dedupe, diff, linediff, pack, refs, search
 from paperloom.plans import views as V
 from paperloom.session import table
 from paperloom.sources import html
@@ -49,7 +49,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from paperloom.plans import desk, forms, literals  # noqa: F401  (they register theirs)
+    from paperloom.plans import desk, forms, literals, trees  # noqa: F401  (they register theirs)
 
     return QUERIES
 
@@ -554,8 +554,9 @@ def _(spark, d):
 
 @query("unified_diff")
 def _(spark, d):
-    docs = V.docs(spark, d)
-    return docs.select("path", diff.unified("content", F.replace("content", F.lit("the"), F.lit("thy"))).alias("diff"))
+    docs = V.docs(spark, d).select("path", "content")
+    found = linediff.unified(docs, docs.withColumn("content", F.replace("content", F.lit("the"), F.lit("thy"))), "path", "content")
+    return docs.select("path").join(found.withColumnRenamed("key", "path"), "path", "left").withColumn("diff", F.coalesce("diff", F.lit("")))
 
 
 # --- fields, naming, intake ---------------------------------------------------------------

@@ -105,11 +105,31 @@ def summary(content: pd.Series) -> pd.DataFrame:
     return out
 
 
-def threads(mail: DataFrame) -> DataFrame:
-    """(message_id, thread) from (message_id, in_reply_to, references): messages linked by any of their ids."""
-    from paperloom.operators.graph import components
-
-    links = mail.select("message_id", F.explode(F.array_compact(F.concat(F.array("in_reply_to"), F.coalesce("references", F.array().cast("array<string>"))))).alias("other"))
-    found = components(links.where("message_id IS NOT NULL"), "message_id", "other")
-    own = mail.select("message_id").where("message_id IS NOT NULL").distinct()
-    return own.join(found.withColumnRenamed("node", "message_id"), "message_id", "left").select("message_id", F.coalesce("component", "message_id").alias("thread"))
+def threads(mail: DataFrame, where: str = "where") -> DataFrame:
+    """mail (where, message_id, in_reply_to, references, date, ...) with thread and depth.
+
+    Only messages that are there link: a message is linked to the holder of each id that it
+    names, and copies of one message are linked with each other, as their id is held by the
+    one of least where. A message without an id is a thread of its own unless it names
+    others. thread is the where of a thread's earliest message (undated ones last, then by
+    where); depth counts the messages of the reply chain up to one whose parent is absent,
+    in a loop those passed before one comes again.
+
+    where must be unique and not null. Empty ids are none; null references are none; an
+    empty table gives an empty result; columns named thread and depth are replaced.
+    """
+    from paperloom.operators.graph import chain_lengths, components
+
+    own = mail.select(
+        F.col(where).alias("_w"), F.nullif("message_id", F.lit("")).alias("_id"), F.nullif("in_reply_to", F.lit("")).alias("_up"), F.coalesce("references", F.array().cast("array<string>")).alias("_refs"), F.col("date").alias("_date")
+    )
+    holders = own.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_w").alias("_holder"))
+    # One list of names: a message's own id meets the first of its copies like any other.
+    named = own.select("_w", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("_id", "_up"), "_refs")))).alias("_id"))
+    links = named.join(holders, "_id").where("_w <> _holder").select("_w", "_holder")
+    found = components(links, "_w", "_holder").select(F.col("node").alias("_w"), "component")
+    grouped = own.select("_w", "_date").join(found, "_w", "left").withColumn("component", F.coalesce("component", "_w"))
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("_date").isNull().alias("undated"), "_date", "_w"))["_w"].alias("thread"))
+    parents = own.select("_w", F.col("_up").alias("_id")).join(holders, "_id", "left").select("_w", F.col("_holder").alias("_p"))
+    deep = chain_lengths(parents, "_w", "_p")
+    return mail.drop("thread", "depth").join(grouped.select("_w", "component").join(first, "component").join(deep, "_w").select("_w", "thread", "depth"), F.col(where) == F.col("_w")).drop("_w")

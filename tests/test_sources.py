@@ -51,8 +51,9 @@ def test_mail(spark):
     assert len(mail.split_mbox(box)) == 2 and b"\nFrom here" in mail.split_mbox(box)[1]
     s = spark.createDataFrame([(MAIL,)], "m binary").select(mail.summary("m").alias("s")).first()["s"]
     assert s["sender"] == ["ann@acme.example"] and s["in_reply_to"] == "<1@x>" and s["date"].hour == 9
-    rows = spark.createDataFrame([("1", None, []), ("2", "1", ["1"]), ("3", None, ["2", "0"]), ("9", None, None)], "message_id string, in_reply_to string, references array<string>")
-    assert {tuple(r) for r in mail.threads(rows).collect()} == {("1", "0"), ("2", "0"), ("3", "0"), ("9", "9")}
+    rows = spark.createDataFrame([("1", None, [], None), ("2", "1", ["1"], None), ("3", None, ["2", "0"], None), ("9", None, None, None)], "message_id string, in_reply_to string, references array<string>, date timestamp")
+    got = mail.threads(rows, "message_id").select("message_id", "thread", "depth").collect()
+    assert {tuple(r) for r in got} == {("1", "1", 1), ("2", "1", 2), ("3", "1", 1), ("9", "9", 1)}
 
 
 def test_html():
