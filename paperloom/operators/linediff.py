@@ -3,9 +3,9 @@
 Lines of both texts are rows. In each round every gap between lines already matched gives
 its equal lines at the head and at the tail, and of the rest those that stand in it once, or
 equally often, on both sides (the first with the first, and so on) and keep their order (the
-longest such run): these split the gap. A round that finds none is done again with lines that
-stand on both sides at all; if that finds none either, no gap has a line on both sides, and what
-is left is removed on one side and added on the other. All joins and counts are by (text,
+longest such run): these split the gap. A gap without such lines takes those that stand on both
+sides at all. A round that finds none leaves no gap with a line on both sides: what is left
+is removed on one side and added on the other. All joins and counts are by (text,
 gap, line) or (text, gap, place); only the longest run of one gap, two numbers a line, is
 found by a small function.
 
@@ -71,7 +71,7 @@ def matched(old: DataFrame, new: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2("line", 256)).alias("h")
     a = keep(old.select("key", "i", digest))
     b = keep(new.select("key", F.col("i").alias("j"), digest))
-    found, equally = None, True
+    found = None
     while True:
         mark = lambda side, at: side.withColumn("hit", F.lit(False)) if found is None else side.join(found.select("key", at, F.lit(True).alias("hit")), ["key", at], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
         ga, gb = keep(_gaps(mark(a, "i"), "i")), keep(_gaps(mark(b, "j"), "j"))
@@ -85,15 +85,12 @@ def matched(old: DataFrame, new: DataFrame) -> DataFrame:
         inner = lambda g, at: g.join(ends, ["key", "gap"]).where("p > head AND q > tail").select("key", "gap", "h", at, F.row_number().over(alike.orderBy(at)).alias("k"), F.count("*").over(alike).alias(f"n{at}"))
         # A gap's anchors are two numbers a line of one text, which came from one cell.
         pairs = inner(ga, "i").join(inner(gb, "j"), ["key", "gap", "h", "k"])
-        anchors = (pairs.where("ni = nj") if equally else pairs).groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("both"))
+        pairs = pairs.withColumn("some", F.max(F.expr("ni = nj")).over(Window.partitionBy("key", "gap"))).where("ni = nj OR NOT some")
+        anchors = pairs.groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("both"))
         run = anchors.select("key", "both", F.explode(rising(F.transform("both", lambda x: x["j"]))).alias("at")).select("key", F.get("both", F.col("at")).alias("m")).select("key", "m.i", "m.j")
         fresh = keep(heads.unionByName(tails).unionByName(run))
         found = fresh if found is None else found.unionByName(fresh)
-        if not fresh.isEmpty():
-            equally = True
-        elif equally:
-            equally = False
-        else:
+        if fresh.isEmpty():
             return found
 
 
