@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import fence, token_estimate
 from paperloom.operators.binning import greedy_bins
 from paperloom.operators.graph import cut
-from paperloom.functions.udf import arrow_udf
 
 
 def skip_reason(size: Column, kind: Column, most: int) -> Column:
@@ -53,30 +51,3 @@ def stats(files: DataFrame) -> DataFrame:
 
 def markdown_section(path: Column, text: Column, language: str = "") -> Column:
     return F.concat(F.lit("## "), path, F.lit("\n\n"), fence(text), F.lit(language + "\n"), text, F.lit("\n"), fence(text), F.lit("\n"))
-
-
-@arrow_udf("array<string>")
-def split_text(texts: pd.Series, most: pd.Series) -> pd.Series:
-    """Pieces of at most `most` characters, cut at paragraphs, then sentences, then anywhere."""
-
-    def pieces(text: str, n: int) -> list[str]:
-        out, text = [], (text or "").strip()
-        while len(text) > n:
-            at = max(text.rfind("\n\n", 0, n + 1), 0) or max(text.rfind(". ", 0, n) + 1, 0) or n
-            out.append(text[:at].strip())
-            text = text[at:].strip()
-        return [*(x for x in out if x), *([text] if text else [])]
-
-    return pd.Series([pieces(t, int(n)) for t, n in zip(texts, most)])
-
-
-def chapters(docs: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """(path, chapter, title, body): markdown split at its first-level headings, numbered from 0 for what stands before."""
-    lines = docs.select(path, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    w = Window.partitionBy(path).orderBy("at")
-    fenced = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(w) % 2 == 1
-    marked = lines.withColumn("_h", (F.col("line").rlike(r"^#\s+\S") & ~fenced).cast("int"))
-    numbered = marked.withColumn("chapter", F.sum("_h").over(w))
-    grouped = numbered.groupBy(path, "chapter").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
-    title = F.when(F.col("chapter") > 0, F.regexp_replace(F.get("ls", F.lit(0))["line"], r"^#\s+", ""))
-    return grouped.select(path, "chapter", title.alias("title"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"))

@@ -49,7 +49,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from paperloom.plans import desk, forms, literals, trees  # noqa: F401  (they register theirs)
+    from paperloom.plans import desk, forms, literals, texts, trees  # noqa: F401  (they register theirs)
 
     return QUERIES
 
@@ -443,11 +443,6 @@ def _(spark, d):
     return V.docs(spark, d).select("path", pack.markdown_section(F.col("path"), F.col("content")).alias("section"))
 
 
-@query("text_chunks")
-def _(spark, d):
-    return V.docs(spark, d).select("path", F.posexplode(pack.split_text("content", F.lit(4000))).alias("part", "piece"))
-
-
 # --- mail, html, json ---------------------------------------------------------------------
 
 
@@ -484,16 +479,6 @@ def _(spark, d):
     return table(spark, d, "conversations").groupBy(F.col("role").alias("sender")).agg(F.count("*").alias("messages")).orderBy(F.desc("messages"), "sender").limit(5)
 
 
-@query("html_text")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", html.html_text("html").alias("text"))
-
-
-@query("html_headings")
-def _(spark, d):
-    return table(spark, d, "pages").select("page_id", html.title("html").alias("title"), html.headings("html").alias("headings"))
-
-
 @query("html_counts", """
 SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a[\\s>]')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS BIGINT) AS images,
   CAST(len(regexp_extract_all(html, '(?i)<h[1-6][\\s>]')) AS BIGINT) AS headings FROM pages""")

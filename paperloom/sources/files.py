@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
@@ -127,13 +128,24 @@ def json_lines(texts: pd.Series) -> pd.Series:
     return texts.map(read)
 
 
-def extract_text(files: DataFrame) -> DataFrame:
-    """files (path, type, content) with text: each type by its own reader, null where none is at hand (PDF, images, office)."""
+@arrow_udf("string")
+def csv_lines(texts: pd.Series) -> pd.Series:
+    """Rows of CSV as lines of cells with `, ` between."""
+    csv.field_size_limit(2**31 - 1)
+    return texts.map(lambda t: None if t is None else "\n".join(", ".join(row) for row in csv.reader(io.StringIO(t, newline=""))))
+
+
+def extract_text(files: DataFrame, final_newline: bool = False) -> DataFrame:
+    """files (path, type, content) with text: each type by its own reader, null where none is at hand (PDF, images, office).
+
+    final_newline ends the last lines of HTML, XML, JSON and CSV texts, as texts that are written to files end.
+    """
     from paperloom.sources.html import html_text
     from paperloom.sources.mail import eml_text, mbox_text
 
-    body = plain_text(F.col("content"))
-    readers = {("txt", "md", "code", "csv", "rtf"): lambda: body, ("html", "xml"): lambda: html_text(body), ("json",): lambda: json_lines(body), ("eml",): lambda: eml_text("content"), ("mbox",): lambda: mbox_text("content")}
+    body, last = plain_text(F.col("content")), F.lit("\n" if final_newline else "")
+    marked = F.concat(F.regexp_replace(html_text(body), r"\n\z", ""), last)
+    readers = {("txt", "md", "code", "rtf"): lambda: body, ("csv",): lambda: F.concat(csv_lines(body), last), ("html", "xml"): lambda: marked, ("json",): lambda: F.concat(json_lines(body), last), ("eml",): lambda: eml_text("content"), ("mbox",): lambda: mbox_text("content")}
     parts = [files.where(F.col("type").isin(*kinds)).withColumn("text", read()) for kinds, read in readers.items()]
     known = [k for kinds in readers for k in kinds]
     out = files.where(~F.col("type").isin(*known)).withColumn("text", F.lit(None).cast("string"))

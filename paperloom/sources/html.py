@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.udf import arrow_udf
 
 #: Tags that start a new line, and tags whose content is no text.
-BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+BLOCKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6 section article table".split())
 SILENT = frozenset("script style head".split())
 
 
@@ -60,14 +61,16 @@ def _read(text: str) -> _Reader:
 
 
 def to_text(html: str) -> str:
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in "".join(_read(html).parts).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    """Lines without outer blanks, one empty line for any number of them, none at the ends."""
+    lines = (x.strip() for x in "".join(_read(html).parts).splitlines())
+    runs = ("\n".join(run) if full else "" for full, run in groupby(lines, bool))
+    return "\n".join(runs).strip()
 
 
 @arrow_udf("string")
 def html_text(html: pd.Series) -> pd.Series:
-    """Text without tags, scripts and styles; block tags break lines."""
-    return html.map(lambda t: None if t is None else to_text(t))
+    """Text without tags, scripts and styles; block tags break lines; the last line ends. Null stays null."""
+    return html.map(lambda t: None if t is None else to_text(t) + "\n")
 
 
 @arrow_udf("array<struct<level:int,text:string>>")

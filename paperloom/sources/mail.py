@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import re
+from datetime import UTC, datetime
 from email import policy
 from email.parser import BytesParser
 from email.utils import getaddresses, parsedate_to_datetime
+from html import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,45 +17,160 @@ from pyspark.sql import functions as F
 from paperloom.functions.udf import arrow_udf
 
 
+_ID = r"<[^<>\s]+>"
+
+
 def _message(data):
-    return BytesParser(policy=policy.default).parsebytes(bytes(data or b""))
+    return BytesParser(policy=policy.default).parse(io.BytesIO(bytes(data or b"")))  # as a file is read: all line ends are \n
 
 
 def _header(m, name: str) -> str:
+    """A header as text; one that the parser can't render is none."""
     try:
         return str(m[name] or "")
-    except (ValueError, IndexError, AttributeError):
+    except Exception:  # noqa: BLE001  (headers are parsed when read, and fail in many ways)
         return ""
 
 
+def _sent(m) -> datetime | None:
+    """When a message was sent; a time without a zone is UTC."""
+    try:
+        when = parsedate_to_datetime(_header(m, "Date"))
+    except Exception:  # noqa: BLE001
+        return None
+    return when if when.tzinfo else when.replace(tzinfo=UTC)
+
+
+def _iso(m) -> str:
+    when = _sent(m)
+    return when.isoformat(timespec="seconds") if when else ""
+
+
+def _people(m, name: str) -> list[tuple[str, str]]:
+    try:
+        return [(n, a) for n, a in getaddresses([str(v) for v in m.get_all(name) or []]) if n or a]
+    except Exception:  # noqa: BLE001
+        return []
+
+
+def _named(m, name: str) -> list[str]:
+    return [f"{n} <{a}>" if n else a for n, a in _people(m, name)]
+
+
+def _decoded(part) -> str:
+    """A part's text by its charset or, where that is unknown or wrong, by UTF-8, Windows-1252, or UTF-8 with replacements."""
+    try:
+        text = part.get_content()
+        if isinstance(text, str):
+            return text
+    except Exception:  # noqa: BLE001, S110
+        pass
+    data = part.get_payload(decode=True)
+    if not isinstance(data, bytes):
+        return ""
+    for name in (part.get_content_charset(), "utf-8", "cp1252"):
+        try:
+            return data.decode(name or "utf-8")
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return data.decode("utf-8", "replace")
+
+
+def _part(m, *kinds: str):
+    try:
+        return m.get_body(kinds)
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def _body(m) -> str:
-    part = m.get_body(("plain", "html"))
+    """The plain part, or else the HTML part as text."""
+    part = _part(m, "plain", "html")
     if part is None:
         return ""
-    try:
-        text = part.get_content()
-    except (LookupError, ValueError, KeyError):
-        text = (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+    text = _decoded(part)
     if part.get_content_type() == "text/html":
         from paperloom.sources.html import to_text
 
         text = to_text(text)
-    return text.replace("\r\n", "\n").strip()
+    return text
+
+
+def _leaves(m):
+    """Attached parts in order; messages and multiparts that are attached give those within them instead."""
+    open_ = [iter(_attached(m))]
+    while open_:
+        part = next(open_[-1], None)
+        if part is None:
+            open_.pop()
+        elif part.get_content_type() == "message/rfc822" or part.get_content_maintype() == "multipart":
+            inner = part.get_payload()
+            inner = [x for x in (inner if isinstance(inner, list) else [inner]) if hasattr(x, "iter_attachments")]
+            open_.extend(iter(_attached(x)) for x in reversed(inner))
+        else:
+            yield part
+
+
+def _attached(m) -> list:
+    try:
+        return list(m.iter_attachments())
+    except Exception:  # noqa: BLE001
+        return []
 
 
 def _attachments(m) -> list[dict]:
     out = []
-    for a in m.iter_attachments():
-        data = a.get_payload(decode=True) or b""
-        out.append({"name": a.get_filename() or "attachment", "type": a.get_content_type(), "size": len(data)})
+    for i, part in enumerate(_leaves(m), 1):
+        try:
+            name = part.get_filename()
+        except Exception:  # noqa: BLE001
+            name = None
+        data = part.get_payload(decode=True)
+        out.append({"name": name or f"attachment-{i}", "type": part.get_content_type(), "size": len(data) if isinstance(data, bytes) else 0})
     return out
 
 
+def _text(m) -> str:
+    """Headers that name a message, its body, its attachments."""
+    shown = [(h, _iso(m) if h == "Date" else _header(m, h)) for h in ("From", "To", "Cc", "Date", "Subject", "Message-ID")]
+    body, files = _body(m).strip(), _attachments(m)
+    parts = ["\n".join(f"{h}: {v}" for h, v in shown if v), "\n\n", body, "\n" if body else ""]
+    if files:
+        parts += ["\n", *(f"attachment: {f['name']} ({f['type']}, {f['size']} bytes)\n" for f in files)]
+    return "".join(parts)
+
+
 def message_text(data) -> str:
-    m = _message(data)
-    head = [f"{h}: {_header(m, h)}" for h in ("From", "To", "Cc", "Date", "Subject") if _header(m, h)]
-    tail = [f"[attachment] {a['name']} ({a['type']}, {a['size']} B)" for a in _attachments(m)]
-    return "\n".join([*head, "", _body(m), *tail]).strip()
+    return _text(_message(data))
+
+
+def _markdown(m) -> str:
+    """A message as markdown: subject, a table of headers, body, a list of attachments."""
+    ids = re.findall(_ID, _header(m, "Message-ID"))
+    table = [(h, ", ".join(_named(m, h))) for h in ("From", "To", "Cc")] + [("Date", _iso(m)), ("Message-ID", ids[0] if ids else "")]
+    rows = [f"| {h} | {v.replace('|', chr(92) + '|')} |" for h, v in table if v]
+    out = [f"# {_header(m, 'Subject') or '(no subject)'}", "", "| header | value |", "|---|---|", *rows, "", _body(m).rstrip("\n"), ""]
+    files = _attachments(m)
+    if files:
+        out += ["", "## Attachments", "", *(f"- `{f['name']}` ({f['type']}, {f['size']} bytes)" for f in files)]
+    return "\n".join(out).rstrip("\n") + "\n"
+
+
+def _page(m, name: str) -> str:
+    """A message as an HTML page in UTF-8: its own HTML, or else its text."""
+    title, own = escape(_header(m, "Subject") or name), _part(m, "html")
+    shell = '<!DOCTYPE html>\n<html>\n<head>\n<meta charset="utf-8">\n<title>{}</title>\n</head>\n<body>\n{}\n</body>\n</html>\n'
+    if own is None:
+        return shell.format(escape(title), f"<pre>{escape(_text(m))}</pre>")
+    page = _decoded(own)
+    if "<html" not in page.lower():
+        page = shell.format(escape(title), page)
+    page, charset = re.sub(r"(?i)<meta[^>]+charset[^>]*>", "", page), '<meta charset="utf-8">'
+    for opening, added in ((r"(?i)<head\b[^>]*>", f"\n{charset}"), (r"(?i)<html\b[^>]*>", f"\n<head>{charset}</head>")):
+        at = re.search(opening, page)
+        if at:
+            return page[: at.end()] + added + page[at.end() :]
+    return f"{charset}\n{page}"
 
 
 def split_mbox(data) -> list[bytes]:
@@ -63,12 +181,40 @@ def split_mbox(data) -> list[bytes]:
 
 @arrow_udf("string")
 def eml_text(content: pd.Series) -> pd.Series:
+    """Messages as text for search; null is read as an empty message."""
     return content.map(message_text)
 
 
+@arrow_udf("string")
+def eml_markdown(content: pd.Series) -> pd.Series:
+    return content.map(lambda d: _markdown(_message(d)))
+
+
+@arrow_udf("string")
+def eml_html(content: pd.Series, name: pd.Series) -> pd.Series:
+    """Messages as pages; name is the title of those without a subject."""
+    return pd.Series([_page(_message(d), n or "") for d, n in zip(content, name)])
+
+
+def _block(m) -> str:
+    return f"# {_header(m, 'Subject') or '(no subject)'}\n{_text(m)}"
+
+
 @arrow_udf("string")
 def mbox_text(content: pd.Series) -> pd.Series:
-    return content.map(lambda d: "\n\n".join(f"# {_header(_message(p), 'Subject')}\n{message_text(p)}" for p in split_mbox(d)))
+    """Mailboxes as text: each message below its subject, in order; no message, no text."""
+    return content.map(lambda d: "\n".join(_block(_message(p)) for p in split_mbox(d)))
+
+
+@arrow_udf("string")
+def mbox_markdown(content: pd.Series, name: pd.Series) -> pd.Series:
+    """Mailboxes as markdown below their name: subject, sender and date, body of each message."""
+
+    def section(m) -> str:
+        head = " · ".join(x for x in (", ".join(_named(m, "From")), _iso(m)) if x)
+        return f"## {_header(m, 'Subject') or '(no subject)'}\n\n{head}\n\n{_body(m).rstrip(chr(10))}\n"
+
+    return pd.Series([f"# {n or ''}\n\n" + "\n".join(section(_message(p)) for p in split_mbox(d)) for d, n in zip(content, name)])
 
 
 @arrow_udf("array<binary>")
@@ -78,7 +224,7 @@ def messages(content: pd.Series) -> pd.Series:
 
 _SUMMARY = (
     "struct<sender:array<string>,recipients:array<string>,date:timestamp,subject:string,message_id:string,in_reply_to:string,references:array<string>,"
-    "attachments:array<struct<name:string,type:string,size:bigint>>>"
+    "attachments:array<struct<name:string,type:string,size:bigint>>,from:array<string>,to:array<string>,cc:array<string>,sent:string,parts:int,has_html:boolean>"
 )
 
 
@@ -87,21 +233,18 @@ def summary(content: pd.Series) -> pd.DataFrame:
     rows = []
     for data in content:
         m = _message(data)
-        ids = lambda h: re.findall(r"<[^<>\s]+>", _header(m, h))  # noqa: E731, B023
-        try:
-            date = parsedate_to_datetime(_header(m, "Date"))
-            date = pd.Timestamp(date).tz_convert("UTC").tz_localize(None) if date.tzinfo else pd.Timestamp(date)
-        except (TypeError, ValueError):
-            date = None
+        ids = lambda h: re.findall(_ID, _header(m, h))  # noqa: E731, B023
+        bare = lambda *hs: [a for h in hs for _, a in _people(m, h) if a]  # noqa: E731, B023
+        when = _sent(m)
         rows.append(
             {
-                "sender": [a for _, a in getaddresses([_header(m, "From")]) if a], "recipients": [a for _, a in getaddresses([_header(m, "To"), _header(m, "Cc")]) if a], "date": date,
+                "sender": bare("From"), "recipients": bare("To", "Cc"), "date": when and when.astimezone(UTC).replace(tzinfo=None),
                 "subject": _header(m, "Subject") or None, "message_id": next(iter(ids("Message-ID")), None), "in_reply_to": next(iter(ids("In-Reply-To")), None), "references": ids("References"),
-                "attachments": _attachments(m),
+                "attachments": _attachments(m), "from": _named(m, "From"), "to": _named(m, "To"), "cc": _named(m, "Cc"), "sent": _iso(m) or None, "parts": sum(1 for _ in m.walk()), "has_html": _part(m, "html") is not None,
             }
         )
     out = pd.DataFrame(rows)
-    out["date"] = pd.to_datetime(out["date"])
+    out["date"] = pd.to_datetime(out["date"], errors="coerce")
     return out
 
 
