@@ -143,6 +143,11 @@ def merge_notes(base: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("path", "created", "body").agg(F.min("added").alias("added"))
 
 
+def manifest_lines(files: DataFrame) -> DataFrame:
+    """(line): `sha256  path` for each file (path, content); a null content is an empty file."""
+    return files.select(F.concat(F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256), F.lit("  "), F.col("path")).alias("line"))
+
+
 def verify_manifest(lines: DataFrame, files: DataFrame) -> DataFrame:
     """(path, state) of a manifest's lines (`<sha256>  <path>`) against files (path, content): ok, changed, missing or malformed."""
     sha, path = F.regexp_extract("line", r"^([0-9a-fA-F]{64}) [ *](.+)$", 1), F.regexp_extract("line", r"^[0-9a-fA-F]{64} [ *](.+)$", 1)

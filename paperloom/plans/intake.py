@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import fiscal_quarter, fiscal_year, slug, stem, suffix
 from paperloom.operators import fields, refs
-from paperloom.sources.files import extract_text, with_type
+from paperloom.session import keep
+from paperloom.sources.files import extract_text, unique_targets, with_type
 
 
 def name_column(template: str, values: dict[str, Column]) -> Column:
@@ -49,10 +50,9 @@ def plan(files: DataFrame, template: str = "{date:yyyy-MM-dd}_{vendor}_{total}",
     known = {f: value(f) for f in fields.FIELDS} | {"date": day, "stem": stem(F.col("path")), "type": F.col("type")}
     own = F.concat(F.coalesce(name_column(template, known), slug(stem(F.col("path")))), suffix(F.col("path")))
     named = joined.select("path", "type", "fields", "content", F.concat_ws("/", F.nullif(destination(day, layout, fiscal_start), F.lit("")), own).alias("wish"))
-    n = F.row_number().over(Window.partitionBy("wish").orderBy("path")) - 1
-    unique = F.when(n == 0, F.col("wish")).otherwise(F.concat(F.regexp_replace("wish", r"(\.[^./]*)?$", ""), F.lit("-"), n.cast("string"), F.regexp_extract("wish", r"(\.[^./]*)$", 1)))
+    targets = unique_targets(keep(named.select("path", F.col("wish").alias("to"))))
     tags = refs.find(named, kinds).groupBy("path").agg(F.array_sort(F.collect_set(refs.tag(F.col("kind"), F.col("value")))).alias("tags"))
-    return named.withColumn("to", unique).join(tags, "path", "left").select("path", "to", "type", "fields", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return named.join(targets, "path").join(tags, "path", "left").select("path", "to", "type", "fields", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def watch(spark, inbox: str, schema_of, sink, checkpoint: str, **how):

@@ -438,7 +438,9 @@ def _(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy("score", "path")).cast("bigint"))  # ten rows
 
 
-@query("pack_markdown")
+@query("pack_markdown", f"""
+SELECT path, '## ' || path || chr(10) || chr(10) || f || chr(10) || content || chr(10) || f || chr(10) AS section
+FROM (SELECT path, content, repeat('`', CAST(greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(content, '`+'), lambda x: length(x))), 0)) AS INTEGER)) AS f FROM ({DOCS}))""")
 def _(spark, d):
     return V.docs(spark, d).select("path", pack.markdown_section(F.col("path"), F.col("content")).alias("section"))
 
@@ -476,7 +478,11 @@ def _(spark, d):
 
 @query("top_senders", "SELECT role AS sender, CAST(count(*) AS BIGINT) AS messages FROM conversations GROUP BY role ORDER BY messages DESC, sender LIMIT 5")
 def _(spark, d):
-    return table(spark, d, "conversations").groupBy(F.col("role").alias("sender")).agg(F.count("*").alias("messages")).orderBy(F.desc("messages"), "sender").limit(5)
+    from paperloom.sources import mail
+
+    raw = F.concat(F.lit("From: "), F.col("role"), F.lit("\nSubject: s\n\n")).cast("binary")
+    read = table(spark, d, "conversations").select(F.col("role").alias("place"), mail.summary(raw)["from"].alias("from"))
+    return mail.sender_counts(read, 5).select("sender", "messages")
 
 
 @query("html_counts", """
@@ -578,7 +584,9 @@ def _(spark, d):
 
 @query("dest_dir", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m') AS dir FROM orders")
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM").alias("dir"))
+    from paperloom.plans.intake import destination
+
+    return table(spark, d, "orders").select("o_orderkey", destination(F.col("o_orderdate")).alias("dir"))
 
 
 @query("rename_names", """
@@ -594,10 +602,10 @@ def _(spark, d):
 SELECT c_custkey, lower(c_mktsegment) || CASE WHEN n = 0 THEN '' ELSE '-' || n END || '.txt' AS name
 FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS n FROM customer)""")
 def _(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_custkey")
-    n = F.row_number().over(w) - 1
-    name = F.concat(F.lower("c_mktsegment"), F.when(n == 0, "").otherwise(F.concat(F.lit("-"), n.cast("string"))), F.lit(".txt"))
-    return table(spark, d, "customer").select("c_custkey", name.alias("name"))
+    from paperloom.sources.files import unique_targets
+
+    wished = table(spark, d, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 19, "0").alias("path"), F.concat(F.lower("c_mktsegment"), F.lit(".txt")).alias("to"))
+    return unique_targets(wished).select(F.col("path").cast("bigint").alias("c_custkey"), F.col("to").alias("name"))
 
 
 @query("organize_buckets", f"""
@@ -684,7 +692,7 @@ def _(spark, d):
 
 @query("sha256_manifest", f"SELECT sha256(content) || '  ' || path AS line FROM ({DOCS})")
 def _(spark, d):
-    return V.docs(spark, d).select(F.concat(F.sha2("content", 256), F.lit("  "), F.col("path")).alias("line"))
+    return catalog.manifest_lines(V.docs(spark, d))
 
 
 @query("inspect_kinds", f"SELECT path, {KIND.replace('value', 'content')} AS kind, regexp_extract(path, '(\\.[^./]*)$', 1) AS suffix FROM ({DOCS})")

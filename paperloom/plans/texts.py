@@ -90,6 +90,17 @@ def _(spark, d):
     return flat.select("conv_id", "turn", mail.eml_markdown(_raw()).alias("text"))
 
 
+@query("mailbox_details", f"""
+WITH m AS (SELECT conv_id, turn, role, {_SENT} AS sent FROM conversations),
+s AS (SELECT conv_id, role, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, min(turn), role) AS r FROM m GROUP BY conv_id, role)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, min(sent) AS first_date, max(sent) AS last_date, (SELECT string_agg('Ann, A. <' || role || '@desk.example>: ' || n, ';' ORDER BY r) FROM s WHERE s.conv_id = m.conv_id AND r <= 5) AS senders FROM m GROUP BY conv_id""")
+def _(spark, d):
+    """Conversations as mailboxes: how many messages, when, and from whom."""
+    read = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), mail.summary(_raw()).alias("m")).select("conv_id", "place", "m.from", "m.sent")
+    shown = F.array_join(F.transform("senders", lambda t: F.concat(t["sender"], F.lit(": "), t["messages"].cast("string"))), ";")
+    return mail.mailbox_details(read, "conv_id").select("conv_id", "messages", "first_date", "last_date", shown.alias("senders"))
+
+
 @query("mailbox_text", r"""
 SELECT doc_id, '# One' || chr(10) || 'Subject: One' || chr(10) || chr(10) || body || CASE WHEN body = '' THEN '' ELSE chr(10) END || chr(10) || '# (no subject)' || chr(10) || 'From: x@desk.example' || chr(10) || chr(10) || 'From ' || lang || chr(10) AS text
 FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS body FROM documents)""")

@@ -11,7 +11,7 @@ from email.utils import getaddresses, parsedate_to_datetime
 from html import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.udf import arrow_udf
@@ -248,6 +248,32 @@ def summary(content: pd.Series) -> pd.DataFrame:
     return out
 
 
+def sender_counts(messages: DataFrame, most: int, by: list[str] = (), place: str = "place") -> DataFrame:
+    """(by, sender, messages, rank): the senders of most messages, at most `most` of them; of equal ones the one that wrote first.
+
+    messages has from (array<string>) and its place in the mailbox. Messages without a sender count for none.
+    """
+    by = list(by)
+    counted = messages.select(*by, F.col(place).alias("_place"), F.explode("from").alias("sender")).groupBy(*by, "sender").agg(F.count("*").alias("messages"), F.min("_place").alias("_first"))
+    order = [F.desc("messages"), F.asc("_first"), F.asc("sender")]
+    if not by:
+        counted = counted.orderBy(*order).limit(most)
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by or [F.lit(0)]).orderBy(*order)))
+    return ranked.where(F.col("rank") <= most).drop("_first")
+
+
+def mailbox_details(messages: DataFrame, box: str, place: str = "place", most: int = 5) -> DataFrame:
+    """(box, messages, first_date, last_date, senders): what mailboxes hold, a row each.
+
+    messages (box, place, from, sent) are read mails. Dates are the least and the greatest of sent, null where no message
+    has one; senders are the five of most messages. Null boxes are one box; an empty table gives no rows.
+    """
+    counts = messages.groupBy(box).agg(F.count("*").alias("messages"), F.min("sent").alias("first_date"), F.max("sent").alias("last_date"))
+    top = sender_counts(messages, most, [box], place).groupBy(F.col(box).alias("_box")).agg(F.array_sort(F.collect_list(F.struct("rank", "sender", "messages"))).alias("_top"))  # five at most
+    senders = F.transform(F.coalesce("_top", F.array().cast("array<struct<rank:int,sender:string,messages:bigint>>")), lambda t: F.struct(t["sender"].alias("sender"), t["messages"].alias("messages")))
+    return counts.join(top, F.col(box).eqNullSafe(F.col("_box")), "left").select(box, "messages", "first_date", "last_date", senders.alias("senders"))
+
+
 def threads(mail: DataFrame, where: str = "where") -> DataFrame:
     """mail (where, message_id, in_reply_to, references, date, ...) with thread and depth.
 

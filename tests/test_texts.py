@@ -115,3 +115,12 @@ def test_rows_of_csv_and_leaves_of_json_as_text(spark):
     rows = [("a.csv", "csv", b'\xef\xbb\xbfn,v\r\n"x, y","1\n2"\n'), ("a.json", "json", b'{"a": {"b": [1]}}'), ("a.xml", "xml", b"<r><p>x</p>y</r>"), ("a.png", "png", b"\x89")]
     got = {r["path"]: r["text"] for r in files.extract_text(spark.createDataFrame(rows, "path string, type string, content binary"), final_newline=True).collect()}
     assert got == {"a.csv": "n, v\nx, y, 1\n2\n", "a.json": "a.b.0: 1\n", "a.xml": "x\ny\n", "a.png": None}
+
+
+def test_mailbox_details(spark):
+    rows = [("a", 1, ["x"], "2026-01-02"), ("a", 2, ["y", "x"], None), ("a", 3, ["y"], "2026-01-01"), ("b", 1, [], None), (None, 1, None, None), ("c", 9, list("zyxwvu"), "2026-01-01")]
+    mails = spark.createDataFrame(rows, "box string, place int, `from` array<string>, sent string")
+    got = {r["box"]: (r["messages"], r["first_date"], r["last_date"], [tuple(s) for s in r["senders"]]) for r in mail.mailbox_details(mails, "box").collect()}
+    assert got == {"a": (3, "2026-01-01", "2026-01-02", [("x", 2), ("y", 2)]), "b": (1, None, None, []), None: (1, None, None, []), "c": (1, "2026-01-01", "2026-01-01", [(x, 1) for x in "uvwxy"])}
+    assert mail.mailbox_details(mails.limit(0), "box").isEmpty()
+    assert [tuple(r) for r in mail.sender_counts(mails, 2).collect()] == [("x", 3, 1), ("y", 3, 2)]
