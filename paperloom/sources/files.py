@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,27 +170,39 @@ def unique_targets(plan: DataFrame, taken: DataFrame | None = None) -> DataFrame
     """(path, to) with targets made unique in order of path: -1, -2, ... before the extension.
 
     taken (to) are targets that exist. A number that another target already bears is passed over:
-    targets of one stem and extension, bare or numbered, are settled together.
+    targets of one stem and extension, bare or numbered, are settled together. One target may be
+    wished for by all rows: places are counted over ranges, and no list of a group is built.
     """
-    from pyspark.sql import Window
+    from paperloom.operators.binning import numbered
+    from paperloom.session import keep
 
     stem = lambda c: F.regexp_replace(c, r"(?:-[0-9]{1,9})?(\.[^./]*)?$", "")
     ext = lambda c: F.regexp_extract(c, r"(\.[^./]*)$", 1)
     number = lambda c: F.coalesce(F.regexp_extract(c, r"-([0-9]{1,9})(?:\.[^./]*)?$", 1).try_cast("bigint"), F.lit(0))
-    here = plan.select("path", "to")
-    first = F.row_number().over(Window.partitionBy("to").orderBy("path"))
-    ranked = here.withColumn("_r", first)
-    used = ranked.where("_r = 1").select("to", F.lit(None).cast("string").alias("_by"))
+
+    def placed(rows: DataFrame, group: list[str], order: list[str], to: str) -> DataFrame:
+        """rows with their place, from 1, in their group."""
+        n = numbered(rows, [*group, *order], "_nth")
+        first = n.groupBy(*[F.col(c).alias(f"{c}_g") for c in group]).agg(F.min("_nth").alias("_first"))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_g")) for c in group])
+        return n.join(first, same).withColumn(to, F.col("_nth") - F.col("_first") + 1).select(*rows.columns, to)
+
+    ranked = placed(plan.select("path", "to"), ["to"], ["path"], "_r")
+    used = ranked.where("_r = 1").select("to")
     if taken is not None:
-        ranked = ranked.join(taken.select("to", F.lit(True).alias("_held")).distinct(), "to", "left").withColumn("_keeps", (F.col("_r") == 1) & F.col("_held").isNull())
-        used = used.select("to").unionByName(taken.select("to"))
+        ranked = ranked.join(taken.select("to", F.lit(True).alias("_held")).distinct(), "to", "left")
+        used = used.unionByName(taken.select("to"))
     else:
-        ranked = ranked.withColumn("_keeps", F.col("_r") == 1)
-    numbers = used.select(stem(F.col("to")).alias("_s"), ext(F.col("to")).alias("_e"), number(F.col("to")).alias("_n")).groupBy("_s", "_e").agg(F.collect_set("_n").alias("_used"))
-    moved = ranked.where("NOT _keeps").select("path", "to", F.regexp_replace("to", r"(\.[^./]*)?$", "").alias("_root"), ext(F.col("to")).alias("_e"))
-    moved = moved.withColumn("_k", F.row_number().over(Window.partitionBy("_root", "_e").orderBy("path")))
-    known = moved.join(numbers, (F.col("_root") == F.col("_s")) & (moved["_e"] == numbers["_e"]), "left").drop(numbers["_e"])
-    # The k-th free number: as many candidates as there are used ones and k more hold it.
-    free = F.filter(F.sequence(F.lit(1).cast("bigint"), F.col("_k") + F.size(F.coalesce("_used", F.array().cast("array<bigint>")))), lambda n: ~F.array_contains(F.coalesce("_used", F.array().cast("array<bigint>")), n))
-    renamed = known.select("path", F.concat("_root", F.lit("-"), F.element_at(free, F.col("_k")).cast("string"), "_e").alias("to"))
-    return ranked.where("_keeps").select("path", "to").unionByName(renamed)
+        ranked = ranked.withColumn("_held", F.lit(None).cast("boolean"))
+    # The k-th row that needs a number; the first of a free target keeps it.
+    ranked = ranked.withColumn("_k", F.when(F.col("_held"), F.col("_r")).otherwise(F.col("_r") - 1))
+    moved = ranked.where("_k > 0").select("path", F.regexp_replace("to", r"(\.[^./]*)?$", "").alias("_root"), ext(F.col("to")).alias("_e"), "_k")
+    groups = moved.where("_k = 1").select("_root", "_e")
+    numbers = used.select(stem(F.col("to")).alias("_root"), ext(F.col("to")).alias("_e"), number(F.col("to")).alias("_n")).where("_n > 0").distinct()
+    numbers = keep(numbers.join(groups, ["_root", "_e"], "left_semi"))
+    if not numbers.isEmpty():
+        # The i-th used number n has n - i free ones below it, so it precedes every k above that: with both in one order, a row's place is its number.
+        below = placed(numbers, ["_root", "_e"], ["_n"], "_i").select(F.lit(None).cast("string").alias("path"), "_root", "_e", (F.col("_n") - F.col("_i")).alias("_k"), F.lit(0).alias("_row"))
+        both = below.unionByName(moved.withColumn("_k", F.col("_k") - 1).withColumn("_row", F.lit(1)))
+        moved = placed(both, ["_root", "_e"], ["_k", "_row"], "_place").where("_row = 1").select("path", "_root", "_e", F.col("_place").alias("_k"))
+    return ranked.where("_k = 0").select("path", "to").unionByName(moved.select("path", F.concat("_root", F.lit("-"), F.col("_k").cast("string"), "_e").alias("to")))

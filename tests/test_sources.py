@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 from pyspark.sql import functions as F
@@ -67,6 +68,17 @@ def test_intake_plan(spark):
     assert got["in/1.txt"]["tags"] == ["ref:invoice:inv-77"] and got["in/3.txt"]["to"] == "1970/01/3.txt"
 
 
+def test_one_target_for_many_files(spark):
+    """Lists as long as a target's files, one for each of them, took 20,000 files (5,000 a target) beyond any time."""
+    plan = spark.range(60_000).select(F.format_string("%06d", "id").alias("path"), F.concat(F.lit("a"), (F.col("id") % 2).cast("string"), F.lit(".txt")).alias("to"))
+    held = [("a0-3.txt",), ("a0-02.txt",), ("a1.txt",), ("a1-1.txt",)]
+    started = time.monotonic()
+    got = {r["path"]: r["to"] for r in files.unique_targets(plan, spark.createDataFrame(held, "`to` string")).collect()}
+    assert time.monotonic() - started < 60
+    assert [got[f"{i:06d}"] for i in (0, 2, 4, 6, 59998)] == ["a0.txt", "a0-1.txt", "a0-4.txt", "a0-5.txt", "a0-30001.txt"]
+    assert [got[f"{i:06d}"] for i in (1, 3, 59999)] == ["a1-2.txt", "a1-3.txt", "a1-30001.txt"] and len(set(got.values())) == 60_000
+
+
 def test_graph(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a bigint, b bigint")
     assert {(r[0], r[1]) for r in components(chain).collect()} == {(i, 0) for i in range(51)} | {(100, 100), (101, 100)}
