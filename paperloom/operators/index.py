@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import terms
-from paperloom.operators.search import B, K1, Phrase, _all, _holds, idf, parse, phrases
-from paperloom.session import keep
+from paperloom.operators.search import B, K1, Phrase, _all, _holds, idf, parse, phrases, posted
+from paperloom.session import keep, spread
 
 SCHEMAS = {
     "postings": "term string, window bigint, path string, tf bigint, n bigint, positions array<int>, generation int, bucket int",
@@ -51,12 +51,12 @@ def write(docs: DataFrame, folder: str, generation: int = 0, removed: DataFrame
 
     A document's terms meet within its row, so only finished postings are shuffled, once.
     """
-    each = docs.select(F.col(key).alias("path"), terms(F.col(text)).alias("ts"))
+    each = spread(docs.select(F.col(key).alias("path"), F.col(text).alias("_t"))).select("path", terms(F.col("_t")).alias("ts"))
     lengths = keep(each.select("path", F.size("ts").cast("bigint").alias("n")))
-    posted = _windowed(each.withColumn("n", F.size("ts").cast("bigint")), lengths).mapInArrow(_post, "term string, window bigint, path string, tf bigint, n bigint, positions array<int>")
+    rows = _windowed(each.withColumn("n", F.size("ts").cast("bigint")), lengths).mapInArrow(posted(["window", "path", "n"]), "term string, window bigint, path string, n bigint, tf bigint, positions array<int>")
     if removed is not None:
         lengths = lengths.unionByName(removed.select(F.col(key).alias("path"), F.lit(None).cast("bigint").alias("n")))
-    _store(posted, folder, generation)
+    _store(rows, folder, generation)
     lengths.write.mode("overwrite").parquet(f"{folder}/lengths/generation={generation}")
 
 
@@ -75,28 +75,6 @@ def _windowed(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     return met.withColumn("window", F.floor((F.col("_before") + share * F.col("_count")) / WINDOW).cast("bigint")).drop("_size", "_count", "_before")
 
 
-def _post(batches):
-    """Documents (path, ts, n, window) in; a row for each term of each, with its positions, out."""
-    for batch in batches:
-        lists = batch.column("ts")
-        words = lists.flatten().dictionary_encode()
-        code = words.indices.to_numpy(zero_copy_only=False)
-        if not len(code):
-            continue
-        size = np.diff(lists.offsets.to_numpy())
-        doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-        order = np.lexsort((place, code, doc))
-        d, c = doc[order], code[order]
-        start = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))[0]
-        ends = np.append(start, len(d)).astype(np.int32)
-        rows = pa.array(d[start])
-        yield pa.RecordBatch.from_arrays(
-            [words.dictionary.take(pa.array(c[start])), batch.column("window").take(rows), batch.column("path").take(rows), pa.array(np.diff(ends).astype(np.int64)), batch.column("n").take(rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
-            names=["term", "window", "path", "tf", "n", "positions"],
-        )
-
-
 def _runs(batches):
     """Stored postings in their order in; a block for each run of a term in a window out. A run that is split between batches or tasks gives two."""
     for batch in batches:

@@ -15,12 +15,16 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.udf import arrow_udf
 from paperloom.functions.text import MARKED, PLAIN, terms
+from paperloom.session import spread
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -179,10 +183,57 @@ def search(docs: DataFrame, query: str, limit: int | None = 20, where: Column |
     return found if limit is None else found.limit(limit)
 
 
+#: Terms that a task's worker takes at once (a document of more is one step), a few dozen bytes each.
+STEP = 1 << 18
+
+
+def posted(names: list[str]):
+    """A mapInArrow function from documents (names, ts: terms) to a row for each term of each: term, names, tf, positions."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("ts")
+            first, ends = 0, np.cumsum(np.nan_to_num(pc.list_value_length(at).to_numpy(zero_copy_only=False))).astype(np.int64)
+            while first < len(ends):
+                done = ends[first - 1] if first else 0
+                stop = max(int(np.searchsorted(ends, done + STEP, "right")), first + 1)
+                yield from _post(batch.slice(first, stop - first), names)
+                first = stop
+
+    return run
+
+
+def _post(batch, names: list[str]):
+    lists = batch.column("ts")
+    words = lists.flatten().dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False)
+    if not len(code):
+        return
+    size = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((place, code, doc))
+    d, c = doc[order], code[order]
+    start = np.nonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))[0]
+    ends = np.append(start, len(d)).astype(np.int32)
+    rows = pa.array(d[start])
+    yield pa.RecordBatch.from_arrays(
+        [words.dictionary.take(pa.array(c[start])), *[batch.column(x).take(rows) for x in names], pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
+        names=["term", *names, "tf", "positions"],
+    )
+
+
 def postings(docs: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """(term, key, positions, tf): the stored form of the index, one row per term and document."""
-    each = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    return each.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    """(term, key, positions, tf): the stored form of the index, one row per term and key.
+
+    A document's terms meet within its row, so only texts are dealt out. Where rows share a key (or null), terms meet in a shuffle.
+    """
+    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+        each = docs.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
+        return each.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    each = spread(docs.select(key, F.col(text).alias("_t"))).select(key, terms(F.col("_t")).alias("ts"))
+    kind = f"term string, `{key}` {docs.schema[key].dataType.simpleString()}, tf bigint, positions array<int>"
+    return each.mapInArrow(posted([key]), kind).select("term", key, "positions", "tf")
 
 
 def document_frequency(docs: DataFrame, text: str = "content") -> DataFrame:

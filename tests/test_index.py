@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from paperloom.operators import index, search
@@ -63,6 +64,18 @@ def test_index_of_nothing(spark, tmp_path):
     assert index.top(spark, folder, "x").collect() == [] and index.search(spark, folder, "x").collect() == []
 
 
+def test_postings_in_small_steps(spark, monkeypatch):
+    """A batch is cut by its terms, so that a worker's memory doesn't grow with texts; rows of one key meet all the same."""
+    batch = pa.RecordBatch.from_pydict({"path": ["a", "n", "b", "c"], "ts": [["x", "y", "x"], None, ["y"] * 5, []]})
+    monkeypatch.setattr(search, "STEP", 3)
+    got = [b.to_pylist() for b in search.posted(["path"])([batch])]
+    assert got == [[{"term": "x", "path": "a", "tf": 2, "positions": [0, 2]}, {"term": "y", "path": "a", "tf": 1, "positions": [1]}], [{"term": "y", "path": "b", "tf": 5, "positions": [0, 1, 2, 3, 4]}]]
+    shared = spark.createDataFrame([("k", "x"), ("k", "y x"), (None, "x"), (None, "x")], "path string, content string")
+    assert sorted((r["term"], r["path"] or "", r["positions"], r["tf"]) for r in search.postings(shared).collect()) == [("x", "", [0, 0], 2), ("x", "k", [0, 1], 2), ("y", "k", [0], 1)]
+    rows = search.postings(spark.createDataFrame([("a", "x y x"), ("b", None)], "path string, content string"))
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().toString() and rows.rdd.getNumPartitions() > 4
+
+
 def test_marked_runs(spark, tmp_path):
     folder = f"file://{tmp_path}/m"
     df = spark.createDataFrame([("a", "One two, three; four five six seven eight nine ten eleven twelve Thirteen fourteen."), ("b", "thirteen two")], "path string, content string")
