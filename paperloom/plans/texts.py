@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import spoken
 from paperloom.plans import views as V
 from paperloom.plans.registry import DOCS, query
-from paperloom.session import table
+from paperloom.session import spread, table
 from paperloom.sources import html, mail
 
 # --- pages --------------------------------------------------------------------------------
@@ -70,14 +70,14 @@ SELECT conv_id, turn, 'From: "Ann, A." <' || role || '@desk.example>' || chr(10)
 FROM (SELECT conv_id, turn, role, {_BODY} AS body FROM conversations)""")
 def _(spark, d):
     """Turns written as mails (plain, with an attachment, HTML) and read as text for search."""
-    return table(spark, d, "conversations").select("conv_id", "turn", mail.eml_text(_raw()).alias("text"))
+    return spread(table(spark, d, "conversations")).select("conv_id", "turn", mail.eml_text(_raw()).alias("text"))
 
 
 @query("mail_summaries", f"""
 SELECT conv_id, turn, 'Ann, A. <' || role || '@desk.example>' AS sender, 'b@desk.example;Cy <c@desk.example>' AS recipients, {_SENT} AS sent, CASE WHEN {_ATTACHED} THEN 3 ELSE 1 END AS parts, turn % 3 = 2 AS has_html,
   CASE WHEN {_ATTACHED} THEN CAST(5 + length(CAST(turn AS VARCHAR)) AS BIGINT) END AS attached FROM conversations""")
 def _(spark, d):
-    read = table(spark, d, "conversations").select("conv_id", "turn", mail.summary(_raw()).alias("m"))
+    read = spread(table(spark, d, "conversations")).select("conv_id", "turn", mail.summary(_raw()).alias("m"))
     return read.select("conv_id", "turn", F.array_join("m.from", ";").alias("sender"), F.array_join("m.to", ";").alias("recipients"), "m.sent", "m.parts", "m.has_html", F.get("m.attachments", F.lit(0))["size"].alias("attached"))
 
 
@@ -86,7 +86,7 @@ SELECT conv_id, turn, rtrim('# Turn ' || turn || chr(10) || chr(10) || '| header
   || '| Message-ID | <' || conv_id || '.' || turn || '@desk> |' || chr(10) || chr(10) || body || chr(10) || CASE WHEN {_ATTACHED} THEN chr(10) || chr(10) || '## Attachments' || chr(10) || chr(10) || '- `n.csv` (text/csv, ' || (5 + length(CAST(turn AS VARCHAR))) || ' bytes)' ELSE '' END, chr(10)) || chr(10) AS text
 FROM (SELECT conv_id, turn, role, {_BODY} AS body FROM conversations)""")
 def _(spark, d):
-    flat = table(spark, d, "conversations").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    flat = spread(table(spark, d, "conversations")).withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     return flat.select("conv_id", "turn", mail.eml_markdown(_raw()).alias("text"))
 
 
@@ -96,7 +96,7 @@ s AS (SELECT conv_id, role, count(*) AS n, row_number() OVER (PARTITION BY conv_
 SELECT conv_id, CAST(count(*) AS BIGINT) AS messages, min(sent) AS first_date, max(sent) AS last_date, (SELECT string_agg('Ann, A. <' || role || '@desk.example>: ' || n, ';' ORDER BY r) FROM s WHERE s.conv_id = m.conv_id AND r <= 5) AS senders FROM m GROUP BY conv_id""")
 def _(spark, d):
     """Conversations as mailboxes: how many messages, when, and from whom."""
-    read = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("place"), mail.summary(_raw()).alias("m")).select("conv_id", "place", "m.from", "m.sent")
+    read = spread(table(spark, d, "conversations")).select("conv_id", F.col("turn").alias("place"), mail.summary(_raw()).alias("m")).select("conv_id", "place", "m.from", "m.sent")
     shown = F.array_join(F.transform("senders", lambda t: F.concat(t["sender"], F.lit(": "), t["messages"].cast("string"))), ";")
     return mail.mailbox_details(read, "conv_id").select("conv_id", "messages", "first_date", "last_date", shown.alias("senders"))
 
@@ -109,7 +109,7 @@ def _(spark, d):
     quoted = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^(>*From )", ">$1")
     utf8 = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"
     box = F.concat(F.lit(f"From a Tue Mar  3 2026\nSubject: One\n{utf8}"), quoted, F.lit(f"\n\nFrom b Tue Mar  3 2026\nFrom: x@desk.example\n{utf8}>From "), F.col("lang"), F.lit("\n"))
-    return table(spark, d, "documents").select("doc_id", mail.mbox_text(box.cast("binary")).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", mail.mbox_text(box.cast("binary")).alias("text"))
 
 
 # --- reading out --------------------------------------------------------------------------

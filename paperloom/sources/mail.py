@@ -6,7 +6,8 @@ import io
 import re
 from datetime import UTC, datetime
 from email import policy
-from email.parser import BytesParser
+from email.headerregistry import HeaderRegistry
+from email.parser import BytesParser, Parser
 from email.utils import getaddresses, parsedate_to_datetime
 from html import escape
 
@@ -20,8 +21,38 @@ from paperloom.functions.udf import arrow_udf
 _ID = r"<[^<>\s]+>"
 
 
+_registry = HeaderRegistry()
+_recent: dict = {}
+
+
+def _made(name: str, value: str):
+    """A header as the parser makes it; each is read several times and many recur, so short ones of late are kept."""
+    if len(value) > 1000:
+        return _registry(name, value)
+    made = _recent.get((name, value))
+    if made is None:
+        if len(_recent) >= 4096:
+            _recent.clear()
+        made = _recent[name, value] = _registry(name, value)
+    return made
+
+
+_POLICY = policy.default.clone(header_factory=_made)
+#: Lines that the parser takes as headers.
+_HEAD = re.compile(r"(?:(?:From |[!-9;-~]*:|[\t ])[^\n]*\n)*")
+
+
 def _message(data):
-    return BytesParser(policy=policy.default).parse(io.BytesIO(bytes(data or b"")))  # as a file is read: all line ends are \n
+    """A message as the parser reads it from a file, all line ends \\n. The body of one that has no parts is not read line by line."""
+    data = bytes(data or b"")
+    text = data.decode("ascii", "surrogateescape").replace("\r\n", "\n").replace("\r", "\n")
+    end = _HEAD.match(text).end()
+    if 0 < end < len(text) and not text.startswith("From ", text.rfind("\n", 0, end - 1) + 1) and (text[end] == "\n" or "\n" in text[end:]):
+        m = Parser(policy=_POLICY).parsestr(f"{text[:end]}\n")
+        if m.get_content_maintype() not in ("multipart", "message"):
+            m.set_payload(text[end + (text[end] == "\n") :])
+            return m
+    return BytesParser(policy=_POLICY).parse(io.BytesIO(data))
 
 
 def _header(m, name: str) -> str:

@@ -1,8 +1,11 @@
 """Texts read from pages and mails, and texts for reading aloud."""
 
+import io
 import random
 import re
+from email import policy
 from email.message import EmailMessage
+from email.parser import BytesParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +120,20 @@ def test_rows_of_csv_and_leaves_of_json_as_text(spark):
     assert got == {"a.csv": "n, v\nx, y, 1\n2\n", "a.json": "a.b.0: 1\n", "a.xml": "x\ny\n", "a.png": None}
 
 
+def test_bodies_are_not_read_line_by_line(monkeypatch):
+    """Messages without parts are as the whole parser reads them, but the parser sees their headers alone."""
+    r = random.Random(8)
+    pieces = [b"Subject: a\r\n", b"To: x@y.z, B <b@y.z>\n", b"Content-Type: text/html; charset=utf-8\n", b"Content-Type: multipart/mixed; boundary=b\n", b"Content-Type: message/rfc822\n", b"Content-Transfer-Encoding: base64\n", b" folded\n", b"From me\n", b"no header\n", b"\n", b"\r", b"bGluZQ==\n", b"--b\n", b"--b--\n", b"\xc3\xa9\x85\x0b:\n", b": x\n", b"end"]
+    for _ in range(3000):
+        data = b"".join(r.choices(pieces, k=r.randint(0, 8)))
+        whole, m = BytesParser(policy=policy.default).parse(io.BytesIO(data)), mail._message(data)
+        assert [(k, str(v)) for k, v in m.raw_items()] == [(k, str(v)) for k, v in whole.raw_items()], data
+        assert [(x.get_content_type(), str(x._payload) if not x.is_multipart() else len(x._payload)) for x in m.walk()] == [(x.get_content_type(), str(x._payload) if not x.is_multipart() else len(x._payload)) for x in whole.walk()], data
+        assert mail._text(m) == mail._text(whole) and mail._markdown(m) == mail._markdown(whole), data
+    monkeypatch.setattr(mail, "BytesParser", None)
+    assert mail.message_text(b"Subject: s\n\n" + b"line\n" * 3).endswith("line\nline\nline\n")
+
+
 def test_mailbox_details(spark):
     rows = [("a", 1, ["x"], "2026-01-02"), ("a", 2, ["y", "x"], None), ("a", 3, ["y"], "2026-01-01"), ("b", 1, [], None), (None, 1, None, None), ("c", 9, list("zyxwvu"), "2026-01-01")]
     mails = spark.createDataFrame(rows, "box string, place int, `from` array<string>, sent string")
