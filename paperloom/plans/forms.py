@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import dates, meta, money, patterns
 from paperloom.operators import convert
 from paperloom.plans.registry import query
-from paperloom.session import table
+from paperloom.session import spread, table
 
 PLAIN = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
 
@@ -76,12 +76,12 @@ def _(spark, d):
 @query("convert_csv_json", """SELECT p_partkey, '[{"name": "' || p_name || '", "size": ' || p_size || ', "brand": "' || p_brand || '"}]' AS made FROM part""")
 def _(spark, d):
     text = F.concat(F.lit("name,size,brand\n"), F.col("p_name"), F.lit(","), F.col("p_size").cast("string"), F.lit(","), F.col("p_brand"), F.lit("\n"))
-    return table(spark, d, "part").select("p_partkey", convert.convert(text, "csv", "json").alias("made"))
+    return spread(table(spark, d, "part")).select("p_partkey", convert.convert(text, "csv", "json").alias("made"))
 
 
 @query("convert_json_csv", "SELECT event_id, 'k' || chr(10) || json_extract_string(props, '$.k') || chr(10) AS made FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", convert.convert(F.concat(F.lit("["), F.col("props"), F.lit("]")), "json", "csv").alias("made"))
+    return spread(table(spark, d, "events").select("event_id", "props")).select("event_id", convert.convert(F.concat(F.lit("["), F.col("props"), F.lit("]")), "json", "csv").alias("made"))
 
 
 @query("meta_number_forms", "SELECT o_orderkey, 'num' AS kind, CAST(CAST(floor(CAST(o_totalprice AS DECIMAL(18,2))) AS BIGINT) AS VARCHAR) AS whole FROM orders")

@@ -37,3 +37,9 @@ def test_against_sql(spark, duck, name):
     expected = [tuple(plain(dict(zip(heads, r))[c]) for c in names) for r in found.fetchall()]
     order = lambda r: tuple((v is None, str(v)) for v in r)
     assert sorted(rows, key=order) == sorted(expected, key=order)
+
+
+@pytest.mark.parametrize("name", ["convert_csv_json", "mailbox_text", "mail_summaries", "postings"])
+def test_costly_rows_are_not_one_task(spark, name):
+    """The tables' files hold one row group each, which was one task."""
+    assert registry.queries()[name](spark, DATA).rdd.getNumPartitions() >= 8
