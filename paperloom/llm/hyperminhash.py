@@ -22,7 +22,9 @@ Rounds keep the work on a group of copies linear: first each document with its b
 least document and with its nearest earlier one, blocks of BLOCK members on their own; in
 buckets of several blocks then one member of each component with those of the others, as
 long as that finds links; at last all pairs of members that verified links have not yet
-joined, where blocks of one component do not meet. Every link is confirmed on the full sets.
+joined, where blocks of one component do not meet. Every link is confirmed on the full sets; in
+the last round within the task, where the members that have a candidate bring their sets, as a
+family of unlinked but similar texts makes pairs by the square.
 
 Equal sets are one class from the start: only the least row of each is sketched into
 buckets, and copies join its component. A class is named by its least id; where different
@@ -219,13 +221,13 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return _rows(docs, key, text).mapInArrow(_sketcher(round(threshold * 100)), "id bigint, th bigint, n bigint, digest binary, keys array<bigint>, reg binary")
 
 
-def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest: bool):
-    """Candidate pairs (later index, earlier index) of one bucket's members, which are sorted by id.
+def _tiles(bucket: int, sizes, labels, regs, bands, threshold: float, nearest: bool):
+    """Candidate pairs (later index, earlier index, equal registers) of one bucket's members, which are sorted by id, tile by tile.
 
     Of the bands that a pair shares, only the first gives the pair, unless the nearest are asked for.
+    Labels are read anew for each tile.
     """
     m, percent = len(sizes), round(threshold * 100)
-    found, score = [], []
     for i in range(0, m, 256):
         rows = slice(i, min(i + 256, m))
         for j in range(0, i + 1, 256):
@@ -243,8 +245,13 @@ def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest
                 first = bands[a + i, shared.argmax(1)]
                 mine = ~shared.any(1) | (first == bucket)
                 a, b = a[mine], b[mine]
-            found.append(np.stack([a + i, b + j], 1))
-            score.append(same[a, b])
+            yield a + i, b + j, same[a, b]
+
+
+def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest: bool):
+    """All candidate pairs (later index, earlier index); if asked for, only the nearest and the first of each member."""
+    tiles = list(_tiles(bucket, sizes, labels, regs, bands, threshold, nearest))
+    found, score = [np.stack(t[:2], 1) for t in tiles], [t[2] for t in tiles]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs, score = np.concatenate(found), np.concatenate(score)
@@ -255,26 +262,34 @@ def _pairs_of(bucket: int, sizes, labels, regs, bands, threshold: float, nearest
     return pairs[:, 0], pairs[:, 1]
 
 
+def _parts(batch, threshold: float):
+    """(order, across, what _tiles asks for) of each part of a batch that holds several labels; order: its rows sorted by id."""
+    key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    side, ids, sizes, labels = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
+    regs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(ids), TABLES * BUCKETS)
+    bands = _bands(batch.column(7), sizes, threshold)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    bounds = [*np.flatnonzero(new).tolist(), len(key)]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
+            continue
+        o = lo + np.argsort(ids[lo:hi], kind="stable")
+
+        def across(a, b, s=side[o], two=part[lo] >= 0):  # two blocks: pairs within one belong to that block's own task
+            return s[a] != s[b] if two else np.ones(len(a), bool)
+
+        yield o, across, (key[lo], sizes[o], labels[o], regs[o], bands[o])
+
+
 def _bucket_mapper(threshold: float, nearest: bool):
     def mapper(batches):
         for batch in _whole_groups(batches):
-            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            side, ids, sizes, labels = (batch.column(i).to_numpy() for i in (2, 3, 4, 5))
-            regs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(ids), TABLES * BUCKETS)
-            bands = _bands(batch.column(7), sizes, threshold)
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-            bounds = [*np.flatnonzero(new).tolist(), len(key)]
-            out = []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
-                    continue
-                o = lo + np.argsort(ids[lo:hi], kind="stable")
-                a, b = _pairs_of(key[lo], sizes[o], labels[o], regs[o], bands[o], threshold, nearest)
-                if part[lo] >= 0 and len(a):  # two blocks: pairs within one belong to that block's own task
-                    across = side[o][a] != side[o][b]
-                    a, b = a[across], b[across]
-                if len(a):
-                    out.append(np.stack([ids[o][b], ids[o][a]], 1))
+            ids, out = batch.column(3).to_numpy(), []
+            for o, across, members in _parts(batch, threshold):
+                a, b = _pairs_of(*members, threshold, nearest)
+                ok = across(a, b)
+                if ok.any():
+                    out.append(np.stack([ids[o][b[ok]], ids[o][a[ok]]], 1))
             if out:
                 pairs = np.unique(np.concatenate(out), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -282,6 +297,73 @@ def _bucket_mapper(threshold: float, nearest: bool):
     return mapper
 
 
+def _paired_mapper(threshold: float):
+    """The rows, as they are, of members that are in a candidate pair of their part."""
+
+    def mapper(batches):
+        for batch in _whole_groups(batches):
+            has = np.zeros(batch.num_rows, bool)
+            for o, across, members in _parts(batch, threshold):
+                for a, b, _ in _tiles(*members, threshold, False):
+                    ok = across(a, b)
+                    has[o[a[ok]]] = has[o[b[ok]]] = True
+            if has.any():
+                yield batch.filter(pa.array(has))
+
+    return mapper
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The intersection sizes of the sets a[i] and b[i]; of many pairs at once by a product of membership matrices."""
+    if len(a) < 64:
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+    sides, kinds = [], None
+    for which in (a, b):
+        rows, at = np.unique(which, return_inverse=True)
+        flat = np.concatenate([sets[r] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+        order = np.argsort(flat, kind="stable")
+        sides.append((len(rows), at, flat[order], owner[order]))
+        kinds = np.unique(flat) if kinds is None else np.intersect1d(kinds, np.unique(flat), assume_unique=True)
+    out = np.zeros((sides[0][0], sides[1][0]), np.int64)
+    for lo in range(0, len(kinds), 4096):
+        part, has = kinds[lo : lo + 4096], []
+        for n, _, flat, owner in sides:
+            here = slice(np.searchsorted(flat, part[0]), np.searchsorted(flat, part[-1], "right"))
+            col = np.searchsorted(part, flat[here])
+            ok = part[col] == flat[here]
+            has.append(np.zeros((n, len(part)), np.float32))
+            has[-1][owner[here][ok], col[ok]] = 1
+        out += (has[0] @ has[1].T).astype(np.int64)
+    return out[sides[0][1], sides[1][1]]
+
+
+def _within_mapper(threshold: float):
+    """Links that join a part's labels, confirmed on the full sets (column 8): fewer than the part has members."""
+    percent = round(threshold * 100)
+
+    def mapper(batches):
+        for batch in _whole_groups(batches):
+            ids, out = batch.column(3).to_numpy(), []
+            for o, across, (key, sizes, labels, regs, bands) in _parts(batch, threshold):
+                sets = [np.frombuffer(batch.column(8)[int(i)].as_buffer(), U) for i in o]
+                labels = labels.copy()
+                for a, b, _ in _tiles(key, sizes, labels, regs, bands, threshold, False):
+                    ok = across(a, b)
+                    a, b = a[ok], b[ok]
+                    both = common(sets, a, b)
+                    good = 100 * both >= percent * (sizes[a] + sizes[b] - both)
+                    for x, y in zip(a[good].tolist(), b[good].tolist()):
+                        if labels[x] != labels[y]:
+                            labels[labels == labels[x]] = labels[y]
+                            out.append((ids[o[y]], ids[o[x]]))
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return mapper
+
+
 def _bands(keys: pa.Array, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """The band keys of each row, 0 for sets that have none."""
     percent = round(threshold * 100)
@@ -363,11 +445,21 @@ def cross_blocks(members: DataFrame) -> DataFrame:
     return met.select("bucket", "id", "label", F.explode(F.when(F.col("_n").isNull(), one).otherwise(blocks)).alias("p")).select("bucket", "id", "label", "p.part", "p.side")
 
 
+MEMBER = "bucket bigint, part bigint, side int, id bigint, n bigint, label bigint, reg binary, keys array<bigint>"
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows of each part in one task, one after the other."""
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+
+
+def _members(dealt: DataFrame, sig: DataFrame) -> DataFrame:
+    return dealt.join(sig.select("id", "n", "reg", "keys"), "id").select("bucket", F.col("part").cast("bigint"), F.col("side").cast("int"), "id", "n", "label", "reg", "keys")
+
+
 def bucket_pairs(dealt: DataFrame, sig: DataFrame, threshold: float, nearest: bool) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of differing labels, within the parts of dealt (bucket, id, label, part, side)."""
-    rows = dealt.join(sig.select("id", "n", "reg", "keys"), "id").select("bucket", F.col("part").cast("bigint"), F.col("side").cast("int"), "id", "n", "label", "reg", "keys")
-    sorted_ = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return sorted_.mapInArrow(_bucket_mapper(threshold, nearest), "a bigint, b bigint").distinct()
+    return _met(_members(dealt, sig)).mapInArrow(_bucket_mapper(threshold, nearest), "a bigint, b bigint").distinct()
 
 
 def _set_mapper():
@@ -393,24 +485,39 @@ def _checker(percent: int):
     return check
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of nodes whose full shingle sets reach the threshold; classes has (node, id, th), texts (id, th, text).
+def _sets_of(needed: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, s) of the needed nodes; classes has (node, id, th), texts (id, th, text).
 
     The rows whose sets are needed are broadcast to the scan of the texts up to a checked
     number; beyond it the texts are shuffled to them.
     """
-    pairs = keep(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = keep(classes.join(needed, "node", "left_semi").select("node", "id", "th"))
     few = wanted.count() <= BROADCAST_IDS
     rows = texts.join(F.broadcast(wanted) if few else wanted, ["id", "th"]).select("node", "text")
-    sets = rows.mapInArrow(_set_mapper(), "id bigint, s binary").dropDuplicates(["id"])
+    return rows.mapInArrow(_set_mapper(), "id bigint, s binary").dropDuplicates(["id"])
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of nodes whose full shingle sets reach the threshold; classes has (node, id, th), texts (id, th, text)."""
+    pairs = keep(pairs)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, texts)
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_checker(round(threshold * 100)), "a bigint, b bigint").distinct()
 
 
+def confirm_within(dealt: DataFrame, sig: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): confirmed links that join the labels of each part of dealt, as all its confirmed pairs would.
+
+    Pairs do not leave the task: the members that have a candidate pair get their full sets,
+    and those of a part meet there. So rows are as many as members, however many pairs they make.
+    """
+    paired = keep(_met(_members(dealt, sig)).mapInArrow(_paired_mapper(threshold), MEMBER))
+    sets = _sets_of(paired.select(F.col("id").alias("node")).distinct(), classes, texts)
+    return _met(paired.join(sets, "id").select(*paired.columns, "s")).mapInArrow(_within_mapper(threshold), "a bigint, b bigint")
+
+
 def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (bucket, id, m, label), their component as label, of the buckets that hold several components."""
     found = components(links).withColumnRenamed("node", "id")
@@ -420,7 +527,7 @@ def _unsettled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(sig: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): confirmed links between nodes; the components are those of all links. sig has one row per node, as id."""
+    """(a, b): confirmed links between nodes; their components are those of all links. sig has one row per node, as id."""
     members = keep(bucket_members(sig))
     first = bucket_pairs(own_blocks(members.withColumn("label", F.col("id"))), sig, threshold, True)
     links = keep(confirm(first, classes, texts, threshold))
@@ -436,8 +543,7 @@ def linked(sig: DataFrame, classes: DataFrame, texts: DataFrame, threshold: floa
             break
         links = links.unionByName(more)
         left = keep(_unsettled(left, links))
-    last = confirm(bucket_pairs(cross_blocks(left), sig, threshold, False), classes, texts, threshold)
-    return links.unionByName(last)
+    return links.unionByName(confirm_within(cross_blocks(left), sig, classes, texts, threshold))
 
 
 def _classes(rows: DataFrame) -> DataFrame:

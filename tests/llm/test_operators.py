@@ -92,6 +92,43 @@ def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     assert {(r[0], r[2]) for r in h.duplicate_components(docs).collect()} == set(components(sets).items())
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_similar_but_unlinked_texts_make_no_rows_by_the_square(spark, monkeypatch, block):
+    from paperloom.llm import hyperminhash as h
+
+    r, seen = random.Random(3), []
+    base, rows = [f"w{r.randrange(5000)}" for _ in range(400)], []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(400), 6):
+            w[at] = f"n{r.randrange(5000)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = {k: lo if g == hi else g for k, g in group.items()}
+    assert 20 < len(set(group.values())) < 120
+    confirm = h.confirm
+    monkeypatch.setattr(h, "BLOCK", block)
+    monkeypatch.setattr(h, "confirm", lambda pairs, *a: seen.append(h.keep(pairs).count()) or confirm(pairs, *a))
+    got = h.duplicate_components(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=0.8)
+    assert {r["id"]: r["component"] for r in got.collect()} == group
+    assert sum(seen) < 3000  # of 7,140 pairs: each member with the nearest and the first of its buckets
+
+
+def test_common_counts_what_sets_share():
+    from paperloom.llm.hyperminhash import common
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 9000, n).astype(np.uint64)) for n in [1, 5, 300, 6000, 6000] * 6]
+    a, b = (x.ravel() for x in np.indices((30, 30)))
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert common(sets, a, b).tolist() == want and common(sets, a[:50], b[:50]).tolist() == want[:50]
+
+
 def test_near_duplicates_judges_texts_not_ids(spark):
     from paperloom.llm.hyperminhash import duplicate_components, near_duplicates
 
