@@ -42,23 +42,22 @@ class WaveletMatrix:
             self.counts.append(counts)
             self.zeros.append(n - int(counts[-1]))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
+        # Where each symbol's run begins in the last level depends on the symbol alone.
+        symbols = np.arange(int(seq.max(initial=0)) + 1)
+        self.begin = self._walk(symbols, np.zeros(len(symbols), np.int64))
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol occurs before lo and before hi."""
-        both = np.concatenate([lo, hi])
-        start = np.zeros(len(symbol), np.int64)
-        two = np.concatenate([symbol, symbol])
+    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where each place of the sequence leads, going down the levels by the symbol's bits."""
         for i, level in enumerate(range(self.bits - 1, -1, -1)):
-            q = both >> 6
-            mask = (np.uint64(1) << (both & 63).astype(np.uint64)) - np.uint64(1)
+            q = at >> 6
+            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
             ones = self.counts[i][q] + np.bitwise_count(self.words[i][q] & mask)
-            q = start >> 6
-            mask = (np.uint64(1) << (start & 63).astype(np.uint64)) - np.uint64(1)
-            start_ones = self.counts[i][q] + np.bitwise_count(self.words[i][q] & mask)
-            up = ((two >> level) & 1).astype(bool)
-            both = np.where(up, self.zeros[i] + ones, both - ones)
-            up = up[: len(start)]
-            start = np.where(up, self.zeros[i] + start_ones, start - start_ones)
+            at = np.where((symbol >> level) & 1, self.zeros[i] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before lo and before hi."""
+        both, start = self._walk(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])), self.begin[symbol]
         m = len(symbol)
         return both[:m] - start, both[m:] - start
 
@@ -98,7 +97,7 @@ class FMIndex:
         text = np.zeros(n, np.int64)
         text[place] = ids + 1
         self.starts = ends - lengths + np.arange(texts)
-        # The texts are what is streamed; the index proper is the wavelet matrix, the ranks and the LCP array with their minima.
+        # The texts are what is streamed; the index proper is the wavelet matrix, the ranks with their minima, and the LCP array.
         self.lengths, self.text = lengths, text.astype(np.int32)
         sigma = len(kinds) + 1
         sa, lcp = self._sort(text, depth)
@@ -111,7 +110,8 @@ class FMIndex:
         by_suffix = rank[owner[sa]]
         by_suffix[text[sa] == 0] = np.iinfo(np.int32).max
         self.least = _RangeMin(by_suffix)
-        self.lcp, self.lcp_min = lcp, _RangeMin(lcp)
+        self.lcp = lcp
+        self.smaller_before, self.smaller_behind = self._smaller(lcp)
         self.n = n
 
     @staticmethod
@@ -159,34 +159,20 @@ class FMIndex:
         left = self.lcp[lo].astype(np.int64)
         right = np.where(hi < n, self.lcp[np.minimum(hi, n - 1)], 0).astype(np.int64)
         depth = np.maximum(left, right)
-        # Grow to both sides while the LCP stays at depth or more: steps double, then halve.
-        new_lo, new_hi = lo.copy(), hi.copy()
-        for end, grow in ((new_lo, self._room_left), (new_hi, self._room_right)):
-            todo, k = np.arange(len(lo)), 0
-            while len(todo):
-                todo = todo[grow(end, depth, todo, k)]
-                k += 1
-            todo = np.arange(len(lo))
-            for j in range(k - 2, -1, -1):
-                grow(end, depth, todo, j)
-        return new_lo, new_hi, depth
-
-    def _room_left(self, end, depth, todo, k):
-        """Move ends down by 2**k where suffixes end - 2**k to end share depth words; which did."""
-        to = end[todo] - (np.int64(1) << k)
-        ok = to >= 0
-        i = np.flatnonzero(ok)
-        ok[i] = self.lcp_min.of(to[i] + 1, end[todo[i]] + 1) >= depth[todo[i]]
-        end[todo[ok]] = to[ok]
-        return ok
-
-    def _room_right(self, end, depth, todo, k):
-        to = end[todo] + (np.int64(1) << k)
-        ok = to <= self.n
-        i = np.flatnonzero(ok)
-        ok[i] = self.lcp_min.of(end[todo[i]], to[i]) >= depth[todo[i]]
-        end[todo[ok]] = to[ok]
-        return ok
+        # The side whose LCP is the depth grows to where it is below.
+        return np.where(left == depth, self.smaller_before[lo], lo), np.where(right == depth, self.smaller_behind[np.minimum(hi, n - 1)], hi), depth
+
+    @staticmethod
+    def _smaller(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest places before and behind each one with a smaller LCP; the ends where there is none."""
+        before, behind = np.zeros(len(lcp), np.int32), np.full(len(lcp), len(lcp), np.int32)
+        for depth in np.unique(lcp[lcp > 0]):
+            here, below = np.flatnonzero(lcp == depth), np.flatnonzero(lcp < depth)
+            at = np.searchsorted(below, here)
+            before[here] = below[at - 1]  # the first LCP is 0
+            more = at < len(below)
+            behind[here[more]] = below[at[more]]
+        return before, behind
 
     def _extend(self, symbol, lo, hi):
         a, b = self.bwt.rank(symbol, lo, hi)

@@ -129,6 +129,33 @@ def test_common_counts_what_sets_share():
     assert common(sets, a, b).tolist() == want and common(sets, a[:50], b[:50]).tolist() == want[:50]
 
 
+def test_parents_of_the_fm_index_are_looked_up():
+    """A match is shortened in one step, to the nearest smaller LCP on either side, not by growing searches."""
+    from paperloom.llm.fm_index import FMIndex
+
+    r = np.random.default_rng(8)
+    lengths = r.integers(1, 60, 40)
+    index = FMIndex(r.integers(0, 3, lengths.sum()).astype(np.uint64), lengths, np.arange(40), 6)
+    lcp, n = index.lcp.tolist(), index.n
+    before, behind = index.smaller_before, index.smaller_behind
+    for i in range(n):
+        assert before[i] == next((j for j in range(i, -1, -1) if lcp[j] < lcp[i]), 0)
+        assert behind[i] == next((j for j in range(i, n) if lcp[j] < lcp[i]), n)
+    lo = r.integers(0, n - 1, 300)
+    hi = lo + 1 + r.integers(0, n - lo)
+    a, b, depth = index._parent(lo, hi)
+    for x, y, p, q, d in zip(lo.tolist(), hi.tolist(), a.tolist(), b.tolist(), depth.tolist()):
+        assert d == max(lcp[x], lcp[y] if y < n else 0)
+        while x > 0 and lcp[x] >= d:
+            x -= 1
+        while y < n and lcp[y] >= d:
+            y += 1
+        assert (p, q) == (x, y)
+    symbols = np.arange(4)
+    full = index.bwt.rank(symbols, np.zeros(4, np.int64), np.full(4, n))
+    assert full[0].tolist() == [0] * 4 and full[1].tolist() == np.bincount(index.text, minlength=4).tolist()
+
+
 def test_near_duplicates_judges_texts_not_ids(spark):
     from paperloom.llm.hyperminhash import duplicate_components, near_duplicates
 
