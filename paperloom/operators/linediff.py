@@ -9,7 +9,7 @@ is removed on one side and added on the other. All joins and counts are by (text
 gap, line) or (text, gap, place); only the longest run of one gap, two numbers a line, is
 found by a small function.
 
-A gap is known by the number of matched lines before it, which is the same on both sides.
+A gap is known by the old side's number of the matched line before it, which both sides know.
 
 Defined cases: a null or empty text has no lines; a line end at the end of a text makes no
 line; texts with a null key are dropped, keys must be unique otherwise; a key on one side only
@@ -58,40 +58,44 @@ def lines(texts: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     return texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.posexplode(cells).alias("i", "line")).withColumn("i", F.col("i") + 1)
 
 
-def _gaps(side: DataFrame, at: str) -> DataFrame:
-    """(key, gap, at, h, p, q) of the lines without a match; p and q count from the gap's head and tail."""
-    seen = F.count_if("hit").over(Window.partitionBy("key").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
-    open_ = side.withColumn("gap", F.coalesce(seen, F.lit(0))).where("NOT hit").select("key", "gap", at, "h")
+def _gaps(side: DataFrame, at: str, fresh: DataFrame | None = None) -> DataFrame:
+    """(key, gap, at, h, p, q) of side's lines (key, gap, at, h) that fresh leaves open; p and q count from the gap's head and tail."""
+    if fresh is not None:
+        marked = side.select("key", "gap", at, "h").join(fresh.select("key", "gap", at, F.col("i").alias("hit")), ["key", "gap", at], "left")
+        before = F.last("hit", True).over(Window.partitionBy("key", "gap").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+        side = marked.withColumn("to", F.coalesce(before, "gap")).where("hit IS NULL").select("key", F.col("to").alias("gap"), at, "h")
     w = Window.partitionBy("key", "gap")
-    return open_.withColumn("p", F.row_number().over(w.orderBy(at))).withColumn("q", F.count("*").over(w) - F.col("p") + 1)
+    return side.withColumn("p", F.row_number().over(w.orderBy(at))).withColumn("q", F.count("*").over(w) - F.col("p") + 1)
 
 
 def matched(old: DataFrame, new: DataFrame) -> DataFrame:
     """(key, i, j) of the lines (key, i, line) of old and new that stay, in rising order on both sides."""
-    digest = F.unhex(F.sha2("line", 256)).alias("h")
-    a = keep(old.select("key", "i", digest))
-    b = keep(new.select("key", F.col("i").alias("j"), digest))
+    # Every round shuffles the digests of all open lines; half of SHA-256 is enough to tell lines apart.
+    digest = F.substring(F.unhex(F.sha2("line", 256)), 1, 16).alias("h")
+    whole = F.lit(0).alias("gap")
+    ga = keep(_gaps(old.select("key", whole, "i", digest), "i"))
+    gb = keep(_gaps(new.select("key", whole, F.col("i").alias("j"), digest), "j"))
     found = None
     while True:
-        mark = lambda side, at: side.withColumn("hit", F.lit(False)) if found is None else side.join(found.select("key", at, F.lit(True).alias("hit")), ["key", at], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-        ga, gb = keep(_gaps(mark(a, "i"), "i")), keep(_gaps(mark(b, "j"), "j"))
         by = lambda at: ga.select("key", "gap", at, "i", F.col("h").alias("ha")).join(gb.select("key", "gap", at, "j", F.col("h").alias("hb")), ["key", "gap", at])
         first = lambda at, name: by(at).groupBy("key", "gap").agg(F.count("*").alias("n"), F.coalesce(F.min(F.when(F.col("ha") != F.col("hb"), F.col(at))) - 1, F.count("*")).alias(name))
         ends = first("p", "head").join(first("q", "tail").drop("n"), ["key", "gap"]).select("key", "gap", "head", F.least("tail", F.col("n") - F.col("head")).alias("tail"))
         ends = keep(ends)
-        heads = by("p").join(ends, ["key", "gap"]).where("p <= head").select("key", "i", "j")
-        tails = by("q").join(ends, ["key", "gap"]).where("q <= tail").select("key", "i", "j")
+        heads = by("p").join(ends, ["key", "gap"]).where("p <= head").select("key", "gap", "i", "j")
+        tails = by("q").join(ends, ["key", "gap"]).where("q <= tail").select("key", "gap", "i", "j")
         alike = Window.partitionBy("key", "gap", "h")
         inner = lambda g, at: g.join(ends, ["key", "gap"]).where("p > head AND q > tail").select("key", "gap", "h", at, F.row_number().over(alike.orderBy(at)).alias("k"), F.count("*").over(alike).alias(f"n{at}"))
         # A gap's anchors are two numbers a line of one text, which came from one cell.
         pairs = inner(ga, "i").join(inner(gb, "j"), ["key", "gap", "h", "k"])
         pairs = pairs.withColumn("some", F.max(F.expr("ni = nj")).over(Window.partitionBy("key", "gap"))).where("ni = nj OR NOT some")
         anchors = pairs.groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("both"))
-        run = anchors.select("key", "both", F.explode(rising(F.transform("both", lambda x: x["j"]))).alias("at")).select("key", F.get("both", F.col("at")).alias("m")).select("key", "m.i", "m.j")
+        run = anchors.select("key", "gap", "both", F.explode(rising(F.transform("both", lambda x: x["j"]))).alias("at")).select("key", "gap", F.get("both", F.col("at")).alias("m")).select("key", "gap", "m.i", "m.j")
         fresh = keep(heads.unionByName(tails).unionByName(run))
         found = fresh if found is None else found.unionByName(fresh)
         if fresh.isEmpty():
-            return found
+            return found.drop("gap")
+        # Only what is open goes on.
+        ga, gb = keep(_gaps(ga, "i", fresh)), keep(_gaps(gb, "j", fresh))
 
 
 def edits(old: DataFrame, new: DataFrame, key: str = "key", text: str = "text") -> DataFrame:

@@ -109,6 +109,18 @@ def test_line_differences(spark):
     assert all(r["sign"] == " " for r in rows if r["key"] < 21 and r["key"] % 10 == 0)
 
 
+def test_line_differences_keep_little(spark, monkeypatch):
+    """What the rounds keep and shuffle are open lines with digests of 16 bytes."""
+    seen, keep = [], linediff.keep
+    monkeypatch.setattr(linediff, "keep", lambda df: seen.append(keep(df)) or seen[-1])
+    rows = lambda mark: spark.createDataFrame([(k, "\n".join(f"{k} line {i}{mark if i % 7 == 3 else ''}" for i in range(30))) for k in range(3)], "key int, text string")
+    a, b = linediff.lines(rows("")), linediff.lines(rows("x"))
+    assert sorted(map(tuple, linediff.matched(a, b).collect())) == [(k, i, i) for k in range(3) for i in range(1, 31) if (i - 1) % 7 != 3]
+    sides = [df for df in seen if "h" in df.columns]
+    assert {len(r["h"]) for df in sides for r in df.collect()} == {16}
+    assert [df.count() for df in sides] == [90, 90, 12, 12]
+
+
 def test_unified(spark):
     """Where lines stand once, the difference has one best form."""
     rng = random.Random(2)
