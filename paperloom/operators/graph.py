@@ -8,32 +8,42 @@ from pyspark.sql import functions as F
 from paperloom.session import keep as cut
 
 
+#: Edges of one task: fewer make one task, in which a round needs no shuffle.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable from each node that has an edge to another.
 
     Alternates large-star and small-star steps: each node links its larger neighbours, then
     its smaller ones, to the least node it knows. Every step is one grouped minimum and one
-    join on a table of at most as many rows as there are edges; hubs are met by the partial
+    join on a table of at most twice as many rows as there are edges; hubs are met by the partial
     aggregation and by adaptive splitting of the join. Only a row count and a checksum reach
-    the driver, and rounds go on until neither changes.
+    the driver, and rounds go on until neither changes. A round has as many tasks as its
+    edges ask for, not as many as the table that they come from.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    before = None
-    while True:
+
+    def state(e):
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    def pairs(rows, *two):
+        return rows.select(F.explode(F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in two])).alias("e")).select("e.u", "e.v")
+
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    before, now = None, state(e)
+    while now != before:
+        tasks = now[0] // TASK_EDGES + 1
+        e = e.coalesce(tasks)
         # Large star: every neighbour larger than u is linked to the least of u and its neighbours.
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs(e, (F.col("u"), F.col("v")), (F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.coalesce(1) if tasks == 1 else large
         # Small star: every smaller neighbour, and u itself, is linked to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = pairs(joined, (F.col("v"), F.col("m")), (F.col("u"), F.col("m")))
         e = cut(small.where("u <> v").distinct())
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
+        before, now = now, state(e)
     stars = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("u")).distinct().join(stars, "u", "left_anti")
     return stars.select(F.col("u").alias("node"), "component").unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("component")))

@@ -15,3 +15,38 @@ def test_long_threads(spark, tmp_path):
     assert got == {(1, i): i + 1 for i in range(1200)} | {(2, i): i + 1 for i in range(5)}
     groups = registry.QUERIES["thread_groups"](spark, str(tmp_path)).select("conv_id", "messages", "depth").collect()
     assert (2, 5, 5) in {tuple(r) for r in groups} and (1, 1200, 1200) in {tuple(r) for r in groups}
+
+
+def test_components_in_one_task_and_in_several(spark, monkeypatch):
+    import random
+
+    from paperloom.operators import graph
+
+    draw = random.Random(5)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7), (3000, 3000)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(edges, "a bigint, b bigint").repartition(9)
+    for size in (7, graph.TASK_EDGES):
+        monkeypatch.setattr(graph, "TASK_EDGES", size)
+        assert {r["node"]: r["component"] for r in graph.components(table).collect()} == least
+    assert graph.components(table.where("a = b")).count() == 0
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from paperloom.session import keep
+
+    def files():
+        return str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).count("/shuffle_")
+
+    before = files()
+    kept = keep(spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count())
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and kept.count() == 700
