@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, make: Callable[[Column], Column]) -> Column:
-    """make(value), with value worked out once however often make uses it."""
-    return F.get(F.transform(F.array(value), make), F.lit(0))
+    """make(value), with value worked out once however often make uses it.
+
+    try_element_at knows its type once; get would work it out for each row, through all that is nested in make.
+    """
+    return F.try_element_at(F.transform(F.array(value), make), F.lit(1))
 
 
 def of_text(make: Callable[[Column], Column], text: str | None):

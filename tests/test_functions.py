@@ -136,3 +136,21 @@ def test_fields():
     assert (got["total"]["value"], got["tax"]["value"], got["date"]["value"], got["due"]["value"], got["vendor"]["value"]) == ("-1234.56", "84.56", "2026-03-04", "2026-04-03", "Acme Ltd")
     assert "due" not in fields_of("Date: 2026-03-04\nNet  500.00\n") and fields_of("")["profile"]["value"] == "invoice"
     assert fields_of("$1.50 and 1.50 € and 2.00 €")["currency"]["value"] == "EUR"
+
+
+def test_amounts_around_the_mark_that_parts_them():
+    from paperloom.functions.money import find_amounts
+
+    plain = "Total: $1,234.56 paid, -5.00 EUR left; 7.25"
+    want = [(a["value"], a["currency"], a["start"]) for a in find_amounts(plain)]
+    assert [v for v, _, _ in want] == ["1234.56", "-5.00", "7.25"]
+    assert [(a["value"], a["currency"], a["start"] - 2) for a in find_amounts("\x01 " + plain)] == want
+
+
+def test_bound_values_do_not_ask_for_types_by_row(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.functions.single import let
+
+    plan = spark.range(3).select(let(F.col("id") + 1, lambda x: x * x).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" in plan and ")[0]" not in plan
