@@ -43,3 +43,13 @@ def test_against_sql(spark, duck, name):
 def test_costly_rows_are_not_one_task(spark, name):
     """The tables' files hold one row group each, which was one task."""
     assert registry.queries()[name](spark, DATA).rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize("name", ["text_stats", "token_estimate"])
+def test_measures_of_no_text_are_null(spark, tmp_path, name):
+    texts = [None, "a", "a b\n\nc\n", " \n", "\n"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())) == sorted(c.execute(registry.SQL[name]).fetchall())
