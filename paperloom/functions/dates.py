@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paperloom.functions.single import let, of_text
+from paperloom.functions.single import behind, let, match_of, of_text, pieces
 
 #: Names of the months; the first three letters serve as short forms, for September also four.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -31,7 +31,8 @@ FORMS = {
 
 def _made(year: Column, month: Column, day: Column) -> Column:
     """The date, null if there is none such."""
-    return F.when(year > 0, F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"))
+    first = F.when((year > 0) & month.between(1, 12), F.make_date(year, month, F.lit(1)))
+    return let(first, lambda f: F.when(day.between(1, F.dayofmonth(F.last_day(f))), F.date_add(f, day - 1)))
 
 
 def _value(raw: Column, kind: str, order: str) -> Column:
@@ -59,7 +60,8 @@ def _found(body: Column, form: str, kind: str, order: str) -> Column:
     """array<struct<gap,raw,value,ambiguous>>: the forms of a family, each with the text before it; the last one has no raw."""
     read = lambda raw: F.when(raw.isNotNull(), _value(raw, kind, order))
     one = lambda gap, raw: let(read(raw), lambda v: F.struct(gap.alias("gap"), raw.alias("raw"), v["value"].alias("value"), v["ambiguous"].alias("ambiguous")))
-    found = F.zip_with(F.split(body, form), F.regexp_extract_all(body, F.lit(form), F.lit(0)), one)
+    raw = lambda cut, i: F.when(i + 1 < F.size(cut), match_of(F.get(cut, i + 1)))
+    found = let(pieces(body, form), lambda cut: F.transform(cut, lambda p, i: let(raw(cut, i), lambda r: one(behind(p), r))))
     # Most texts lack most forms: one look tells.
     return F.when(body.rlike(form), found).otherwise(F.array(F.struct(body.alias("gap"), F.lit(None).cast("string").alias("raw"), F.lit(None).cast("date").alias("value"), F.lit(None).cast("boolean").alias("ambiguous"))))
 
@@ -93,10 +95,12 @@ def dates(text: Column, order: str = "mdy") -> Column:
 
     def look(k: int, body: Column, before: list[Column]) -> Column:
         """The dates of family k and those behind it, with what the families before it have found."""
+        none_left = F.array_sort(F.concat(*before)) if before else None
         if k == len(kinds):
-            return F.array_sort(F.concat(*before))
+            return none_left
         found = _found(body, *kinds[k], order)
-        return let(found, lambda f: let(_blot(f), lambda rest: look(k + 1, rest, [*before, _dated(f)])))
+        more = let(found, lambda f: let(_blot(f), lambda rest: look(k + 1, rest, [*before, _dated(f)])))
+        return F.when(a_date(body), more).otherwise(none_left) if before else more
 
     with_end = lambda x: F.struct(x["start"].alias("start"), x["value"].alias("value"), x["raw"].alias("raw"), x["ambiguous"].alias("ambiguous"), (x["start"] + F.length(x["raw"])).alias("end"))
     body = F.coalesce(text, F.lit(""))
@@ -106,7 +110,7 @@ def dates(text: Column, order: str = "mdy") -> Column:
 
 def a_date(text: Column) -> Column:
     """Whether a text holds what could be a date, by one look."""
-    return text.rlike("[0-9][/.-][0-9]{1,2}[/.-][0-9]") | text.rlike(f"(?i){_NAME}[^0-9a-z].*[0-9]")
+    return text.rlike(f"[0-9][/.-][0-9]{{1,2}}[/.-][0-9]|(?i:{_NAME})\\.?,?\\s+[0-9]")
 
 
 def find_dates(text: str, order: str = "mdy") -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import table
+from paperloom.session import spread, table
 
 
 def path():
@@ -46,9 +46,9 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content) of invoice texts made of orders and customers, with what they say."""
+    """(path, content) of invoice texts made of orders and customers, dealt out evenly before they are written."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    joined = o.join(c, o["o_custkey"] == c["c_custkey"])
+    joined = spread(o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "o_orderdate", "o_totalprice", "c_name"))
     money = F.format_string("%s", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     number = F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"))

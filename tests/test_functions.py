@@ -154,3 +154,23 @@ def test_bound_values_do_not_ask_for_types_by_row(spark):
 
     plan = spark.range(3).select(let(F.col("id") + 1, lambda x: x * x).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "element_at" in plan and ")[0]" not in plan
+
+
+def test_dates_over_a_line_end():
+    """The look for what could be a date missed a year in the next line."""
+    assert [str(d["value"]) for d in find_dates("paid 24 December,\n2023")] == ["2023-12-24"]
+
+
+def test_amounts_keep_their_places_beside_control_characters():
+    got = [(a["value"], a["currency"], a["raw"], a["start"], a["end"]) for a in find_amounts("\x02 $007.50\x01USD 1 234,5\x02(€2.00)")]
+    assert got == [("7.50", "USD", "$007.50", 2, 9), ("1234.5", "USD", "USD 1 234,5", 10, 21), ("-2.00", "EUR", "(€2.00)", 22, 29)]
+
+
+def test_vendor_is_worked_out_once(spark):
+    """Each part of it repeated the whole expression in the plan."""
+    from paperloom.operators.fields import extract
+
+    docs = spark.createDataFrame([("a.txt", " \t From: \"Ann\" <a@b.c>\nTotal $1.00"), ("b.txt", "12\nAcme Ltd\nDate: 2024-01-02")], "path string, content string")
+    found = extract(docs).select("path", "fields.vendor.value", "fields.vendor.confidence")
+    assert sorted(map(tuple, found.collect())) == [("a.txt", "Ann", "high"), ("b.txt", "Acme Ltd", "medium")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("good evening") == 2  # the first line and the others

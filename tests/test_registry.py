@@ -53,3 +53,10 @@ def test_measures_of_no_text_are_null(spark, tmp_path, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect())) == sorted(c.execute(registry.SQL[name]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["fields_total_date", "fields_currency_mode"])
+def test_invoices_are_dealt_out(spark, name):
+    """They were as many tasks as cores are known when the query is made, which on a cluster may be few."""
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {8 * spark.sparkContext.defaultParallelism}, true" in plan
